@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._components import connected_components
 from ._store import ready, write_table
@@ -64,15 +65,16 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """(doc_id, fp): a row for each row of ``docs``; fp is the fingerprint as a signed long."""
+    """The columns of ``docs`` but its last, ``text``, and fp, the fingerprint as a signed long."""
     ready(docs.sparkSession)
+    names = [*docs.columns[:-1], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, words) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t, words) for t in batch.column(len(names) - 1).to_pylist()), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 def block_bits(blocks: int) -> list[int]:
@@ -231,17 +233,39 @@ def link(table: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[label[moved]])], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable."""
-    marked = write_table(fingerprints(docs, words), "fingerprints")
+def classes(marked: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+    """``marked`` (a table with doc_id and fp) with component_id."""
     distinct = write_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = write_table(shard_links(distinct, radius, block).distinct(), "links")
     roots = connected_components(links)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     rooted = write_table(rooted, "rooted")
     names = write_table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    named = write_table(rooted.join(names, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = write_table(rooted.join(names, "root").select("fp", "root", "component_id"), "named")
+    return marked.join(named, "fp")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, block: int = BLOCK) -> DataFrame:
+    """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable."""
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    marked = write_table(fingerprints(narrow, words), "fingerprints")
+    return classes(marked, radius, block).select("doc_id", "fp", "component_id")
+
+
+def distinct_documents(docs: DataFrame, radius: int = RADIUS, words: int = 3, block: int = BLOCK) -> DataFrame:
+    """One row of each component of ``docs``, with all its columns: that with the smallest doc_id.
+
+    Among rows of that doc_id any one stays, the others go; nulls come last.
+    """
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    numbered = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    marked = fingerprints(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), words)
+    found = classes(write_table(marked, "fingerprints"), radius, block)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    kept = write_table(found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "kept")
+    return numbered.join(kept, row, "left_semi").drop(row)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
