@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines
+from . import kdtree, lines
+from .html import op7_html_text
+from .kdtree import op10_kdtree
 from .lines import op5_line_dedup
 from .packing import op9_packing
 from .pieces import op1_token_counts, op6_sentencepiece
@@ -18,8 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_html_text": op7_html_text,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
+    "op10_kdtree": op10_kdtree,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op10_kdtree": kdtree.ORACLE}
