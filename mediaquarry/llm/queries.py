@@ -11,6 +11,7 @@ from .html import op7_html_text
 from .kdtree import op10_kdtree
 from .lines import op5_line_dedup
 from .packing import op9_packing
+from .partitions import op3_learned_partitions
 from .pieces import op1_token_counts, op6_sentencepiece
 from .simhash import op8_simhash
 from .toxicity import op2_toxicity
@@ -18,6 +19,7 @@ from .toxicity import op2_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
+    "op3_learned_partitions": op3_learned_partitions,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_text": op7_html_text,
