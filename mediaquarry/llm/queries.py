@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import kdtree, lines
+from .hmm import op4_hmm
 from .html import op7_html_text
 from .kdtree import op10_kdtree
 from .lines import op5_line_dedup
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
     "op3_learned_partitions": op3_learned_partitions,
+    "op4_hmm": op4_hmm,
     "op5_line_dedup": op5_line_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_text": op7_html_text,
