@@ -93,7 +93,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs_name = f"{key}{other}"
     text = F.col("text").cast("string")
     rows = docs.drop("n_lines", "n_removed").withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(other, F.xxhash64(text))
-    rows = rows.join(runs, [key, other], "left")
+    rows = rows.join(runs.hint("merge"), [key, other], "left")  # runs grow with the input, so at no size by broadcast
     lines, starts, ends = F.split(text, "\n"), F.col(f"{runs_name}.starts"), F.col(f"{runs_name}.ends")
 
     def kept(k):
