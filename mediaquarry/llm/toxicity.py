@@ -34,12 +34,12 @@ from pyspark.sql import types as T
 from ._store import ready
 
 BITS = 20
-SAMPLE, SAMPLE_CHARS = 16_000, 40_000
+SAMPLE, SAMPLE_CHARS = 12_000, 40_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 3.0, 0.5
 FOLDS, STEM = 3, 5
 THRESHOLD = 0.7
 #: Word hashes that a worker keeps.
-CACHED = 400_000
+CACHED = 120_000
 _SPACES = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
