@@ -1,0 +1,87 @@
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from mediaquarry.functions import blobs
+from mediaquarry.functions import text as X
+from mediaquarry.operators import captions, state
+
+C, U, L, H, K = X.CATEGORY_LABEL, X.CREATOR_LABEL, X.LIKES_LABEL, X.CAPTION_LABEL, X.LINK_LABEL
+
+
+def one(spark, value, f):
+    return spark.createDataFrame([(value,)], "x string").select(f(F.col("x")).alias("y")).first().y
+
+
+def expected(text):
+    """The rules of the source system, in Python's regular expressions."""
+
+    def label(mark):
+        m = re.search(rf"{mark}\s*(.+)", text)
+        return m.group(1).strip() if m else "Unknown"
+
+    m = re.search(rf"{L}\s*([\d,]+)", text)
+    digits = m.group(1).replace(",", "") if m else "0"
+    cap = re.search(rf"{H}\n(.*?)(?=\n{K}|$)", text, re.DOTALL)
+    return label(C), label(U), int(digits) if digits else None, cap.group(1).strip() if cap else ""
+
+
+def test_captions_as_regular_expressions_give_them(spark):
+    rng = random.Random(5)
+    parts = [C, U, L, H, K, "\n", "\n", " ", "  ", " ", "\r", "Dance", "12,3", "1,234", "12K", "-4", ",", "é", "x", "٣", "❤ Likes: 5", "�"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(600)]
+    texts += [f"{C} Dance \nx", f"{C}\n{U} z", f"{C}   ", C, f"{C} a\rb", f"{H}\nab\ncd\n{K} x", f"{H}\nab\n", f"{H} ab", f"{H}\n\n{K} x", f"{H}\n{K} x", "", f"{L} 99999999999999999999"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, caption string")
+    got = {r.id: (r.category, r.creator, r.likes, r.caption) for r in captions.parsed(rows).collect()}
+    for i, t in enumerate(texts):
+        want = expected(t)
+        if want[2] is not None and want[2] >= 1 << 63:
+            want = (*want[:2], None, want[3])
+        assert got[i] == want, t
+
+
+def test_a_null_caption_is_empty(spark):
+    row = captions.parsed(spark.createDataFrame([(1, None)], "id long, caption string")).first()
+    assert (row.category, row.creator, row.likes, row.caption) == ("Unknown", "Unknown", 0, "")
+
+
+def test_rows_with_unreadable_counts_are_held(spark):
+    rows = [(1, False, True, None, f"{L} ,"), (2, False, True, None, f"{L} 7"), (3, True, True, None, ""), (4, False, False, "a/video", ""), (5, False, False, "Video", ""), (6, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id long, empty boolean, has_video boolean, mime string, caption string")
+    good, held = captions.parsed_or_held(df)
+    assert sorted(r.id for r in good.collect()) == [2, 4]
+    assert [r.id for r in held.collect()] == [1]
+
+
+def test_small_functions(spark):
+    assert one(spark, "1234567", lambda x: X.thousands(x.cast("long"))) == "1,234,567"
+    assert one(spark, "/a/b.mp4", X.base_name) == "b.mp4"
+    assert one(spark, None, X.base_name) == ""
+    assert one(spark, "vp9", captions.route) == "transcode"
+    assert [one(spark, c, captions.route) for c in ("hevc", "", None, " H264\nx")] == ["remux"] * 4
+    assert one(spark, "75.9", lambda x: X.play_time(x.cast("double"))) == "1:15"
+    assert one(spark, "NaN", lambda x: X.play_time(x.cast("double"))) == "0:00"
+    assert one(spark, "x" * 70, X.teaser) == "x" * 60 + "..."
+    assert one(spark, "see https://abc-d.example.com/x now", X.tunnel_url) == "https://abc-d.example.com"
+    assert one(spark, "none", X.tunnel_url) is None
+    assert [one(spark, v, state.index_of) for v in (" 7\n".strip("\n"), "x", None)] == [7, 0, 0]
+    assert one(spark, "Élan ǖ ß ñandú", X.search_tokens) == ["elan", "ǖ", "ß", "nandu"]
+    assert X.fold_text("Élan foo_bar ñ1") == ["elan", "foo", "bar", "n1"]
+
+
+def test_stored_index(spark, tmp_path):
+    path = str(tmp_path / "state")
+    assert state.read_index(spark, path).first()["index"] == 0
+    state.write_index(spark, path, 12)
+    assert state.read_index(spark, path).first()["index"] == 12
+
+
+def test_byte_ranges(spark):
+    df = spark.createDataFrame([(bytearray(b"0123456789"), h) for h in ("bytes=2-5", "bytes=8-50", "bytes=-3", "", "bytes=20-")], "content binary, header string")
+    first, last = blobs.range_bounds(F.col("header"), F.octet_length("content"))
+    got = df.select(blobs.byte_slice(F.col("content"), first, last).alias("b"), blobs.content_range(first, last, F.octet_length("content")).alias("r")).collect()
+    assert [bytes(r.b) for r in got] == [b"2345", b"89", b"0123456789", b"0123456789", b""]
+    assert [r.r for r in got] == ["bytes 2-5/10", "bytes 8-50/10", "bytes 0-9/10", "bytes 0-9/10", "bytes 20-9/10"]
+    offsets = spark.range(1).select(blobs.piece_offsets(F.lit(2 * blobs.PIECE + 1)).alias("a"), blobs.piece_offsets(F.lit(0)).alias("b")).first()
+    assert offsets.a == [0, blobs.PIECE, 2 * blobs.PIECE] and offsets.b == []
