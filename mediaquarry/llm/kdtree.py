@@ -13,8 +13,8 @@ never shuffled.
 Defined results: vectors that are null, or hold a null or a component that
 isn't finite, and rows without vec_id take no part; equal rows count once, and
 no row with the query's vec_id is a candidate; vectors meet only those of their
-own length; scores beyond 64 bits are cut to the nearest long (their order is
-still exact); an empty table gives an empty result; other columns are ignored.
+own length; scores beyond 64 bits are cut to the nearest long that has a
+negative, and rank as such; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def _plain(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
     whole = [[int(v) for v in p] for p in points]
     for i, query in enumerate(queries):
         mine = [int(v) for v in query]
-        scores = [(-sum(a * b for a, b in zip(mine, p, strict=True)), int(c)) for p, c in zip(whole, ids, strict=True) if c != query_ids[i]]
+        scores = [(max(-_LONG, min(_LONG, -sum(a * b for a, b in zip(mine, p, strict=True)))), int(c)) for p, c in zip(whole, ids, strict=True) if c != query_ids[i]]
         top = sorted(scores)[: best.k]
         best.add(np.full(len(top), i), np.array([s for s, _ in top], dtype=object), np.array([c for _, c in top], np.int64))
 
@@ -144,7 +144,7 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             for ids, points in blocks(batches):
                 if points.shape[1] == block.shape[1]:
                     search(best, query_ids, block, ids, quantized(points))
-            keys = [max(-_LONG - 1, min(_LONG, int(x))) for x in best.key]
+            keys = [int(x) for x in best.key]
             yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(keys, pa.int64())], ["query_id", "vec_id", "key"])
 
         parts.append(rows.mapInArrow(run, "query_id long, vec_id long, key long"))

@@ -78,7 +78,7 @@ def pack(items: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS, bud
     longest, counts = bins.longest.to_numpy(np.int64), bins.n.to_numpy(np.int64)
     ends = boundaries(longest, counts, bins.total.to_numpy(np.int64), buckets)
     bucket = size = shards = None
-    for k, (first, last) in enumerate(zip([-1, *ends[:-1]], ends, strict=True)):
+    for k, (first, last) in enumerate(zip([-1, *ends], ends, strict=False)):
         here = F.col("_bin") <= int(bins["_bin"].iloc[last])
         count = int(counts[first + 1 : last + 1].sum())
         values = F.lit(k), F.lit(int(longest[last])), F.lit(-(-count // SHARD))

@@ -1,0 +1,87 @@
+import random
+from itertools import combinations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from mediaquarry.llm import packing
+
+
+def padding(lengths, ends):
+    total, start = 0, 0
+    for e in ends:
+        total += sum(lengths[e] - x for x in lengths[start : e + 1])
+        start = e + 1
+    return total
+
+
+def test_boundaries_have_the_least_padding():
+    rng = random.Random(1)
+    for _ in range(40):
+        lengths = sorted(rng.randint(1, 60) for _ in range(rng.randint(1, 9)))
+        longest, counts = np.unique(lengths, return_counts=True)
+        n, k = len(longest), rng.randint(1, 5)
+        ends = packing.boundaries(longest.astype(np.int64), counts, longest * counts, k)
+
+        def waste(cut, longest=longest, counts=counts):
+            start = out = 0
+            for e in cut:
+                out += int(((longest[e] - longest[start : e + 1]) * counts[start : e + 1]).sum())
+                start = e + 1
+            return out
+
+        best = min(waste((*c, n - 1)) for m in range(min(k, n)) for c in combinations(range(n - 1), m))
+        assert waste(ends) == best and len(ends) <= k and ends[-1] == n - 1
+
+
+def test_bins(spark):
+    rows = spark.range(1, 20_000).select("id", packing.bin_of(F.col("id")).alias("b")).collect()
+    assert all(r.b == r.id for r in rows if r.id <= packing.EXACT)
+    assert all(0 <= r.b - r.id < r.id / 128 for r in rows)
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
+    assert len({r.b for r in rows}) < packing.EXACT + 5 * packing.PER_OCTAVE
+
+
+def check(rows, budget):
+    cells = {}
+    for r in rows:
+        assert r.n_tokens <= r.bucket_len
+        cells.setdefault((r.bucket, r.batch), []).append(r)
+    last = {}
+    for (bucket, batch), items in cells.items():
+        size = items[0].bucket_len
+        assert len(items) * size <= max(budget, size)
+        assert sorted(r.slot for r in items) == list(range(len(items)))
+        last[bucket] = max(last.get(bucket, -1), batch)
+    for (bucket, batch), items in cells.items():
+        if batch < last[bucket]:
+            assert len(items) == max(1, budget // items[0].bucket_len)
+    for bucket, n in last.items():
+        assert {b for k, b in cells if k == bucket} == set(range(n + 1))
+
+
+def test_batches_of_a_whole_table(spark):
+    folder = "/root/testdata/sf0.01"
+    rows = packing.op9_packing(spark, folder).collect()
+    want = {r.doc_id: len(r.text.split()) + 1 for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    assert {r.doc_id: r.n_tokens for r in rows} == want and len(rows) == len(want)
+    check(rows, packing.BUDGET)
+
+
+def test_many_of_one_length_and_odd_ones(spark):
+    items = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 1000 == 1, 100_000).when(F.col("id") % 1000 == 2, None).otherwise(F.col("id") % 400).alias("n_tokens"))
+    rows = packing.pack(items, buckets=5, budget=1000).collect()
+    assert sorted(r.id for r in rows) == list(range(5000))
+    cells = {}
+    for r in rows:
+        cells.setdefault((r.bucket, r.batch), []).append(r)
+    assert all(len(c) * c[0].bucket_len <= max(1000, c[0].bucket_len) for c in cells.values())
+    assert sum(len(c) == 1 and c[0].bucket_len == 100_000 for c in cells.values()) == 4
+
+
+def test_odd_documents(spark, odd_docs):
+    rows = packing.pack_documents(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    check(rows, packing.BUDGET)
+    assert {r.n_tokens for r in rows if r.doc_id in (0, 1, None)} == {1}
+    assert packing.pack_documents(odd_docs.limit(0)).count() == 0
