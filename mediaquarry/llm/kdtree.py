@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready
+from ._store import ready, write_table
 from ._vectors import Best, blocks, query_blocks, ranked, usable
 
 LEAF = 128
@@ -133,9 +133,9 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries``, rows of vec_id and embedding, against ``vectors``."""
     spark = vectors.sparkSession
     ready(spark, 4096)
-    rows = usable(vectors, nonzero=False)
+    rows = write_table(usable(vectors, nonzero=False), "vectors")
     parts = []
-    for ids, block in query_blocks(usable(queries, nonzero=False)):
+    for ids, block in query_blocks(write_table(usable(queries, nonzero=False), "queries")):
         sent = spark.sparkContext.broadcast((ids, quantized(block)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready
+from ._store import ready, write_table
 from ._vectors import Best, blocks, query_blocks, ranked, usable
 
 #: The most rows that a model is fitted on; below SMALL there is one partition.
@@ -46,8 +46,8 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int, own: bool) -> np.nd
     """Positions of the k nearest points of each query, not itself if ``own``, in blocks."""
     out = []
     squares = (points**2).sum(axis=1)
-    for at in range(0, len(queries), 512):
-        block = queries[at : at + 512]
+    for at in range(0, len(queries), 256):
+        block = queries[at : at + 256]
         d = squares - 2 * (block @ points.T)
         if own:
             d[np.arange(len(block)), np.arange(at, at + len(block))] = np.inf
@@ -211,11 +211,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFr
     """(query_id, rank, vec_id, score) for ``queries``, rows of vec_id and embedding, among ``vectors``."""
     spark = vectors.sparkSession
     ready(spark, 4096)
-    rows = usable(vectors, nonzero=True)
+    rows = write_table(usable(vectors, nonzero=True), "vectors")
     index = fit_index(rows)
     model = spark.sparkContext.broadcast(index)
     parts = []
-    for ids, block in query_blocks(usable(queries, nonzero=True)):
+    for ids, block in query_blocks(write_table(usable(queries, nonzero=True), "queries")):
         router = index.get(block.shape[1], Whole())
         chance = router.probabilities(block)
         route = np.argsort(-chance, axis=1, kind="stable")[:, : router.probes]
