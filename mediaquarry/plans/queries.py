@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import partial
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import blobs
 from ..functions import text as X
 from ..operators import browse, captions, joblog, schedule, search, state, sync
-from ..sources import tables
+from ..sources import storage, tables
 from ..streaming import jobs as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,9 +35,22 @@ def browse_page(spark: SparkSession, d: str, offset: int = 0) -> DataFrame:
     return browse.browse(_catalog(spark, d), offset)
 
 
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str, catalog: tables.Catalog) -> search.Index:
+    """The stored index of a folder's docs, built at the first search of a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _INDEXES:
+        path = storage.fresh(spark, "index")
+        search.build(catalog.docs).write(path)
+        _INDEXES[key] = path
+    return search.Index.read(spark, _INDEXES[key])
+
+
 def explore(spark: SparkSession, d: str, query: str, offset: int) -> DataFrame:
     catalog = _catalog(spark, d)
-    found = search.explore(catalog, search.build(catalog.docs), query, offset)
+    found = search.explore(catalog, _index(spark, d, catalog), query, offset)
     return found.withColumn("rank", F.round("rank", 6))
 
 
@@ -173,25 +184,14 @@ def dedup_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_gate_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same gate as a stream over the files of the table, run until no input is left."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.mkdtemp(prefix="mediaquarry-")).as_uri()
+    run = storage.fresh(spark, "gate")
     schema = tables.table(spark, d, "events").schema
-    run = f"{base}/gate-{spark.sparkContext.applicationId}-{next(_RUNS)}"
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" + ("" if _is_folder(spark, f"{d}/events.parquet") else "*"))
-    keys = streams.gated(events.select("user_id"), "user_id")
+    source = f"{d}/events.parquet" + ("" if _is_folder(spark, f"{d}/events.parquet") else "*")
+    keys = streams.gated(spark.readStream.schema(schema).parquet(source).select("user_id"), "user_id")
     keys.writeStream.format("parquet").option("path", f"{run}/out").option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("user_id long").parquet(f"{run}/out")
 
 
-def _runs():
-    n = 0
-    while True:
-        yield n
-        n += 1
-
-
-_RUNS = _runs()
-
-
 def _is_folder(spark: SparkSession, path: str) -> bool:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory()
