@@ -5,7 +5,9 @@ and tags that lie in links.  The element whose children have the greatest sum
 of densities holds the main text; the least density on its path to the body is
 the threshold that elements beside that path must reach to be taken as well.
 An enclosing article (or main part) is taken whole.  Menus, forms, adverts and
-the like, known by their tag, role or class, have no part in either step.
+the like, known by their tag, role or class, have no part in either step; a
+class says nothing where the element holds an article, or a first heading and
+most of the text.
 
 A page is read once, by a regular expression for its tags; nesting is kept in
 arrays, so depth and length are bounded by memory only.
@@ -52,14 +54,17 @@ SKIP = frozenset(
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
 #: Words of a class or id.
 SKIP_NAMES = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside footer masthead topbar ad ads adv advert adverts"
-    " advertisement advertising sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices notification"
-    " alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond disqus share"
-    " sharing social related recommended widget toolbar skip copyright pagination pager".split()
+    "nav navbar navigation menu menubar submenu megamenu dropdown breadcrumb breadcrumbs topnav subnav sidenav leftnav rightnav sitemap"
+    " sidebar aside footer colophon masthead topbar ad ads adv advert adverts advertisement advertising adbox adslot adunit adsense"
+    " adsbygoogle sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices notification disclaimer alert"
+    " popup modal overlay toast paywall newsletter subscribe subscription signup login search searchbox searchform comment comments"
+    " commentlist commentform usercomments respond replies discussion disqus share sharing social related recommended widget toolbar"
+    " skip copyright pagination pager hidden".split()
 )
 #: Names and tags that are skipped only outside an article or main part.
 SKIP_OUTSIDE = frozenset(["header"])
 MAIN = frozenset(["article", "main"])
+NAMED, SURE = 1, 2
 #: A start tag of these ends an open paragraph.
 ENDS_P = BLOCK - frozenset("body html tbody tfoot thead tr td th caption option optgroup legend summary".split())
 #: A start tag of these ends an open one of the set, within the nearest list or table.
@@ -77,10 +82,13 @@ class Page:
     """The elements of a page in order, and its runs of text."""
 
     def __init__(self, html: str) -> None:
-        self.tag, self.parent, self.end, self.skip, self.main = ["#root"], [-1], [0], [False], [False]
+        self.tag, self.parent, self.end, self.main = ["#root"], [-1], [0], [False]
+        #: 0: part of the page, NAMED: named as something else, SURE: certainly something else
+        self.own = [0]
         #: (element, block, text)
         self.runs: list[tuple[int, int, str]] = []
         self._open, self._block = [0], 0
+        self._how_many: dict[str, int] = {}
         at, n = 0, len(html)
         while at < n:
             token = TOKEN.search(html, at)
@@ -102,6 +110,25 @@ class Page:
         self._text(html[at:])
         while self._open:
             self._pop()
+        self.skip = self._skipped()
+
+    def _skipped(self) -> list[bool]:
+        """Whether each element is part of what is left out."""
+        n = len(self.tag)
+        chars, article, first = [0] * n, [False] * n, [tag == "h1" for tag in self.tag]
+        for node, _, text in self.runs:
+            chars[node] += len(text.strip())
+        for i in range(n - 1, 0, -1):
+            if self.own[i] != SURE:
+                p = self.parent[i]
+                chars[p] += chars[i]
+                article[p] |= article[i] or (self.tag[i] in MAIN and not self.own[i])
+                first[p] |= first[i]
+        out = [False] * n
+        for i in range(1, n):
+            named = self.own[i] == NAMED and not article[i] and not (first[i] and 2 * chars[i] > chars[0])
+            out[i] = out[self.parent[i]] or named or self.own[i] == SURE
+        return out
 
     def _text(self, text: str) -> None:
         if text:
@@ -110,11 +137,15 @@ class Page:
     def _pop(self) -> None:
         node = self._open.pop()
         self.end[node] = len(self.tag)
+        if node:
+            self._how_many[self.tag[node]] -= 1
         if self.tag[node] in BLOCK:
             self._block += 1
 
     def _find(self, names: frozenset[str], stop: frozenset[str]) -> int:
         """Where in the open elements the innermost of ``names`` is, or 0 if one of ``stop`` is nearer."""
+        if not any(self._how_many.get(x) for x in names):
+            return 0
         for k in range(len(self._open) - 1, 0, -1):
             if (tag := self.tag[self._open[k]]) in names:
                 return k
@@ -132,7 +163,7 @@ class Page:
             self._block += 1
 
     def _start(self, name: str, rest: str) -> None:
-        if name in ("html", "body") and name in (self.tag[k] for k in self._open):
+        if name in ("html", "body") and self._how_many.get(name):
             return
         ends = ENDS_SAME.get(name)
         k = self._find(*ends) if ends else self._find(frozenset("p"), P_SCOPE) if name in ENDS_P else 0
@@ -143,15 +174,17 @@ class Page:
                 self._pop()
         above = self._open[-1]
         main = self.main[above] or name in MAIN
-        skip = self.skip[above] or name in SKIP or (name in SKIP_OUTSIDE and not main)
-        if rest and not skip and not rest.isspace():
+        own = SURE if name in SKIP or (name in SKIP_OUTSIDE and not main) else 0
+        if rest and not own and not rest.isspace():
             given = {a.lower(): b or c or d or "" for a, b, c, d in ATTRIBUTE.findall(rest)}
             role = given.get("role", "").lower()
             main = main or role in MAIN
-            if name not in ("html", "body", "article", "main"):
+            hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", "")
+            if name not in ("html", "body", "main"):
                 words = {w.lower() for w in WORD.findall(f"{given.get('class', '')} {given.get('id', '')}")}
-                hidden = "hidden" in given or given.get("aria-hidden", "").lower() == "true" or "display:none" in given.get("style", "").lower().replace(" ", "")
-                skip = hidden or role in SKIP_ROLES or bool(words & SKIP_NAMES) or (bool(words & SKIP_OUTSIDE) and not main)
+                own = NAMED if words & SKIP_NAMES else SURE if words & SKIP_OUTSIDE and not main else 0
+            if hidden or role in SKIP_ROLES:
+                own = SURE
         if name in BLOCK:
             self._block += 1
         elif name == "br":
@@ -160,10 +193,11 @@ class Page:
         self.tag.append(name)
         self.parent.append(above)
         self.end.append(node + 1)
-        self.skip.append(skip)
+        self.own.append(own)
         self.main.append(main)
         if name not in VOID:
             self._open.append(node)
+            self._how_many[name] = self._how_many.get(name, 0) + 1
 
     def densities(self) -> tuple[list[float], list[float], list[int]]:
         """For each element its composite density, the sum of its children's, and its characters."""
@@ -225,8 +259,11 @@ class Page:
         spans = [(i, self.end[i]) for i in self.chosen()]
         out: list[str] = []
         at = None
+        inside = [False] * len(self.tag)
+        for a, z in spans:
+            inside[a:z] = [True] * (z - a)
         for node, block, text in self.runs:
-            if self.skip[node] or not any(a <= node < z for a, z in spans):
+            if self.skip[node] or not inside[node]:
                 continue
             if block == at:
                 out[-1] += text

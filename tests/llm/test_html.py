@@ -26,6 +26,17 @@ def test_an_article_with_everything_around_it():
     assert extract(page).split("\n") == want
 
 
+def test_names_of_what_holds_the_article_say_nothing():
+    story = "".join(f"<p>Paragraph {i} goes on for quite some time about the matter at hand.</p>" for i in range(4))
+    text = "\n".join(f"Paragraph {i} goes on for quite some time about the matter at hand." for i in range(4))
+    side = '<div class="sidebar"><h2>More</h2><p>Things to read elsewhere on this fine site.</p></div>'
+    assert extract(f'<body><div class="layout sidebar-right"><article>{story}</article></div>{side}</body>') == text
+    assert extract(f'<body><div class="page with-sidebar"><h1>T</h1>{story}{side}</div></body>') == "T\n" + text
+    comments = '<div id="commentList">' + '<article class="comment"><p>I have a very long opinion on all of this and will not keep it to myself at all.</p></article>' * 9 + "</div>"
+    assert extract(f'<body><div class="header"><h1>Site</h1></div><article class="post"><h1>T</h1>{story}{comments}</article></body>') == "T\n" + text
+    assert extract(f'<body><div class="content"><h1>T</h1>{story}</div>{comments}</body>') == "T\n" + text
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
