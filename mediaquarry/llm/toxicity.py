@@ -1,6 +1,6 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed n-grams.
 
-A text's features are the hashes of its words and of their first letters, of
+A text's features are the hashes of its words and of their first bytes, of
 word pairs and of pairs with one word between them, each once.  FTRL-proximal keeps a rate for each coordinate
 and an L1 term that leaves the weights of uninformative ones at exactly zero,
 so the model is the few weights that differ from zero, at most ``2**BITS``,
@@ -36,7 +36,9 @@ from ._store import ready
 BITS = 20
 SAMPLE, SAMPLE_CHARS = 12_000, 40_000
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 3.0, 0.5
-FOLDS, STEM = 3, 5
+FOLDS = 3
+#: Bytes of a word that stand for its stem.
+STEMS = (5, 7)
 THRESHOLD = 0.7
 #: Word hashes that a worker keeps.
 CACHED = 120_000
@@ -44,33 +46,32 @@ _SPACES = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()),
 
 
 class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < CACHED:
-            self[word] = h
-        return h
+    """Hashes of words, or of as many of their first bytes."""
 
+    def __init__(self, size: int | None = None) -> None:
+        super().__init__()
+        self.size, self.seed = size, size or 0
 
-class _Stems(_Hashes):
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word[:STEM], 1)
+        h = xxhash.xxh64_intdigest(word[: self.size], self.seed)
         if len(self) < CACHED:
             self[word] = h
         return h
 
 
-_HASHES, _STEMS = _Hashes(), _Stems()
+_HASHES = _Hashes()
+_STEMS = [_Hashes(size) for size in STEMS]
 
 
 def features(text: str | None) -> np.ndarray:
     """Hashed features of a text, from 0 to 2**BITS, perhaps repeated."""
     words = (text or "").encode().lower().translate(_SPACES).split()
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    stems = np.fromiter(map(_STEMS.__getitem__, words), np.uint64, len(words))
+    stems = [np.fromiter(map(x.__getitem__, words), np.uint64, len(words)) for x in _STEMS]
     shift, odd, other = np.uint64(64 - BITS), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     pairs = (h[:-1] * odd + h[1:]) * other
     skips = (h[:-2] * other + h[2:]) * odd
-    return (np.concatenate([h, stems, pairs, skips]) >> shift).astype(np.int32)
+    return (np.concatenate([h, *stems, pairs, skips]) >> shift).astype(np.int32)
 
 
 class Ftrl:
