@@ -9,17 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 16
+#: A block takes 2**BITS integers.
+BITS = 16
 
 
-def _block(order: str, block: int) -> Column:
-    return F.floor(F.col(order) / block)
+def _block(order: str, bits: int) -> Column:
+    return F.shiftright(F.col(order).cast("long"), bits)
 
 
-def numbered(df: DataFrame, by: list[str], order: str, descending: bool, name: str, block: int = BLOCK) -> DataFrame:
+def numbered(df: DataFrame, by: list[str], order: str, descending: bool, name: str, bits: int = BITS) -> DataFrame:
     """``df`` with a number from 1 in the order of ``order`` (distinct integers within ``by``)."""
     way = F.desc if descending else F.asc
-    blocked = df.withColumn("_block", _block(order, block))
+    blocked = df.withColumn("_block", _block(order, bits))
     sizes = blocked.groupBy(*by, "_block").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy(way("_block"))) - F.col("_n")
     starts = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], F.col("_block").alias("_b"), before.alias("_start"))
@@ -30,12 +31,12 @@ def numbered(df: DataFrame, by: list[str], order: str, descending: bool, name: s
     return local.join(starts, same).withColumn(name, F.col("_start") + F.col("_local")).select(*df.columns, name)
 
 
-def running_floor(df: DataFrame, by: str, order: str, step: str, block: int = BLOCK) -> DataFrame:
+def running_floor(df: DataFrame, by: str, order: str, step: str, bits: int = BITS) -> DataFrame:
     """``df`` with total, the running sum of ``step`` in the order of ``order``, and least, its minimum so far.
 
     ``by`` holds no nulls and ``order`` distinct integers within it.
     """
-    blocked = df.withColumn("_block", _block(order, block))
+    blocked = df.withColumn("_block", _block(order, bits))
     here = Window.partitionBy(by, "_block").orderBy(order)
     local = blocked.withColumn("_sum", F.sum(step).over(here))
     local = local.withColumn("_min", F.min("_sum").over(here))

@@ -27,25 +27,31 @@ SEARCHES = {
 }
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str, kind: str, write: Callable[[str], None]) -> str:
+    """Where a table derived from a folder is stored; it is written at its first use in a session."""
+    key = spark.sparkContext.applicationId, d, kind
+    if key not in _STORED:
+        path = storage.fresh(spark, kind)
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def _catalog(spark: SparkSession, d: str) -> tables.Catalog:
-    return tables.sample_catalog(spark, d)
+    """The stored catalog of a folder."""
+    return tables.Catalog.read(spark, _stored(spark, d, "catalog", lambda path: tables.sample_catalog(spark, d).write(path)))
 
 
 def browse_page(spark: SparkSession, d: str, offset: int = 0) -> DataFrame:
     return browse.browse(_catalog(spark, d), offset)
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
 def _index(spark: SparkSession, d: str, catalog: tables.Catalog) -> search.Index:
-    """The stored index of a folder's docs, built at the first search of a session."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _INDEXES:
-        path = storage.fresh(spark, "index")
-        search.build(catalog.docs).write(path)
-        _INDEXES[key] = path
-    return search.Index.read(spark, _INDEXES[key])
+    """The stored index of a folder's docs."""
+    return search.Index.read(spark, _stored(spark, d, "index", lambda path: search.build(catalog.docs).write(path)))
 
 
 def explore(spark: SparkSession, d: str, query: str, offset: int) -> DataFrame:

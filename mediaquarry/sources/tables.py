@@ -64,6 +64,15 @@ class Catalog:
     posts: DataFrame
     docs: DataFrame
 
+    def write(self, path: str) -> None:
+        """Store all tables in a folder that is new."""
+        for name in ("categories", "creators", "posts", "docs"):
+            getattr(self, name).write.parquet(f"{path}/{name}")
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Catalog:
+        return Catalog(*(spark.read.parquet(f"{path}/{name}") for name in ("categories", "creators", "posts", "docs")))
+
 
 def caption_of(category: Column, creator: Column, likes: Column, body: Column) -> Column:
     """A structured caption."""

@@ -61,7 +61,7 @@ def test_numbers_cross_blocks(spark):
     ids = rng.sample(range(-500, 5000), 700)
     rows = [(i, "ab"[i % 2] if i % 7 else None) for i in ids]
     df = spark.createDataFrame(rows, "id long, k string")
-    got = {(r.k, r.id): r.n for r in numbered(df, ["k"], "id", True, "n", block=64).collect()}
+    got = {(r.k, r.id): r.n for r in numbered(df, ["k"], "id", True, "n", bits=6).collect()}
     for k in ("a", "b", None):
         mine = sorted((i for i, x in rows if x == k), reverse=True)
         assert [got[k, i] for i in mine] == list(range(1, len(mine) + 1))
@@ -70,7 +70,7 @@ def test_numbers_cross_blocks(spark):
 def test_running_minimum_crosses_blocks(spark):
     rng = random.Random(2)
     steps = [(i, rng.choice("xy"), rng.choice((-1, 1))) for i in range(400)]
-    got = {r.i: (r.total, r.least) for r in running_floor(spark.createDataFrame(steps, "i long, k string, s int"), "k", "i", "s", block=16).collect()}
+    got = {r.i: (r.total, r.least) for r in running_floor(spark.createDataFrame(steps, "i long, k string, s int"), "k", "i", "s", bits=4).collect()}
     for k in "xy":
         total, least = 0, 10**9
         for i, x, s in steps:

@@ -41,10 +41,9 @@ def test_sync_by_micro_batches(spark, tmp_path):
     versions = [Catalog(spark.createDataFrame([], CATEGORIES), spark.createDataFrame([], CREATORS), spark.createDataFrame([], POSTS), spark.createDataFrame([], DOCS))]
 
     def store(catalog, held, number):
-        base = str(tmp_path / f"v{number}")
-        for name in ("categories", "creators", "posts", "docs"):
-            getattr(catalog, name).write.parquet(f"{base}/{name}")
-        versions.append(Catalog(*(spark.read.parquet(f"{base}/{n}") for n in ("categories", "creators", "posts", "docs"))))
+        path = str(tmp_path / f"v{number}")
+        catalog.write(path)
+        versions.append(Catalog.read(spark, path))
 
     def go():
         jobs.sync_stream(message_files(spark, str(tmp_path / "in"), True), lambda: versions[-1], store, str(tmp_path / "check")).awaitTermination()
