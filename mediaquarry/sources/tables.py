@@ -39,9 +39,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def message_files(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Messages dropped as JSON files, as a batch or as a stream."""
+def message_files(spark: SparkSession, path: str, stream: bool = False, files_per_trigger: int | None = None) -> DataFrame:
+    """Messages dropped as JSON files, as a batch or as a stream of so many files at a time."""
     reader = spark.readStream if stream else spark.read
+    if stream and files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.schema(MESSAGES).json(path)
 
 

@@ -85,3 +85,8 @@ def test_byte_ranges(spark):
     assert [r.r for r in got] == ["bytes 2-5/10", "bytes 8-50/10", "bytes 0-9/10", "bytes 0-9/10", "bytes 20-9/10"]
     offsets = spark.range(1).select(blobs.piece_offsets(F.lit(2 * blobs.PIECE + 1)).alias("a"), blobs.piece_offsets(F.lit(0)).alias("b")).first()
     assert offsets.a == [0, blobs.PIECE, 2 * blobs.PIECE] and offsets.b == []
+
+
+def test_log_prefix(spark):
+    row = spark.sql("SELECT 'x' AS line, timestamp'2024-05-06 07:08:09' AS at")
+    assert row.select(X.clock_prefix(F.col("line"), F.col("at")).alias("y")).first().y == "[07:08:09] x"
