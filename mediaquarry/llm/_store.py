@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,16 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def write_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, schema: str) -> DataFrame:
+    """Write frames one after another into one table of the shared folder, and read it back."""
+    path = f"{shared_dir(spark)}/mediaquarry/{name}-{uuid.uuid4().hex}"
+    _REMOVE.append((spark, path))
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table from :func:`write_table`."""
     _delete(df.sparkSession, df._mq_path)

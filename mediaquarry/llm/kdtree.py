@@ -7,8 +7,8 @@ below it.  A query visits its leaves best first and stops where the bound falls
 below its k-th score so far; that score is carried from shard to shard within
 a task, and each task hands on its best k.
 
-Queries come in blocks of bounded size that are broadcast; candidates are
-never shuffled.
+Queries come in blocks of bounded size that are broadcast, one block at a time;
+candidates are never shuffled.
 
 Defined results: vectors that are null, or hold a null or a component that
 isn't finite, and rows without vec_id take no part; equal rows count once, and
@@ -20,14 +20,13 @@ negative, and rank as such; an empty table gives an empty result; other columns
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready, write_table
+from ._store import ready, write_parts, write_table
 from ._vectors import Best, blocks, query_blocks, ranked, usable
 
 LEAF = 128
@@ -134,23 +133,27 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     ready(spark, 4096)
     rows = write_table(usable(vectors, nonzero=False), "vectors")
-    parts = []
-    for ids, block in query_blocks(write_table(usable(queries, nonzero=False), "queries")):
-        sent = spark.sparkContext.broadcast((ids, quantized(block)))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, block = sent.value
-            best = Best(len(query_ids), k, object if np.abs(block).max(initial=0.0) >= 1 << 26 else np.float64)
-            for ids, points in blocks(batches):
-                if points.shape[1] == block.shape[1]:
-                    search(best, query_ids, block, ids, quantized(points))
-            keys = [int(x) for x in best.key]
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(keys, pa.int64())], ["query_id", "vec_id", "key"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, key long"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return ranked(reduce(DataFrame.union, parts), k).select("query_id", F.col("rank").cast("int"), "vec_id", (-F.col("key")).alias("score"))
+    asked = write_table(usable(queries, nonzero=False), "queries")
+
+    def parts() -> Iterator[DataFrame]:
+        for ids, block in query_blocks(asked):
+            sent = spark.sparkContext.broadcast((ids, quantized(block)))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                query_ids, block = sent.value
+                best = Best(len(query_ids), k, object if np.abs(block).max(initial=0.0) >= 1 << 26 else np.float64)
+                for ids, points in blocks(batches):
+                    if points.shape[1] == block.shape[1]:
+                        search(best, query_ids, block, ids, quantized(points))
+                keys = [int(x) for x in best.key]
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(keys, pa.int64())], ["query_id", "vec_id", "key"])
+
+            yield rows.mapInArrow(run, schema)
+            sent.destroy()
+
+    schema = "query_id long, vec_id long, key long"
+    found = write_parts(spark, parts(), "found", schema)
+    return ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", (-F.col("key")).alias("score"))
 
 
 def op10_kdtree(spark, sf_dir: str) -> DataFrame:

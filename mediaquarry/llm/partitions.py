@@ -10,9 +10,9 @@ most probable partitions, as many as reach ``TARGET`` recall for a part of the
 sample that the network didn't learn from, and the rows there are ranked by
 exact distance.
 
-Queries come in blocks of bounded size that are broadcast with their routes;
-rows are scored where they are read, so no partition, however large, has to fit
-in a task.
+Queries come in blocks of bounded size that are broadcast with their routes,
+one block at a time; rows are scored where they are read, so no partition,
+however large, has to fit in a task.
 
 Defined results: vectors that are null, zero or hold a null or a component that
 isn't finite, and rows without vec_id take no part; equal rows count once, and
@@ -25,14 +25,13 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready, write_table
+from ._store import ready, write_parts, write_table
 from ._vectors import Best, blocks, query_blocks, ranked, usable
 
 #: The most rows that a model is fitted on; below SMALL there is one partition.
@@ -214,27 +213,31 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFr
     rows = write_table(usable(vectors, nonzero=True), "vectors")
     index = fit_index(rows)
     model = spark.sparkContext.broadcast(index)
-    parts = []
-    for ids, block in query_blocks(write_table(usable(queries, nonzero=True), "queries")):
-        router = index.get(block.shape[1], Whole())
-        chance = router.probabilities(block)
-        route = np.argsort(-chance, axis=1, kind="stable")[:, : router.probes]
-        probed = np.zeros(chance.shape, bool)
-        probed[np.arange(len(ids))[:, None], route] = True
-        sent = spark.sparkContext.broadcast((ids, block, probed))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            query_ids, block, probed = sent.value
-            best = Best(len(query_ids), k, np.float64)
-            for ids, points in blocks(batches):
-                if points.shape[1] == block.shape[1]:
-                    scan(best, query_ids, block, probed, ids, points, model.value[points.shape[1]].probabilities(points).argmax(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(best.key)], ["query_id", "vec_id", "key"])
-
-        parts.append(rows.mapInArrow(run, "query_id long, vec_id long, key double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ranked(reduce(DataFrame.union, parts), k).select("query_id", F.col("rank").cast("int"), "vec_id", F.col("key").alias("score"))
+    asked = write_table(usable(queries, nonzero=True), "queries")
+
+    def parts() -> Iterator[DataFrame]:
+        for ids, block in query_blocks(asked):
+            router = index.get(block.shape[1], Whole())
+            chance = router.probabilities(block)
+            route = np.argsort(-chance, axis=1, kind="stable")[:, : router.probes]
+            probed = np.zeros(chance.shape, bool)
+            probed[np.arange(len(ids))[:, None], route] = True
+            sent = spark.sparkContext.broadcast((ids, block, probed))
+
+            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                query_ids, block, probed = sent.value
+                best = Best(len(query_ids), k, np.float64)
+                for ids, points in blocks(batches):
+                    if points.shape[1] == block.shape[1]:
+                        scan(best, query_ids, block, probed, ids, points, model.value[points.shape[1]].probabilities(points).argmax(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(best.key)], ["query_id", "vec_id", "key"])
+
+            yield rows.mapInArrow(run, schema)
+            sent.destroy()
+
+    schema = "query_id long, vec_id long, key double"
+    found = write_parts(spark, parts(), "found", schema)
+    return ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", F.col("key").alias("score"))
 
 
 def op3_learned_partitions(spark, sf_dir: str) -> DataFrame:

@@ -136,3 +136,17 @@ def test_partitions_are_balanced():
 def test_empty_tables(spark):
     df = table(spark, []).limit(0)
     assert kdtree.top_products(df, df, 5).collect() == [] == partitions.nearest_neighbours(df, df, 10).collect()
+
+
+def test_several_blocks_of_queries(spark, monkeypatch):
+    from mediaquarry.llm import _vectors
+
+    monkeypatch.setattr(_vectors.query_blocks, "__defaults__", (7,))
+    rows = odd(np.random.default_rng(8))
+    df = table(spark, rows)
+    many, few = df.filter("vec_id % 10 = 0"), df.filter("vec_id % 50 = 0")
+    for found in (kdtree.top_products, partitions.nearest_neighbours):
+        got = {tuple(r) for r in found(df, many, 4).collect()}
+        monkeypatch.undo()
+        assert {r for r in got if r[0] % 50 == 0} == {tuple(r) for r in found(df, few, 4).collect()}
+        monkeypatch.setattr(_vectors.query_blocks, "__defaults__", (7,))
