@@ -47,7 +47,7 @@ def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     and c1, c2 are hashes of the window's lines.
     """
     rows = _keyed(docs).filter("text <> ''").withColumn("u", F.monotonically_increasing_id())
-    line = F.regexp_replace("line", r"^[ \t\x0B\f\r]+|[ \t\x0B\f\r]+$", "")
+    line = F.regexp_replace("line", r"\A[ \t\x0B\f\r]+|[ \t\x0B\f\r]+\z", "")
     lines = rows.select("u", "id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", line).filter("line <> ''")
     lines = lines.select("u", "id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.size(F.split("line", r"[ \t\x0B\f\r]+")).cast("long").alias("words"))
     whole = Window.partitionBy("u").orderBy("pos")

@@ -58,7 +58,7 @@ def test_as_brute_force(spark):
             at, a = rng.randint(0, len(rows)), rng.randint(0, 4)
             rows[at:at] = passage[a : rng.randint(a, 8)]
         if rng.random() < 0.3:
-            rows.insert(rng.randint(0, len(rows)), rng.choice(("", "  ", "\t")))
+            rows.insert(rng.randint(0, len(rows)), rng.choice(("", "  ", "\t", "w1 w2 \u2028", " \x85 w3\r", "\u2028")))
         docs.append((i, "\n".join(rows)))
     docs += [(500, "\n".join(["a b c"] * 30)), (None, docs[3][1]), (501, docs[3][1]), (501, docs[3][1]), (501, docs[4][1])]
     want = brute(hashed(spark, docs), 9)

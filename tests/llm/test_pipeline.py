@@ -37,3 +37,15 @@ def test_registered(spark):
     names = {n.split("_")[0] for n in queries.QUERIES}
     assert names == {f"op{i}" for i in range(1, 11)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_odd_and_empty_documents(spark, odd_docs):
+    """Nulls, empty and long texts, repeated rows and clashing names pass all stages; so does a table without rows."""
+    for docs in (odd_docs, odd_docs.limit(0)):
+        rows = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, rows, FOLDER)
+            assert found.columns == docs.columns, name
+            rows = found.cache()
+        packed = corpus_pipeline.STAGES[-1][1](spark, rows, FOLDER).collect()
+        assert len(packed) == rows.count() and bool(packed) == (docs is odd_docs)
