@@ -41,33 +41,46 @@ FOLDS = 3
 STEMS = (5, 7)
 THRESHOLD = 0.7
 #: Word hashes that a worker keeps.
-CACHED = 120_000
+CACHED = 250_000
 _SPACES = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * sum(not chr(c).isalnum() for c in range(128)))
 
 
-class _Hashes(dict):
-    """Hashes of words, or of as many of their first bytes."""
+class _Words(dict):
+    """The row of ``table`` with the hashes of a word and of its stems; the last rows are for words that aren't kept."""
 
-    def __init__(self, size: int | None = None) -> None:
+    def __init__(self) -> None:
         super().__init__()
-        self.size, self.seed = size, size or 0
+        self.table = np.zeros((CACHED + 1024, 1 + len(STEMS)), np.uint64)
+        self.spare = CACHED
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word[: self.size], self.seed)
-        if len(self) < CACHED:
-            self[word] = h
-        return h
-
-
-_HASHES = _Hashes()
-_STEMS = [_Hashes(size) for size in STEMS]
+        digest = xxhash.xxh64_intdigest
+        at = len(self)
+        if at < CACHED:
+            self[word] = at
+        else:
+            at = self.spare
+            self.spare += 1
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table[CACHED:])])
+        self.table[at] = (digest(word), *(digest(word[:n], n) for n in STEMS))
+        return at
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        self.spare = CACHED
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        found = self.table[at].T
+        if len(self.table) > CACHED + (1 << 20):
+            self.table = self.table[: CACHED + 1024].copy()
+        return found
+
+
+_WORDS = _Words()
 
 
 def features(text: str | None) -> np.ndarray:
     """Hashed features of a text, from 0 to 2**BITS, perhaps repeated."""
-    words = (text or "").encode().lower().translate(_SPACES).split()
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    stems = [np.fromiter(map(x.__getitem__, words), np.uint64, len(words)) for x in _STEMS]
+    h, *stems = _WORDS.hashes((text or "").encode().lower().translate(_SPACES).split())
     shift, odd, other = np.uint64(64 - BITS), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
     pairs = (h[:-1] * odd + h[1:]) * other
     skips = (h[:-2] * other + h[2:]) * odd

@@ -50,6 +50,14 @@ def test_features():
     assert set(found("a b")) < set(found("a b c"))
 
 
+def test_words_that_are_not_kept(monkeypatch):
+    texts = [" ".join(f"word{(i * 7 + j * j) % 5000}" for j in range(3000)) for i in range(3)]
+    want = [toxicity.features(t).tolist() for t in texts]
+    monkeypatch.setattr(toxicity, "CACHED", 50)
+    monkeypatch.setattr(toxicity, "_WORDS", toxicity._Words())
+    assert [toxicity.features(t).tolist() for t in texts] == want and len(toxicity._WORDS) == 50
+
+
 def test_parting():
     assert 0.3 < toxicity.parting(np.array([0.1, 0.9, 0.2, 0.8, 0.3]), np.array([0, 1, 0, 1, 0])) < 0.8
     assert toxicity.parting(np.array([0.1, 0.9]), np.array([1, 1])) == 0.0
