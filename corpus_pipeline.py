@@ -25,9 +25,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without later repeated runs of lines; n_chars follows the text."""
-    found = without_repeats(docs)
+    lines, removed = "lines", "removed"
+    while {lines, removed} & set(docs.columns):
+        lines, removed = lines + "_", removed + "_"
+    found = without_repeats(docs, counts=(lines, removed))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return found.select(*docs.columns)
 
 

@@ -80,10 +80,10 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return write_table(runs.select("id", "th", F.col("r.first").alias("starts"), F.col("r.last").alias("ends")), "runs")
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` without its later repeated runs: text replaced, and n_lines, n_removed added.
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` without its later repeated runs: text replaced, and the counts of lines before and of those removed added.
 
-    Columns of these two names are replaced.  ``docs`` is read twice.
+    Columns with the names of the counts are replaced.  ``docs`` is read twice.
     """
     runs = repeated_runs(docs, min_words)
     key, other = "id", "th"
@@ -92,7 +92,7 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = runs.select(F.col("id").alias(key), F.col("th").alias(other), F.struct("starts", "ends").alias(f"{key}{other}"))
     runs_name = f"{key}{other}"
     text = F.col("text").cast("string")
-    rows = docs.drop("n_lines", "n_removed").withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(other, F.xxhash64(text))
+    rows = docs.drop(*counts).withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))).withColumn(other, F.xxhash64(text))
     rows = rows.join(runs.hint("merge"), [key, other], "left")  # runs grow with the input, so at no size by broadcast
     lines, starts, ends = F.split(text, "\n"), F.col(f"{runs_name}.starts"), F.col(f"{runs_name}.ends")
 
@@ -104,10 +104,10 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     left = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(starts)), kept)), "\n")
     removed = F.aggregate(F.zip_with(starts, ends, lambda a, b: b - a + 1), F.lit(0), lambda x, y: x + y)
     some = F.col(runs_name).isNotNull()
-    rows = rows.withColumn("n_lines", F.when(text.isNull() | (text == ""), 0).otherwise(F.size(lines)).cast("long"))
-    rows = rows.withColumn("n_removed", F.when(some, removed).otherwise(0).cast("long"))
+    rows = rows.withColumn(counts[0], F.when(text.isNull() | (text == ""), 0).otherwise(F.size(lines)).cast("long"))
+    rows = rows.withColumn(counts[1], F.when(some, removed).otherwise(0).cast("long"))
     rows = rows.withColumn("text", F.when(some, left).otherwise(text))
-    return rows.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    return rows.select(*[c for c in docs.columns if c not in counts], *counts)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

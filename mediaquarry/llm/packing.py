@@ -69,29 +69,35 @@ def boundaries(longest: np.ndarray, counts: np.ndarray, totals: np.ndarray, buck
 
 
 def pack(items: DataFrame, length: str = "n_tokens", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """``items`` with bucket, bucket_len, batch (from 0 within the bucket) and slot (within the batch)."""
-    names = items.columns
-    own = "length"
-    items = write_table(items.select(*names, F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(1)), F.lit(1)).alias(f"_{own}"), F.monotonically_increasing_id().alias("_row")), "items")
-    items = items.withColumn("_bin", bin_of(F.col(f"_{own}")))
-    bins = items.groupBy("_bin").agg(F.count("*").alias("n"), F.sum(f"_{own}").alias("total"), F.max(f"_{own}").alias("longest")).orderBy("_bin").toPandas()
+    """``items`` with bucket, bucket_len, batch (from 0 within the bucket) and slot (within the batch).
+
+    Columns of these names are replaced.
+    """
+    names = [c for c in items.columns if c not in ("bucket", "bucket_len", "batch", "slot")]
+    own = "_"
+    while any(c.startswith(own) for c in items.columns):
+        own += "_"
+    size, row, bin_, shard, n, offset, number = (own + x for x in ("size", "row", "bin", "shard", "n", "offset", "number"))
+    kept = items.select(*names, F.greatest(F.coalesce(F.col(length).cast("long"), F.lit(1)), F.lit(1)).alias(size), F.monotonically_increasing_id().alias(row))
+    items = write_table(kept, "items").withColumn(bin_, bin_of(F.col(size)))
+    bins = items.groupBy(F.col(bin_).alias("bin")).agg(F.count("*").alias("n"), F.sum(size).alias("total"), F.max(size).alias("longest")).orderBy("bin").toPandas()
     longest, counts = bins.longest.to_numpy(np.int64), bins.n.to_numpy(np.int64)
     ends = boundaries(longest, counts, bins.total.to_numpy(np.int64), buckets)
-    bucket = size = shards = None
+    bucket = bucket_len = shards = None
     for k, (first, last) in enumerate(zip([-1, *ends], ends, strict=False)):
-        here = F.col("_bin") <= int(bins["_bin"].iloc[last])
+        here = F.col(bin_) <= int(bins.bin.iloc[last])
         count = int(counts[first + 1 : last + 1].sum())
         values = F.lit(k), F.lit(int(longest[last])), F.lit(-(-count // SHARD))
-        bucket, size, shards = (F.when(here, v) if x is None else x.when(here, v) for x, v in zip((bucket, size, shards), values, strict=True))
+        bucket, bucket_len, shards = (F.when(here, v) if x is None else x.when(here, v) for x, v in zip((bucket, bucket_len, shards), values, strict=True))
     if bucket is None:
-        bucket, size, shards = F.lit(0), F.lit(0), F.lit(1)
-    dealt = items.withColumns({"bucket": bucket.cast("int"), "bucket_len": size.cast("long"), "_shard": F.pmod(F.xxhash64("_row"), shards.cast("long"))})
-    sizes = dealt.groupBy("bucket", "_shard").agg(F.count("*").alias("_n"))
-    offset = F.sum("_n").over(Window.partitionBy("bucket").orderBy("_shard")) - F.col("_n")
-    offsets = write_table(sizes.select("bucket", "_shard", offset.alias("_offset")), "offsets")
-    numbered = dealt.withColumn("_number", F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("_row")) - 1)
-    placed = numbered.join(offsets, ["bucket", "_shard"])
-    rank = F.col("_offset") + F.col("_number")
+        bucket, bucket_len, shards = F.lit(0), F.lit(0), F.lit(1)
+    dealt = items.withColumns({"bucket": bucket.cast("int"), "bucket_len": bucket_len.cast("long"), shard: F.pmod(F.xxhash64(row), shards.cast("long"))})
+    sizes = dealt.groupBy("bucket", shard).agg(F.count("*").alias(n))
+    before = F.sum(n).over(Window.partitionBy("bucket").orderBy(shard)) - F.col(n)
+    offsets = write_table(sizes.select("bucket", shard, before.alias(offset)), "offsets")
+    numbered = dealt.withColumn(number, F.row_number().over(Window.partitionBy("bucket", shard).orderBy(row)) - 1)
+    placed = numbered.join(offsets, ["bucket", shard])
+    rank = F.col(offset) + F.col(number)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long")
     return placed.select(*names, "bucket", "bucket_len", F.floor(rank / room).cast("long").alias("batch"), (rank % room).cast("int").alias("slot"))
 

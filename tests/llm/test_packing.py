@@ -85,3 +85,12 @@ def test_odd_documents(spark, odd_docs):
     check(rows, packing.BUDGET)
     assert {r.n_tokens for r in rows if r.doc_id in (0, 1, None)} == {1}
     assert packing.pack_documents(odd_docs.limit(0)).count() == 0
+
+
+def test_names_that_clash(spark):
+    items = spark.range(40).select("id", (F.col("id") % 9 + 1).alias("n_tokens"), F.lit("x").alias("bucket"), F.lit(1).alias("_row"), F.lit(2).alias("__size"), F.lit(3).alias("n"))
+    found = packing.pack(items, buckets=3, budget=20)
+    assert found.columns == ["id", "n_tokens", "_row", "__size", "n", "bucket", "bucket_len", "batch", "slot"]
+    rows = found.collect()
+    assert len(rows) == 40 and {(r["_row"], r["__size"], r.n) for r in rows} == {(1, 2, 3)}
+    check(rows, 20)

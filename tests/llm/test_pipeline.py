@@ -47,5 +47,6 @@ def test_odd_and_empty_documents(spark, odd_docs):
             found = stage(spark, rows, FOLDER)
             assert found.columns == docs.columns, name
             rows = found.cache()
+            assert {r.n_lines - r.row for r in rows.collect()} <= {0, 1}, name
         packed = corpus_pipeline.STAGES[-1][1](spark, rows, FOLDER).collect()
         assert len(packed) == rows.count() and bool(packed) == (docs is odd_docs)
