@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaquarry.llm._store import write_table
+from mediaquarry.llm.copies import distinct_documents
 from mediaquarry.llm.lines import without_repeats
 from mediaquarry.llm.packing import pack_documents
-from mediaquarry.llm.simhash import distinct_documents
 from mediaquarry.llm.toxicity import clean
 
 
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
     return distinct_documents(docs)
 
 
