@@ -238,20 +238,19 @@ class Page:
         path = [best]
         while path[-1] and self.tag[path[-1]] != "body":
             path.append(self.parent[path[-1]])
+        threshold = min(own[i] for i in path)
         for kind in ("article", "main"):
             for i in path:
                 if self.tag[i] == kind:
-                    return [i]
+                    return [j for j in usable if j == i or (kind == "article" and self.tag[j] == kind and self.parent[j] == self.parent[i] and own[j] >= threshold)]
         for i in path:
             if self.main[i] and not (i and self.main[self.parent[i]]):
                 return [i]
-        threshold = min(own[i] for i in path)
         picked, above = {best}, set(path)
         for i in usable:
             p = self.parent[i]
             if i not in above and p in above and p != best:
-                heading = self.tag[i] in HEADING
-                if heading or (p != path[-1] and own[i] >= threshold):
+                if self.tag[i] in HEADING or own[i] >= threshold:
                     picked.add(i)
         return sorted(picked)
 

@@ -37,6 +37,13 @@ def test_names_of_what_holds_the_article_say_nothing():
     assert extract(f'<body><div class="content"><h1>T</h1>{story}</div>{comments}</body>') == "T\n" + text
 
 
+@pytest.mark.parametrize("tag", ["div", "article"])
+def test_text_in_several_blocks_of_the_body(tag):
+    blocks = [[f"Part {b} paragraph {i} goes on for quite some time about the matter at hand." for i in range(8)] for b in range(2)]
+    page = "".join(f"<{tag}>" + "".join(f"<p>{p}</p>" for p in block) + f"</{tag}>" for block in blocks)
+    assert extract(f"<body>{page}<footer>x</footer></body>").split("\n") == sum(blocks, [])
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
