@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import drop_table, write_table
+from ._store import result, write_table
 
 
 def _stars(edges: DataFrame, larger: bool) -> DataFrame:
@@ -34,9 +34,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         if not state.n or state == before:
             break
         before = state
-        large = write_table(_stars(edges, True), "large")
-        drop_table(edges)
-        edges = write_table(_stars(large, False), "small")
-        drop_table(large)
+        edges = result(lambda edges=edges: _stars(write_table(_stars(edges, True), "large"), False), "small")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,100 +1,109 @@
-"""Tables in the folder that the cluster shares, and limits on Arrow batches."""
+"""Tables in the folder that the cluster shares, and small Arrow batches.
+
+A table that only one result needs is written within :func:`scratch` and goes
+when the block ends; the others go with the driver.
+"""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
+import shutil
 import tempfile
-import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
+from ..sources.storage import fresh
 
+_REMOVE: list[tuple[SparkSession, str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset a temporary folder is used, but only under a local
-    master (tests); elsewhere a machine's own folder would lose rows.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="mediaquarry-")
-    return f"file://{_OWN[app]}"
-
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage; the files outlive lost executors and are removed
-    when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mediaquarry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table in the shared folder; what is there goes with the driver, or with :func:`scratch`."""
+    path = fresh(spark, name)
     _REMOVE.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._mq_path = path
-    return out
+    return path
 
 
-def write_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, schema: str) -> DataFrame:
-    """Write frames one after another into one table of the shared folder, and read it back."""
-    path = f"{shared_dir(spark)}/mediaquarry/{name}-{uuid.uuid4().hex}"
-    _REMOVE.append((spark, path))
-    spark.createDataFrame([], schema).write.parquet(path)
-    for part in parts:
-        part.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def write_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, perhaps in a folder for each value of ``by``, and read it back.
 
-
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table from :func:`write_table`."""
-    _delete(df.sparkSession, df._mq_path)
+    This cuts the lineage; the files outlive lost executors.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written in this block are removed at its end."""
+    before = len(_REMOVE)
+    try:
+        yield
+    finally:
+        mine = _REMOVE[before:]
+        del _REMOVE[before:]
+        for spark, path in mine:
+            _delete(spark, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-_REMOVE: list[tuple[SparkSession, str]] = []
+    """Remove a folder; one that can't be removed is left behind."""
+    try:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session may have ended before the interpreter
+        return
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _REMOVE:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
+        _delete(spark, path)
 
 
-_SHIPPED: set[str] = set()
+def result(make, name: str) -> DataFrame:
+    """The frame that ``make`` gives, as a table; what ``make`` writes on the way is removed."""
+    with scratch():
+        df = make()
+        spark, path = df.sparkSession, fresh(df.sparkSession, name)
+        df.write.parquet(path)
+    _REMOVE.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def ready(spark: SparkSession, rows: int = 256) -> None:
-    """Send this package to the executors, once, and bound the rows of an Arrow batch.
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``.
 
-    Small batches let long texts fit a Python worker.
+    Spark bounds the bytes of its batches; these bound the Python objects that
+    a worker makes of them at once.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ready(spark: SparkSession) -> None:
+    """Send this package to the executors, once; no setting of the session changes."""
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="mediaquarry-")) / "mediaquarry_llm.zip"
+    folder = tempfile.mkdtemp(prefix="mediaquarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "mediaquarry_llm.zip"
     with zipfile.ZipFile(target, "w") as out:
-        for file in [package / "__init__.py", *sorted((package / "llm").glob("*.py"))]:
+        for file in [package / "__init__.py", package / "sources/__init__.py", package / "sources/storage.py", *sorted((package / "llm").glob("*.py"))]:
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(target))
     _SHIPPED.add(context.applicationId)

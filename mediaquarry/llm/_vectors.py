@@ -9,24 +9,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of candidates, and of one of queries, which is broadcast.
+from ._store import write_table
+
+#: Rows of a block of candidates, and of one of queries.
 ROWS, QUERY_ROWS = 8_192, 8_192
+#: Bytes of the queries that are broadcast at once.
+PASS_BYTES = 32 << 20
+
 
+def usable(df: DataFrame, nonzero: bool, most: float = float("inf")) -> DataFrame:
+    """(vec_id, embedding as doubles) whose components are all below ``most`` in size, perhaps not all zero.
 
-def usable(df: DataFrame, nonzero: bool) -> DataFrame:
-    """Distinct (vec_id, embedding as doubles) whose components are all finite, perhaps not all zero."""
+    One row for each vec_id: of several vectors the least, component by component.
+    """
     x = F.col("embedding").cast("array<double>")
-    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < most))
     if nonzero:
         good &= F.exists(x, lambda v: v != 0)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
-    return rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(good, F.lit(False))).distinct()
+    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(good, F.lit(False)))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+
+
+def arrays(batch: pa.RecordBatch | pa.Table, size: int) -> np.ndarray:
+    """The column embedding as a matrix; all its rows have ``size`` components."""
+    column = batch.column("embedding")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, vectors) of up to ``rows`` rows (vec_id, embedding), those of one length together."""
+    """(ids, vectors) of up to about ``rows`` rows (vec_id, embedding), those of one length together."""
     held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-    for batch in batches:
+    for batch in (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows)):
         ids = batch.column(0).to_numpy()
         vectors = batch.column(1)
         sizes = np.diff(vectors.offsets.to_numpy())
@@ -43,22 +58,29 @@ def blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tupl
             yield np.concatenate([i for i, _ in mine]), np.concatenate([v for _, v in mine])
 
 
-def query_blocks(queries: DataFrame, rows: int = QUERY_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries in blocks of at most ``rows``, one by one, those of one length together.
+def passes(queries: DataFrame, rows: int | None = None, room: int | None = None) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The queries in lists of blocks: at most ``rows`` rows of one length a block and about ``room`` bytes a list.
 
-    Blocks are dealt by a hash of the id, a third smaller than they may be, and
-    cut where one is larger all the same.
+    They are stored by parts, dealt by a hash of the id, so that each list reads
+    its own part only.
     """
-    for (size,) in [(r[0],) for r in queries.select(F.size("embedding").alias("n")).distinct().orderBy("n").collect()]:
-        mine = queries.filter(F.size("embedding") == size)
-        parts = -(-3 * mine.count() // (2 * rows))
-        for k in range(parts):
-            found = mine.filter(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k).orderBy("vec_id").toArrow()
-            ids = found.column("vec_id").to_numpy()
-            vectors = found.column("embedding").combine_chunks()
-            vectors = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), size)
+    rows, room = rows or QUERY_ROWS, room or PASS_BYTES
+    size = queries.agg(F.sum(8 * F.size("embedding") + 8)).first()[0] or 0
+    parts = -(-3 * size // (2 * room))
+    dealt = write_table(queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, parts))).cast("int")), "queries", by="part")
+    for k in range(parts):
+        found = dealt.filter(F.col("part") == k).select("vec_id", "embedding").orderBy("vec_id").toArrow()
+        out, held = [], 0
+        for ids, vectors in blocks(iter(found.combine_chunks().to_batches()), rows):
             for at in range(0, len(ids), rows):
-                yield ids[at : at + rows], vectors[at : at + rows]
+                block = ids[at : at + rows], vectors[at : at + rows]
+                if out and held + block[1].nbytes > room:
+                    yield out
+                    out, held = [], 0
+                out.append(block)
+                held += block[1].nbytes
+        if out:
+            yield out
 
 
 class Best:
@@ -67,6 +89,7 @@ class Best:
     def __init__(self, n: int, k: int, dtype: type) -> None:
         self.k = k
         self.query = np.zeros(0, np.int64)
+        #: Doubles, or whole numbers of any size once any such is added.
         self.key = np.zeros(0, dtype)
         self.id = np.zeros(0, np.int64)
         #: The largest key that can still enter.
@@ -75,6 +98,10 @@ class Best:
     def add(self, query: np.ndarray, key: np.ndarray, id_: np.ndarray) -> None:
         if not len(query):
             return
+        if key.dtype == object != self.key.dtype:
+            self.key = np.array([int(x) for x in self.key], object)
+        elif self.key.dtype == object != key.dtype:
+            key = np.array([int(x) for x in key], object)
         query, key, id_ = np.r_[self.query, query], np.r_[self.key, key], np.r_[self.id, id_]
         order = np.lexsort((id_, key, query))
         query, key, id_ = query[order], key[order], id_[order]
@@ -82,11 +109,19 @@ class Best:
         place = np.arange(len(query)) - np.flatnonzero(start)[np.cumsum(start) - 1]
         keep = place < self.k
         last = place == self.k - 1
-        self.kth[query[last]] = key[last].astype(float)
+        self.kth[query[last]] = [_up(x) for x in key[last]] if key.dtype == object else key[last]
         self.query, self.key, self.id = query[keep], key[keep], id_[keep]
 
 
-def ranked(found: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, key): the k smallest (key, vec_id) of each query."""
-    order = Window.partitionBy("query_id").orderBy("key", "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "key")
+def _up(x: int) -> float:
+    """A double that isn't less than ``x``."""
+    try:
+        return float(np.nextafter(float(x), np.inf))
+    except OverflowError:
+        return np.inf if x > 0 else -np.finfo(float).max
+
+
+def ranked(found: DataFrame, k: int, *order: str) -> DataFrame:
+    """``found`` with rank: the k first rows of each query_id in the order of key, of further columns, and of vec_id."""
+    window = Window.partitionBy("query_id").orderBy("key", *order, "vec_id")
+    return found.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)

@@ -1,25 +1,34 @@
-"""Near copies of documents: all pairs whose sets of word shingles have a Jaccard similarity of ``ALIKE`` or more.
-
-The fingerprints of ``simhash`` within a few bits find only the closest copies,
-so pairs are found here by their shingles, and every link is confirmed on the
-whole sets (64-bit hashes).  Equal sets are reduced to one node first.  Then:
-
-1. Stars: nodes that agree in a band of minima are compared with one node of
-   it, another one in each band.  This links most of a large group in rows that
-   grow with its size only.  It needs to find nothing in particular.
-2. Prefixes: with the shingles of all nodes in one order, two sets with the
-   similarity share one of the first n - ceil(ALIKE * n) + 1 of each.  Nodes of
-   different components of step 1 that share one are compared, unless their sizes or
-   places in the order rule the similarity out.  So no link that would change a
-   component is missed.
-
-Frequent shingles of a sample come last in the order; any order gives the same
-result, this one fewer comparisons.
+"""One document of each group of near copies: SimHash with BK-trees at the similarity of ``ALIKE`` on word shingles.
+
+Sets of ``WORDS``-word shingles with a Jaccard similarity of 0.8 have
+fingerprints some 10 of 64 bits apart, so ``RADIUS`` is wide, and no choice of
+equal bits would hold such a pair together.  Shards are therefore named by
+minima of the shingles: a set has ``BANDS`` shards, each named by ``DEEP``
+minima under hashes of its own, and two sets of similarity s miss each other in
+all of them with probability (1 - s**DEEP)**BANDS, 7e-5 at 0.8.  Within a shard
+candidates are pairs of fingerprints within the radius, found by BK-trees.
+The radius loses another 1e-4 or so of the pairs at 0.8, more of those of very
+few shingles.
+
+Every link is confirmed on the whole sets (64-bit hashes), and whatever isn't
+confirmed counts for nothing.  Equal sets are reduced to one node first.
+
+1. Roots: each node is compared with the root of a shard's tree, the same root
+   in as many of its shards as have it.  This links most of a large group in
+   one pair a node.
+2. Trees: in shards that still hold nodes of several components, those outside
+   the largest one search the tree, first for one candidate each, then, with
+   the components that this gave, for all.  A parity sketch of 1,024 bits
+   bounds the symmetric difference of two sets from below and rules out most
+   pairs that the radius lets through, never one that is similar.
+
+Shards of more than ``FULL`` members are cut in cells of so many tree members
+and so many that search.
 
 Defined results: a text of fewer words than a shingle is one shingle, and texts
 without words are copies of each other; among rows of the smallest doc_id of a
 component any one stays, the others go; nulls come last; columns other than
-doc_id and text are kept as they are.
+doc_id and text are kept as they are; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,30 +42,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._components import connected_components
-from ._store import ready, write_table
-from .simhash import SEED
+from ._store import ready, sliced, write_table
+from .simhash import FULL, HELD, SEED, Forest, majority, shingle_hashes
 
-WORDS = 5
+WORDS, RADIUS = 5, 22
 #: The least similarity, as a fraction.
 ALIKE = (4, 5)
-BANDS, DEEP = 12, 2
-#: Nodes of which frequent shingles are counted, and the most shingles that reach the driver.
-SAMPLE, FREQUENT = 1 << 14, 1 << 16
+BANDS, DEEP = 18, 4
+SKETCH = 1_024
+#: Pairs whose sketches are compared at once.
+PAIRS = 1 << 15
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The hashes of the ``words``-word shingles of ``text``, sorted and distinct."""
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(tokens)
-    digest = xxhash.xxh64_intdigest
-    if len(tokens) <= words:
-        return np.array([digest(joined, SEED)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    view = memoryview(joined)
-    return np.unique(np.fromiter((digest(view[a:z], SEED) for a, z in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)), np.uint64, len(tokens) - words + 1))
+    return np.unique(shingle_hashes(text, words))
 
 
 def minima(found: np.ndarray) -> list[int]:
@@ -65,26 +65,16 @@ def minima(found: np.ndarray) -> list[int]:
         return []
     factors = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(len(factors), ~np.uint64(0))
-    for i in range(0, len(found), 1 << 14):
-        mixed = found[i : i + (1 << 14), None] * factors
+    for i in range(0, len(found), 1 << 13):
+        mixed = found[i : i + (1 << 13), None] * factors
         least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
     return [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(BANDS, DEEP))]
 
 
-def prefix(found: np.ndarray, known: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order: those outside ``known``, then by ``seen``, then by hash."""
-    n, (a, b) = len(found), ALIKE
-    if not n:
-        return found
-    rank = np.zeros(n, np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-        rank = np.where(known[at] == found, seen[at], 0)
-    return found[np.lexsort((found, rank))][: n - -(-a * n // b) + 1]
-
-
-def _signed(x: np.ndarray) -> list[int]:
-    return x.view(np.int64).tolist()
+def sketch(found: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of shingles falls on i, so two sketches differ in at most as many bits as the sets in members."""
+    odd = np.bincount((found >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def _over(rows: DataFrame, make, schema: str) -> DataFrame:
@@ -93,7 +83,7 @@ def _over(rows: DataFrame, make, schema: str) -> DataFrame:
     types = rows.sparkSession.createDataFrame([], schema).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             made = [make(t) for t in batch.column(1).to_pylist()]
             columns = [pa.array([m[k] for m in made], kinds[k]) for k in range(len(kinds))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names)
@@ -107,51 +97,139 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFra
     """Those of ``pairs`` (a, b, a table) whose texts have the similarity, by their whole sets."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     rows = texts.join(asked, "node", "left_semi").select("node", "text")
-    sets = write_table(_over(rows, lambda t: (_signed(shingles(t, words)),), "node long, s array<long>"), "sets")
+    sets = write_table(_over(rows, lambda t: (shingles(t, words).view(np.int64).tolist(),), "node long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("sum"))
     return write_table(both.filter(F.col("c") * ALIKE[1] >= (F.col("sum") - F.col("c")) * ALIKE[0]).select("a", "b"), "confirmed")
 
 
-def near_copies(texts: DataFrame, nodes: DataFrame, words: int = WORDS) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of ``nodes`` (node, n, bands) with the similarity.
+def _close(n: str, m: str):
+    return F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
+
+
+def _roots(nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with one root of its shards that its fingerprint, size and sketch allow."""
+    banded = nodes.select("node", "n", "fp", F.explode("bands").alias("band"))
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("other")))
+    roots = write_table(banded.groupBy("band").agg(first.alias("p"), F.count("*").alias("k")).filter("k > 1").select("band", "p.*"), "roots")
+    near = _close("n", "m") & (F.col("node") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
+    pairs = banded.join(roots, "band").filter(near).select(F.col("node").alias("a"), "b", "h", (F.col("n") + F.col("m")).alias("both")).distinct()
+    pairs = write_table(pairs, "pairs")
+    words = F.transform(F.sequence(F.lit(0), F.lit(SKETCH // 64 - 1)), lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    marks = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("node", words.alias("w"))
+    marks = write_table(marks, "marks")
+    both = pairs.join(marks.select(F.col("node").alias("a"), F.col("w").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("w").alias("y")), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    possible = both.filter(apart * sum(ALIKE) <= F.col("both") * (ALIKE[1] - ALIKE[0]))
+    return possible.groupBy("a").agg(F.min(F.struct("h", "b")).alias("p")).select("a", "p.b")
+
+
+def _searched(nodes: DataFrame, links: DataFrame, full: int, one: bool) -> DataFrame:
+    """(a, b): pairs of a shard that are in different components of ``links`` and may be similar; at most one for each a and shard if ``one``."""
+    found = connected_components(links)
+    placed = write_table(nodes.join(found, "node", "left").select("node", "n", "fp", "bands", "sketch", F.coalesce("root", "node").alias("root")), "placed")
+    banded = placed.select("node", "n", "fp", "root", F.explode("bands").alias("band"))
+    shares = banded.groupBy("band", "root").agg(F.count("*").alias("c"))
+    shards = shares.groupBy("band").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    cells = F.ceil(F.col("m") / full).cast("int"), F.ceil((F.col("m") - F.col("top.c")) / full).cast("int")
+    shards = write_table(shards.select("band", F.col("top.root").alias("top"), cells[0].alias("trees"), cells[1].alias("askers")), "shards")
+    members = banded.join(shards, "band").join(placed.select("node", "sketch"), "node")
+    asks = F.col("root") != F.col("top")
+    tree, part = F.pmod(F.xxhash64("node", F.lit("tree")), "trees").cast("int"), F.pmod(F.xxhash64("node"), "askers").cast("int")
+    grown = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda p: F.struct(tree.alias("tree"), p.alias("part"), F.lit(True).alias("grows"), (asks & (p == part)).alias("asks")))
+    asked = F.transform(F.sequence(F.lit(0), F.col("trees") - 1), lambda t: F.struct(t.alias("tree"), part.alias("part"), F.lit(False).alias("grows"), F.lit(True).alias("asks")))
+    cell = F.explode(F.when(asks, F.concat(grown, F.filter(asked, lambda c: c.tree != tree))).otherwise(grown)).alias("cell")
+    rows = members.select("band", cell, "node", "root", "n", "fp", "sketch").select("band", "cell.*", "node", "root", "n", "fp", "sketch")
 
-    ``texts`` (node, text) is a table; ``nodes`` has no two equal sets.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD:
+                whole = pa.Table.from_batches(held)
+                cut = int(np.flatnonzero(_starts(whole))[-1])
+                if cut:
+                    yield from candidates(whole.slice(0, cut), one)
+                held, count = whole.slice(cut).to_batches(), whole.num_rows - cut
+        if count:
+            yield from candidates(pa.Table.from_batches(held), one)
+
+    keys = ["band", "tree", "part"]
+    pairs = rows.repartition(*keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _starts(table: pa.Table) -> np.ndarray:
+    """Whether each row is the first of its cell."""
+    start = np.zeros(table.num_rows, bool)
+    start[:1] = True
+    for name in ("band", "tree", "part"):
+        x = table.column(name).to_numpy()
+        start[1:] |= x[1:] != x[:-1]
+    return start
+
+
+def candidates(table: pa.Table, one: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of whole cells by BK-trees of their fingerprints."""
+    cell = np.cumsum(_starts(table)) - 1
+    node, root, n = (table.column(c).to_numpy() for c in ("node", "root", "n"))
+    fp = table.column("fp").to_numpy().view(np.uint64)
+    marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(node), -1)
+    grows, asks = (table.column(c).to_numpy() for c in ("grows", "asks"))
+    inside = np.flatnonzero(grows)
+    inside = inside[np.lexsort((fp[inside], cell[inside]))]
+    # members of one cell with one fingerprint are one node of its tree
+    first = np.r_[True, (cell[inside][1:] != cell[inside][:-1]) | (fp[inside][1:] != fp[inside][:-1])] if len(inside) else np.zeros(0, bool)
+    begin = np.flatnonzero(first)
+    size = np.diff(np.r_[begin, len(inside)])
+    has = np.zeros(cell[-1] + 1, bool)
+    has[cell[inside]] = True
+    place = np.cumsum(has) - 1
+    forest = Forest(place[cell[inside[begin]]], fp[inside[begin]])
+    asking = np.flatnonzero(asks)
+    asking = asking[has[cell[asking]]]
+    best: dict[int, tuple[int, int]] = {}
+    for q, at in forest.search(place[cell[asking]], fp[asking], RADIUS):
+        total = np.cumsum(size[at])
+        for low in range(0, int(total[-1]), PAIRS):
+            some = np.arange(low, min(low + PAIRS, int(total[-1])))
+            k = np.searchsorted(total, some, side="right")
+            x, y = asking[q[k]], inside[begin[at[k]] + some - (total[k] - size[at[k]])]
+            keep = (root[x] != root[y]) & (np.minimum(n[x], n[y]) * ALIKE[1] >= np.maximum(n[x], n[y]) * ALIKE[0])
+            x, y = x[keep], y[keep]
+            apart = np.bitwise_count(marks[x] ^ marks[y]).sum(axis=1, dtype=np.int64)
+            keep = apart * sum(ALIKE) <= (n[x] + n[y]) * (ALIKE[1] - ALIKE[0])
+            x, y, apart = x[keep], y[keep], apart[keep]
+            if not one:
+                yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], ["a", "b"])
+                continue
+            order = np.lexsort((node[y], apart, x))
+            order = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(order) else order
+            for i in order:
+                new = int(apart[i]), int(node[y[i]])
+                if new < best.get(int(x[i]), (SKETCH + 1, 0)):
+                    best[int(x[i])] = new
+    if best:
+        yield pa.RecordBatch.from_arrays([pa.array(node[list(best)]), pa.array([b for _, b in best.values()], pa.int64())], ["a", "b"])
+
+
+def near_copies(texts: DataFrame, nodes: DataFrame, words: int = WORDS, full: int = FULL) -> DataFrame:
+    """(a, b): links whose components are those of all similar pairs that meet in a shard.
+
+    ``texts`` (node, text) and ``nodes`` (node, n, fp, bands, sketch), no two of
+    them with equal sets, are tables.
     """
-    close = F.least("n", "m") * ALIKE[1] >= F.greatest("n", "m") * ALIKE[0]
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
-    pivots = banded.groupBy("band").agg(F.min(F.struct(F.xxhash64("band", "node"), "node", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1")
-    pivots = write_table(pivots.select("band", F.col("p.node").alias("b"), F.col("p.n").alias("m")), "pivots")
-    pairs = banded.join(pivots, "band").filter(close & (F.col("node") != F.col("b"))).select(F.col("node").alias("a"), "b").distinct()
-    stars = confirmed(write_table(pairs, "pairs"), texts, words)
-
-    roots = connected_components(stars)
-    placed = nodes.select("node", "n").join(roots, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    placed = write_table(placed, "placed")
-    some = max(1, placed.count() // SAMPLE)
-    sample = texts.join(placed.filter(F.pmod(F.xxhash64("node"), F.lit(some)) == 0), "node", "left_semi").select("node", "text")
-    counted = _over(sample, lambda t: (_signed(shingles(t, words)),), "node long, s array<long>").select(F.explode("s").alias("p"))
-    counted = counted.groupBy("p").count().filter("count > 3").orderBy(F.desc("count"), "p").limit(FREQUENT).toPandas()
-    known, seen = counted["p"].to_numpy(np.int64).view(np.uint64), counted["count"].to_numpy(np.int64)
-    order = np.argsort(known)
-    known, seen = known[order], seen[order]
-    rows = texts.join(placed, "node", "left_semi").select("node", "text")
-    firsts = _over(rows, lambda t: (_signed(prefix(shingles(t, words), known, seen)),), "node long, s array<long>")
-    firsts = firsts.join(placed, "node").select("node", "n", "root", F.posexplode("s").alias("at", "p"))
-    firsts = write_table(firsts, "prefixes")
-    shared = firsts.groupBy("p").agg(F.min("root").alias("r"), F.max("root").alias("q")).filter("r <> q").select("p")
-    firsts = write_table(firsts.join(write_table(shared, "shared"), "p", "left_semi"), "firsts")
-    other = firsts.select("p", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("at").alias("there"))
-    most = F.least("at", "there") + 1 + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) - 1
-    reach = most * sum(ALIKE) >= (F.col("n") + F.col("m")) * ALIKE[0]
-    first = F.struct("n", "node") < F.struct("m", "b")
-    joined = firsts.join(other, (firsts.p == other.p) & first & (F.col("root") != F.col("other")) & close & reach)
-    pairs = write_table(joined.select(F.col("node").alias("a"), "b").distinct(), "pairs")
-    return stars.union(confirmed(pairs, texts, words))
-
-
-def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    links = confirmed(write_table(_roots(nodes), "pairs"), texts, words)
+    for one in (True, False):
+        pairs = write_table(_searched(nodes, links, full, one), "pairs")
+        links = links.union(confirmed(pairs, texts, words))
+    return links
+
+
+def distinct_documents(docs: DataFrame, words: int = WORDS, full: int = FULL) -> DataFrame:
     """One row of each component of near copies in ``docs``, with all its columns: that with the smallest doc_id."""
     row = "row"
     while row in docs.columns:
@@ -161,14 +239,14 @@ def distinct_documents(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     def mark(text):
         found = shingles(text, words)
-        return xxhash.xxh3_128_digest(found.tobytes()), len(found), minima(found)
+        return xxhash.xxh3_128_digest(found.tobytes()), len(found), int(np.uint64(majority(found)).view(np.int64)), minima(found), sketch(found)
 
-    marked = write_table(_over(texts, mark, "node long, key binary, n long, bands array<long>"), "marked")
+    marked = write_table(_over(texts, mark, "node long, key binary, n long, fp long, bands array<long>, sketch binary"), "marked")
     ids = numbered.select(F.col(row).alias("node"), F.col("doc_id").cast("long").alias("id"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "node")
-    groups = marked.join(ids, "node").groupBy("key").agg(F.min(order).alias("first"), F.max("n").alias("n"), F.min("bands").alias("bands"))
-    groups = write_table(groups.select(F.col("first.node").alias("node"), "first", "n", "bands"), "groups")
-    roots = connected_components(near_copies(texts, groups.select("node", "n", "bands"), words))
+    groups = marked.join(ids, "node").groupBy("key").agg(F.min(order).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "bands", "sketch")))
+    groups = write_table(groups.select(F.col("first.node").alias("node"), "first", "n", "fp", "bands", "sketch"), "groups")
+    roots = connected_components(near_copies(texts, groups.drop("first"), words, full))
     found = groups.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
     kept = write_table(found.select(F.col("first.node").alias(row)), "kept")
     return numbered.join(kept, row, "left_semi").drop(row)

@@ -2,19 +2,24 @@
 
 A shard is a block of rows as a task reads them; its tree splits at the median
 of the component with the widest range, and every node has a tight bounding
-box.  The greatest inner product of a query with a point in a box bounds all
-below it.  A query visits its leaves best first and stops where the bound falls
-below its k-th score so far; that score is carried from shard to shard within
-a task, and each task hands on its best k.
-
-Queries come in blocks of bounded size that are broadcast, one block at a time;
-candidates are never shuffled.
-
-Defined results: vectors that are null, or hold a null or a component that
-isn't finite, and rows without vec_id take no part; equal rows count once, and
-no row with the query's vec_id is a candidate; vectors meet only those of their
-own length; scores beyond 64 bits are cut to the nearest long that has a
-negative, and rank as such; an empty table gives an empty result; other columns are ignored.
+box.  Trees are built once and stored, a row for each.  The greatest inner
+product of a query with a point in a box bounds all below it.  A query visits
+the leaves of a tree best first and stops where the bound falls below its k-th
+score so far; that score is carried from tree to tree within a task, and each
+task hands on its best k.
+
+Queries are broadcast in lists of blocks of bounded size; each list takes one
+pass over the stored trees, and candidates are never shuffled.
+
+Scores are exact at any size: where a double can't hold them it bounds them,
+and those that the bound can't rule out are worked out in whole numbers.
+
+Defined results: vectors that are null, or hold a null or a component whose
+256-fold isn't finite, and rows without vec_id take no part; of several vectors under one
+vec_id the least counts, component by component; no row with the query's vec_id
+is a candidate; vectors meet only those of their own length; ranks go by the
+exact score, and a score beyond 64 bits is shown as the nearest long that has a
+negative; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready, write_parts, write_table
-from ._vectors import Best, blocks, query_blocks, ranked, usable
+from ._store import new_path, ready, result, write_table
+from ._vectors import Best, blocks, passes, ranked, usable
 
 LEAF = 128
 #: Products and sums of doubles are exact below this.
 EXACT = float(1 << 53)
+#: Components from here on have no finite 256-fold.
+MOST = float(np.finfo(float).max / 256)
 _LONG = (1 << 63) - 1
+TREES = "size int, ids binary, points binary, low binary, high binary, nodes binary"
 
 
 def quantized(x: np.ndarray) -> np.ndarray:
@@ -41,28 +49,31 @@ def quantized(x: np.ndarray) -> np.ndarray:
 
 
 class KdTree:
-    """Median splits with tight boxes over the rows of ``points``."""
+    """Median splits with tight boxes over ``points``; those of a leaf lie together."""
 
-    def __init__(self, points: np.ndarray, leaf: int = LEAF) -> None:
-        self.low, self.high, self.children, self.rows = [], [], [], []
-        todo = [(np.arange(len(points)), -1)]
+    def __init__(self, ids: np.ndarray, points: np.ndarray, low: np.ndarray, high: np.ndarray, nodes: np.ndarray) -> None:
+        """``nodes``: for each its two children, -1 for a leaf, and where its points begin and end."""
+        self.ids, self.points, self.low, self.high, self.nodes = ids, points, low, high, nodes
+        self.largest = np.abs(points).max(axis=1, initial=0.0)
+
+    @staticmethod
+    def build(ids: np.ndarray, points: np.ndarray, leaf: int = LEAF) -> KdTree:
+        low, high, nodes, order = [], [], [], np.arange(len(points))
+        todo = [(0, len(points), -1, 0)]
         while todo:
-            rows, parent = todo.pop()
-            node = len(self.low)
+            a, z, parent, side = todo.pop()
             if parent >= 0:
-                self.children[parent].append(node)
-            mine = points[rows]
-            self.low.append(mine.min(axis=0))
-            self.high.append(mine.max(axis=0))
-            self.children.append([])
-            spread = self.high[-1] - self.low[-1]
-            if len(rows) <= leaf or not spread.any():
-                self.rows.append(rows)
-                continue
-            self.rows.append(None)
-            half = len(rows) // 2
-            order = np.argpartition(mine[:, int(spread.argmax())], half)
-            todo += [(rows[order[:half]], node), (rows[order[half:]], node)]
+                nodes[parent][side] = len(nodes)
+            mine = points[order[a:z]]
+            low.append(mine.min(axis=0))
+            high.append(mine.max(axis=0))
+            nodes.append([-1, -1, a, z])
+            spread = high[-1] - low[-1]
+            if z - a > leaf and spread.any():
+                half = (z - a) // 2
+                order[a:z] = order[a:z][np.argpartition(mine[:, int(spread.argmax())], half)]
+                todo += [(a, a + half, len(nodes) - 1, 0), (a + half, z, len(nodes) - 1, 1)]
+        return KdTree(ids[order], points[order], np.array(low), np.array(high), np.array(nodes, np.int64))
 
     def bounds(self, queries: np.ndarray, floor: np.ndarray) -> tuple[list[int], np.ndarray]:
         """Leaves, and for each query the most that an inner product in each of them can be.
@@ -70,17 +81,21 @@ class KdTree:
         Where a box on the way down stays below the query's ``floor`` the bound is -inf.
         """
         up, down = np.maximum(queries, 0.0), np.minimum(queries, 0.0)
+        size = np.abs(queries).max(axis=1, initial=0.0)
         leaves, out = [], []
         todo = [(0, np.arange(len(queries)))]
         while todo:
             node, alive = todo.pop()
-            bound = up[alive] @ self.high[node] + down[alive] @ self.low[node]
+            largest = max(np.abs(self.low[node]).max(initial=0.0), np.abs(self.high[node]).max(initial=0.0))
+            with np.errstate(over="ignore", invalid="ignore"):
+                bound = up[alive] @ self.high[node] + down[alive] @ self.low[node] + slack(size[alive], largest, queries.shape[1])
+                bound = np.where(np.isnan(bound), np.inf, bound)
             keep = bound >= floor[alive]
             alive, bound = alive[keep], bound[keep]
             if not len(alive):
                 continue
-            if self.rows[node] is None:
-                todo += [(child, alive) for child in self.children[node]]
+            if self.nodes[node, 0] >= 0:
+                todo += [(int(child), alive) for child in self.nodes[node, :2]]
             else:
                 column = np.full(len(queries), -np.inf)
                 column[alive] = bound
@@ -89,19 +104,22 @@ class KdTree:
         return leaves, np.stack(out, axis=1) if out else np.zeros((len(queries), 0))
 
 
-def search(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
-    """Put the best of one shard into ``best``, whose keys are negative scores."""
-    largest = np.abs(queries).max(initial=0.0) * np.abs(points).max(initial=0.0) * max(1, points.shape[1])
-    if largest >= EXACT:
-        _plain(best, query_ids, queries, ids, points)
-        return
-    tree = KdTree(points)
+def slack(x, y, size: int):
+    """How far a product in doubles may be off for components up to x and y; 0 where it is exact."""
+    with np.errstate(over="ignore"):
+        product = x * y * max(1, size)
+    return np.where(product < EXACT, 0.0, product * 2.0**-50)
+
+
+def search(best: Best, query_ids: np.ndarray, queries: np.ndarray, tree: KdTree) -> None:
+    """Put the best of one tree into ``best``, whose keys are negative scores."""
     leaves, bounds = tree.bounds(queries, -best.kth)
     order = np.argsort(-bounds, axis=1, kind="stable")
+    size = np.abs(queries).max(axis=1, initial=0.0)
     active = np.arange(len(queries))
     for step in range(len(leaves)):
         column = order[active, step]
-        go = (bounds[active, column] >= -best.kth[active]) & np.isfinite(bounds[active, column])
+        go = (bounds[active, column] >= -best.kth[active]) & (bounds[active, column] > -np.inf)
         active, column = active[go], column[go]
         if not len(active):
             break
@@ -109,51 +127,106 @@ def search(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarr
         starts = np.flatnonzero(np.r_[True, np.diff(column[by_leaf]) != 0])
         found = []
         for a, z in zip(starts, [*starts[1:], len(by_leaf)], strict=True):
-            asking, rows = active[by_leaf[a:z]], tree.rows[leaves[column[by_leaf[a]]]]
-            scores = queries[asking] @ points[rows].T
-            q, c = np.nonzero(scores >= -best.kth[asking][:, None])
-            other = query_ids[asking[q]] != ids[rows[c]]
+            asking = active[by_leaf[a:z]]
+            first, last = tree.nodes[leaves[column[by_leaf[a]]], 2:]
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = queries[asking] @ tree.points[first:last].T
+                off = slack(size[asking][:, None], tree.largest[first:last], queries.shape[1])
+                # what overflows isn't a number and can't be ruled out
+                q, c = np.nonzero(~(scores + off < _floor(best, asking, scores - off)[:, None]))
+            other = query_ids[asking[q]] != tree.ids[first + c]
             q, c = q[other], c[other]
-            found.append((asking[q], -scores[q, c], ids[rows[c]]))
+            found.append((asking[q], _keys(scores[q, c], off[q, c], queries, asking[q], tree.points, first + c), tree.ids[first + c]))
+        if any(key.dtype == object for _, key, _ in found):
+            found = [(q, np.array([int(x) for x in key], object), i) for q, key, i in found]
         best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
-def _plain(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, points: np.ndarray) -> None:
-    """All candidates in whole numbers of any size, for components so large that doubles aren't exact."""
-    whole = [[int(v) for v in p] for p in points]
-    for i, query in enumerate(queries):
-        mine = [int(v) for v in query]
-        scores = [(max(-_LONG, min(_LONG, -sum(a * b for a, b in zip(mine, p, strict=True)))), int(c)) for p, c in zip(whole, ids, strict=True) if c != query_ids[i]]
-        top = sorted(scores)[: best.k]
-        best.add(np.full(len(top), i), np.array([s for s, _ in top], dtype=object), np.array([c for _, c in top], np.int64))
+def _floor(best: Best, asking: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """A score that the k-th of each query can't be below, given what each candidate of a leaf has at least."""
+    out = -best.kth[asking]
+    if least.shape[1] > best.k:
+        least = np.where(np.isnan(least), -np.inf, least)
+        # one more than k, as one may be the query itself
+        out = np.maximum(out, -np.partition(-least, best.k, axis=1)[:, best.k])
+    return out
 
 
-def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) for ``queries``, rows of vec_id and embedding, against ``vectors``."""
-    spark = vectors.sparkSession
-    ready(spark, 4096)
-    rows = write_table(usable(vectors, nonzero=False), "vectors")
-    asked = write_table(usable(queries, nonzero=False), "queries")
+def _keys(scores: np.ndarray, off: np.ndarray, queries: np.ndarray, q: np.ndarray, points: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Negative scores: doubles where all are exact, else whole numbers."""
+    if not off.any():
+        return -scores
+    out = np.empty(len(scores), object)
+    for i in np.flatnonzero(off == 0):
+        out[i] = -int(scores[i])
+    for i in np.flatnonzero(off > 0):
+        out[i] = -sum(int(a) * int(b) for a, b in zip(queries[q[i]], points[c[i]], strict=True))
+    return out
+
+
+def _sortable(key: int) -> str:
+    """Texts in the order of whole numbers that 64 bits don't hold; empty for others."""
+    if abs(key) < _LONG:
+        return ""
+    digits = str(abs(key))
+    text = f"{len(digits):05d}{digits}"
+    return text if key > 0 else text.translate(str.maketrans("0123456789", "9876543210"))
 
-    def parts() -> Iterator[DataFrame]:
-        for ids, block in query_blocks(asked):
-            sent = spark.sparkContext.broadcast((ids, quantized(block)))
 
-            def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-                query_ids, block = sent.value
-                best = Best(len(query_ids), k, object if np.abs(block).max(initial=0.0) >= 1 << 26 else np.float64)
-                for ids, points in blocks(batches):
-                    if points.shape[1] == block.shape[1]:
-                        search(best, query_ids, block, ids, quantized(points))
-                keys = [int(x) for x in best.key]
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[best.query]), pa.array(best.id), pa.array(keys, pa.int64())], ["query_id", "vec_id", "key"])
+def build_trees(rows: DataFrame) -> DataFrame:
+    """A stored row with the tree of each shard of ``rows`` (usable)."""
+    ready(rows.sparkSession)
 
-            yield rows.mapInArrow(run, schema)
-            sent.destroy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, points in blocks(batches):
+            tree = KdTree.build(ids, quantized(points))
+            parts = (tree.ids, tree.points, tree.low, tree.high, tree.nodes)
+            yield pa.RecordBatch.from_arrays([pa.array([points.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names)
 
-    schema = "query_id long, vec_id long, key long"
-    found = write_parts(spark, parts(), "found", schema)
-    return ranked(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", (-F.col("key")).alias("score"))
+    names = [f.split()[0] for f in TREES.split(", ")]
+    return write_table(rows.mapInArrow(run, TREES), "trees")
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, KdTree]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            size = batch.column(0)[i].as_py()
+            ids, points, low, high, nodes = (batch.column(k)[i].as_buffer() for k in range(1, 6))
+            ids = np.frombuffer(ids, np.int64)
+            matrix = lambda x, n: np.frombuffer(x, np.float64).reshape(n, size)
+            nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4)
+            yield size, KdTree(ids, matrix(points, len(ids)), matrix(low, len(nodes)), matrix(high, len(nodes)), nodes)
+
+
+def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) for ``queries``, rows of vec_id and embedding, against ``vectors``."""
+    return result(lambda: _top(vectors, queries, k), "products")
+
+
+def _top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    spark = vectors.sparkSession
+    trees = build_trees(usable(vectors, False, MOST))
+    schema = "query_id long, vec_id long, key long, exact string"
+    path = new_path(spark, "found")
+    spark.createDataFrame([], schema).write.parquet(path)
+    for asked in passes(usable(queries, False, MOST)):
+        sent = spark.sparkContext.broadcast([(ids, quantized(block)) for ids, block in asked])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            best = [Best(len(ids), k, np.float64) for ids, _ in sent.value]
+            for size, tree in _trees(batches):
+                for mine, (ids, block) in zip(best, sent.value, strict=True):
+                    if block.shape[1] == size:
+                        search(mine, ids, block, tree)
+            for mine, (ids, _) in zip(best, sent.value, strict=True):
+                keys = [int(x) for x in mine.key]
+                columns = [pa.array(ids[mine.query]), pa.array(mine.id), pa.array([max(-_LONG, min(_LONG, x)) for x in keys], pa.int64()), pa.array([_sortable(x) for x in keys], pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "key", "exact"])
+
+        trees.mapInArrow(run, schema).write.mode("append").parquet(path)
+        sent.destroy()
+    found = ranked(spark.read.schema(schema).parquet(path), k, "exact")
+    return found.select("query_id", F.col("rank").cast("int"), "vec_id", (-F.col("key")).alias("score"))
 
 
 def op10_kdtree(spark, sf_dir: str) -> DataFrame:
@@ -164,10 +237,12 @@ def op10_kdtree(spark, sf_dir: str) -> DataFrame:
 
 #: All pairs of a query and another vector.
 ORACLE = """
-WITH whole AS (
-  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+WITH usable AS (
+  SELECT vec_id, min(embedding) AS embedding FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  GROUP BY vec_id
+), whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM usable
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score

@@ -1,18 +1,24 @@
 """Removal of repeated runs of lines, by winnowing.
 
 A window begins at a line and takes the fewest lines that reach ``min_words``
-words.  Of each window the least line hash is selected as a fingerprint, so two
-texts that share a whole window share a fingerprint.  Windows whose fingerprint
-occurs in one place only are left out.  The others are joined on their
-fingerprint and compared over the lines to its left and right up to the whole
-window; matches that overlap or touch make up a run, however long.  The first
-occurrence of a window (by doc_id, then line) stays, and what lies in a later
-one is deleted.  Groups are reduced to their first member, never to pairs, so
-a passage in a third of all texts costs no more than any other.
+words.  Of each window the least line hash is selected as a fingerprint, with
+its position, so two texts that share a whole window share a fingerprint.
+Each selected position counts once; fingerprints that occur in one position
+only are left out.  The others are joined on their positions and extended to
+both sides: to the right the window that begins at a line, to the left the one
+that ends at it, each as far as it has the words of a run.  Windows with equal
+lines match, and matches that overlap or touch make up a run, however long.
+
+So a line goes if and only if it lies in a stretch of lines of ``min_words``
+words or more that occurs earlier.  (In the longest such stretch a line lies
+either in a window to the right of its own beginning or, where fewer words are
+left, in the window to the left of the end.)  Earlier means a smaller doc_id,
+or an earlier line of the text; in one text a window is later only beyond the
+lines of its first occurrence.  Groups are reduced to their first member, never
+to pairs, so a passage in a third of all texts costs no more than any other.
 
 Lines are parted by line feeds and compared whole, without white space at
-either end; words are parted by the white space of ASCII.  A window in the text
-that holds the first one counts as later only beyond that window's lines.
+either end; words are parted by the white space of ASCII.
 
 Only DataFrame functions are used.
 
@@ -41,30 +47,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, first, last, anchor, place, c1, c2): a row for each window of ``docs``.
+    """(id, th, first, last, anchor, place, c1, c2): a row for each window of ``docs``, to the right or to the left of a line.
 
     anchor is the least line hash, place the line that has it (the rightmost),
-    and c1, c2 are hashes of the window's lines.
+    and c1, c2 are hashes of the window's lines.  A window to the left is left
+    out where one to the right has the same lines.
     """
     rows = _keyed(docs).filter("text <> ''").withColumn("u", F.monotonically_increasing_id())
     line = F.regexp_replace("line", r"\A[ \t\x0B\f\r]+|[ \t\x0B\f\r]+\z", "")
     lines = rows.select("u", "id", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("line", line).filter("line <> ''")
     lines = lines.select("u", "id", "th", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), F.size(F.split("line", r"[ \t\x0B\f\r]+")).cast("long").alias("words"))
     whole = Window.partitionBy("u").orderBy("pos")
-    lines = lines.withColumn("before", F.sum("words").over(whole) - F.col("words"))
-    near = Window.partitionBy("u").orderBy("before").rangeBetween(0, min_words - 1)
-    found = lines.select(
-        "id", "th", F.col("pos").alias("first"), F.max("pos").over(near).alias("last"), F.sum("words").over(near).alias("total"),
-        F.min(F.struct("h1", (-F.col("pos")).alias("p"))).over(near).alias("least"), F.collect_list(F.struct("h1", "h2")).over(near).alias("content"),
-    )
-    return found.filter(F.col("total") >= min_words).select("id", "th", "first", "last", F.col("least.h1").alias("anchor"), (-F.col("least.p")).alias("place"), F.xxhash64("content.h1").alias("c1"), F.xxhash64("content.h2").alias("c2"))
+    lines = lines.withColumn("upto", F.sum("words").over(whole)).withColumn("before", F.col("upto") - F.col("words"))
+    right = Window.partitionBy("u").orderBy("before").rangeBetween(0, min_words - 1)
+    left = Window.partitionBy("u").orderBy("upto").rangeBetween(1 - min_words, 0)
+
+    def window(over: Window):
+        least = F.min(F.struct("h1", (-F.col("pos")).alias("p"))).over(over)
+        content = F.collect_list(F.struct("h1", "h2")).over(over)
+        return F.struct(F.min("pos").over(over).alias("first"), F.max("pos").over(over).alias("last"), F.sum("words").over(over).alias("total"), least.alias("least"), content.alias("content"))
+
+    found = lines.select("id", "th", "words", window(right).alias("right"), window(left).alias("left"))
+    reaches = F.col("right.total") >= min_words, F.col("left.total") - F.col("words") >= min_words
+    found = found.select("id", "th", F.explode(F.filter(F.array(F.when(reaches[0], F.col("right")), F.when(reaches[1], F.col("left"))), lambda w: w.isNotNull())).alias("w")).select("id", "th", "w.*")
+    return found.select("id", "th", "first", "last", F.col("least.h1").alias("anchor"), (-F.col("least.p")).alias("place"), F.xxhash64("content.h1").alias("c1"), F.xxhash64("content.h2").alias("c2"))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, starts, ends): the lines to delete of each text that has any, in order and apart."""
     found = write_table(windows(docs, min_words), "windows")
-    place = F.struct("id", "th", "place")
-    shared = found.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("anchor")
+    selected = found.select("anchor", F.struct("id", "th", "place").alias("place"))
+    shared = selected.groupBy("anchor").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a <> b").select("anchor")
     joined = write_table(found.join(write_table(shared, "anchors"), "anchor", "left_semi"), "joined")
     start = F.struct("id", "th", "first", "last")
     firsts = joined.groupBy("anchor", "c1", "c2").agg(F.min(start).alias("a"), F.max(start).alias("b")).filter("a <> b").select("anchor", "c1", "c2", "a")
@@ -127,12 +140,15 @@ WITH split_lines AS (
 ), counted AS (
   SELECT doc_id, pos, t, len(regexp_split_to_array(t, '[ \t\x0B\f\r]+')) AS words FROM trimmed WHERE t <> ''
 ), placed AS (
-  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before FROM counted
+  SELECT *, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS before, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) AS upto FROM counted
 ), spans AS (
   SELECT doc_id, pos AS first, max(pos) OVER w AS last, sum(words) OVER w AS total, list(t) OVER w AS content
   FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT doc_id, min(pos) OVER w AS first, pos AS last, sum(words) OVER w AS total, list(t) OVER w AS content
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), full_spans AS (
-  SELECT doc_id, first, last, array_to_string(content, chr(10)) AS body FROM spans WHERE total >= 50
+  SELECT DISTINCT doc_id, first, last, array_to_string(content, chr(10)) AS body FROM spans WHERE total >= 50
 ), ranked AS (
   SELECT *, first_value(doc_id) OVER g AS doc_a, first_value(last) OVER g AS last_a
   FROM full_spans WINDOW g AS (PARTITION BY body ORDER BY doc_id, first)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready
+from ._store import ready, sliced
 
 SPACE = "▁"
 NORMAL, UNKNOWN, USER_DEFINED, UNUSED, BYTE = 1, 2, 4, 5, 6
@@ -299,7 +299,7 @@ def token_counts(docs: DataFrame, model: bytes, budget: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _kept(_Counts, sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             found = [count_text(cache, t, budget) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([c for _, c in found], pa.int64())], ["doc_id", "n_bytes", "n_tokens", "fit_chars"])
@@ -314,7 +314,7 @@ def round_trip(docs: DataFrame, model: bytes, with_ids: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _kept(_Ids, sent.value)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, ids, texts = [], [], []
             for text in batch.column(1).to_pylist():
                 found = [x for x in map(cache.__getitem__, cache.model.words(text or "")) if x[0]]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, lines
+from . import kdtree, lines, packing
 from .hmm import op4_hmm
 from .html import op7_html_text
 from .kdtree import op10_kdtree
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kdtree": op10_kdtree,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op10_kdtree": kdtree.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op9_packing": packing.ORACLE, "op10_kdtree": kdtree.ORACLE}

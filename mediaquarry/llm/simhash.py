@@ -1,17 +1,23 @@
 """SimHash near-duplicate detection with BK-trees over shards of fingerprints.
 
-A fingerprint holds 64 bits; two link if at most ``radius`` bits differ.  With
-``b`` blocks of bits any two that link agree in at least ``b - radius`` whole
-blocks, so every combination of ``b - radius`` blocks gives a family of shards
-(keyed by the combination and the bits in it) and a pair that links meets in
-one shard at least.  In each shard the fingerprints form a BK-tree, children
-keyed by their integer Hamming distance to the parent, and a search follows
-only edges whose key is within the radius of the query's distance.  Trees and
-searches of all shards in a task run level by level as arrays.
-
-Shards over ``BLOCK`` fingerprints are split in blocks: a tree per block, and
-each block searches its own tree and those of the earlier blocks.  A task
-returns a star for each of its components rather than its links.
+A fingerprint holds 64 bits; two link if at most ``radius`` bits differ.  The
+64 bits are cut in ``radius + 1`` blocks, so any two that link agree in at
+least one of them.  Each block gives a family of shards, keyed by as many of
+its first bits as leave about ``SHARD`` members to a shard.  In each shard the
+fingerprints form a BK-tree, children keyed by their integer Hamming distance
+to the parent, and a search follows only edges whose key is within the radius
+of the query's distance.  Trees and searches of all shards in a task run level
+by level as arrays.
+
+A shard over ``FULL`` members isn't built: all members of such shards are dealt
+anew by finer families, of more and narrower blocks several of which must
+agree.  In the finest one a shard can't be that large.  So no block of a shard
+meets another, and rows grow with the members of full shards only.
+
+A shard's tree stays in the task that has the shard, and its members are the
+queries: all trees together are as large as the corpus, so broadcasting them
+would have no bound.  A task returns a star for each of its components rather
+than its links.
 
 Defined results: a null or empty text has fingerprint 0 and links like any
 other; rows with the same text have the same fingerprint and component; a null
@@ -32,36 +38,44 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._components import connected_components
-from ._store import ready, write_table
+from ._store import ready, result, sliced, write_table
 
 SEED = 42
 RADIUS = 3
-BLOCK = 1024
-#: Most (query, node) pairs that a step of the search holds.
-FRONTIER = 1 << 21
+#: Fingerprints of a shard where they are spread evenly, and the most that one tree takes.
+SHARD, FULL = 2_048, 16_384
+#: Rows of shards that a task holds at once, and (query, node) pairs of a step of the search.
+HELD, FRONTIER = 1 << 16, 1 << 20
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The unsigned 64-bit SimHash of the ``words``-word shingles of ``text``."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """The unsigned 64-bit hashes of the ``words``-word shingles of ``text``, repeats included."""
     tokens = (text or "").encode().lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(tokens)
+    digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        ends = np.cumsum(lengths + 1) - 1
-        starts = ends - lengths
-        digest = xxhash.xxh64_intdigest
-        view = memoryview(joined)
-        hashes = [digest(view[a:z], SEED) for a, z in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    view = memoryview(joined)
+    spans = zip(starts[: len(tokens) - words + 1].tolist(), ends[words - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(view[a:z], SEED) for a, z in spans), np.uint64, len(tokens) - words + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], dtype="<u8")
+        part = hashes[i : i + (1 << 16)].astype("<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * total > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return int(np.packbits((2 * total > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The unsigned 64-bit SimHash of the ``words``-word shingles of ``text``."""
+    return majority(shingle_hashes(text, words))
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -70,38 +84,49 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     names = [*docs.columns[:-1], "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.fromiter((fingerprint(t, words) for t in batch.column(len(names) - 1).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
-def block_bits(blocks: int) -> list[int]:
-    """Masks of ``blocks`` runs of bits that together cover 64."""
+def families(radius: int, extra: int, bits: int = 64) -> list[int]:
+    """Masks such that any two values within ``radius`` agree under one of them at least.
+
+    64 bits are cut in ``radius + extra`` blocks, every ``extra`` of which make
+    a mask; of each block only the first ``bits`` count.
+    """
+    blocks = radius + extra
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    return [((1 << (z - a)) - 1) << a for a, z in zip(edges, edges[1:], strict=False)]
+    cut = [((1 << min(z - a, bits)) - 1) << a for a, z in zip(edges, edges[1:], strict=False)]
+    return list(dict.fromkeys(sum(c) for c in combinations(cut, extra)))
 
 
-def shard_masks(n: int, radius: int) -> list[int]:
-    """Masks whose bits name a shard; more blocks, so more bits, for more fingerprints.
+def ladder(n: int, radius: int, shard: int = SHARD) -> list[list[int]]:
+    """Families for ``n`` fingerprints, and the finer ones for those in full shards."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
+    return [families(radius, 1, bits), *(families(radius, extra) for extra in (1, 2, 3, 5, 13) if radius + extra <= 64)]
 
-    The number of bits keeps the shards of evenly spread fingerprints near or
-    under a dozen members up to 2**36 of them; any choice finds the same links.
-    """
-    extra = 1
-    while extra < 3 and n > (1 << int(4 + 64 * extra / (radius + extra))):
-        extra += 1
-    return [sum(c) for c in combinations(block_bits(radius + extra), extra)]
+
+def dealt(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(family, bits, fp): each fingerprint in its shard of each family."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    places = F.array(*(F.struct(F.lit(i).alias("family"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("bits")) for i, m in enumerate(signed)))
+    return fps.select("fp", F.explode(places).alias("k")).select("k.family", "k.bits", "fp")
 
 
 class Forest:
-    """BK-trees of many shards at once; the first member of each shard is its root."""
+    """BK-trees of many shards at once; the first member of each shard is its root.
+
+    ``visited`` counts the nodes that searches have looked at.
+    """
 
     def __init__(self, shard: np.ndarray, values: np.ndarray) -> None:
         """``shard`` numbers the shards from 0, sorted; ``values`` are unsigned 64-bit."""
         n = len(values)
         self.values = values
+        self.visited = 0
         first = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if n else np.zeros(0, np.int64)
         self.root = first
         parents, keys, nodes = [], [], []
@@ -126,24 +151,31 @@ class Forest:
         self.child, self.slots = self.child[order], slots[order]
 
     def search(self, shard: np.ndarray, queries: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query index, node index) at ``radius`` or less, in several parts."""
-        todo = [(np.arange(len(queries)), self.root[shard])] if len(queries) else []
-        while todo:
-            q, node = todo.pop()
-            if len(q) > FRONTIER:
-                half = len(q) // 2
-                todo += [(q[:half], node[:half]), (q[half:], node[half:])]
-                continue
-            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
-            near = d <= radius
-            if near.any():
-                yield q[near], node[near]
-            low = np.searchsorted(self.slots, node * 65 + np.maximum(d - radius, 0))
-            high = np.searchsorted(self.slots, node * 65 + np.minimum(d + radius, 64), side="right")
-            count = high - low
-            if total := int(count.sum()):
-                reach = np.repeat(low - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(total)
-                todo.append((np.repeat(q, count), self.child[reach]))
+        """Pairs (query index, node index) at ``radius`` or less, in several parts of at most about ``FRONTIER``."""
+        empty = np.zeros(0, np.int64)
+        todo = [(empty, empty, empty)]  # queries, and where the children that they go on to begin and how many those are
+        q, node = (np.arange(len(queries)), self.root[shard]) if len(queries) else (empty, empty)
+        while True:
+            if len(q):
+                self.visited += len(q)
+                d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+                near = d <= radius
+                if near.any():
+                    yield q[near], node[near]
+                low = np.searchsorted(self.slots, node * 65 + np.maximum(d - radius, 0))
+                count = np.searchsorted(self.slots, node * 65 + np.minimum(d + radius, 64), side="right") - low
+                on = count > 0
+                todo.append((q[on], low[on], count[on]))
+            if not todo:
+                return
+            q, low, count = todo.pop()
+            total = np.cumsum(count)
+            if len(q) and total[-1] > FRONTIER:
+                cut = max(1, int(np.searchsorted(total, FRONTIER)))
+                todo.append((q[cut:], low[cut:], count[cut:]))
+                q, low, count, total = q[:cut], low[:cut], count[:cut], total[:cut]
+            reach = np.repeat(low - (total - count), count) + np.arange(total[-1] if len(q) else 0)
+            q, node = np.repeat(q, count), self.child[reach]
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,44 +195,58 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def shard_links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
+def shard_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, full: int = FULL) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints ``fps`` (fp), a table.
 
     Every component of the links at ``radius`` or less is a component of the
     rows returned; there are at most as many rows as members in all shards.
     """
-    masks = shard_masks(fps.count(), radius)
-    keyed = fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("family"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m).cast("long")).alias("bits")) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.*")
-    sizes = keyed.groupBy("family", "bits").count().filter("count > 1")
-    sizes = write_table(sizes.select("family", "bits", F.ceil(F.col("count") / block).cast("int").alias("blocks")), "shards")
-    member = keyed.join(sizes, ["family", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), "blocks").cast("int"))
-    dealt = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", "bits", F.least("own", "other").alias("tree"), F.greatest("own", "other").alias("part"), (F.col("own") <= F.col("other")).alias("grows"), (F.col("own") >= F.col("other")).alias("asks"), "fp")
+    ready(fps.sparkSession)
+    found = None
+    steps = ladder(fps.count(), radius, shard)
+    for level, masks in enumerate(steps):
+        n = fps.count()
+        keyed = dealt(fps, masks)
+        last = level == len(steps) - 1
+        dense = None if last else write_table(keyed.groupBy("family", "bits").count().filter(F.col("count") > full).select("family", "bits"), "dense")
+        more = dense is not None and not dense.isEmpty()
+        if more:
+            fps = write_table(keyed.join(dense, ["family", "bits"], "left_semi").select("fp").distinct(), "members")
+            keyed = keyed.join(dense, ["family", "bits"], "left_anti")
+        links = _linked(keyed, n * len(masks), radius)
+        found = links if found is None else found.union(links)
+        if not more:
+            break
+    return found
+
+
+def _linked(keyed: DataFrame, rows: int, radius: int) -> DataFrame:
+    """The stars of all shards of ``keyed``; searches cost more than their bytes tell, so tasks are cut by rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        rows = 0
+        held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
-            held.append(pa.Table.from_batches([batch]))
-            rows += batch.num_rows
-            if rows >= 1 << 16:
-                whole = pa.concat_tables(held)
+            held.append(batch)
+            count += batch.num_rows
+            if count >= HELD:
+                whole = pa.Table.from_batches(held)
                 cut = last_shard(whole)
                 if cut:
                     yield from link(whole.slice(0, cut), radius)
-                held, rows = [whole.slice(cut)], whole.num_rows - cut
-        if rows:
-            yield from link(pa.concat_tables(held), radius)
+                held = whole.slice(cut).to_batches()
+                count = whole.num_rows - cut
+        if count:
+            yield from link(pa.Table.from_batches(held), radius)
 
-    keys = ["family", "bits", "tree", "part"]
-    sorted_ = dealt.repartition(*keys).sortWithinPartitions(*keys, "fp")
-    return sorted_.mapInArrow(run, "a long, b long")
+    parts = max(keyed.sparkSession.sparkContext.defaultParallelism, -(-rows // (2 * HELD)))
+    return keyed.repartition(parts, "family", "bits").sortWithinPartitions("family", "bits", "fp").mapInArrow(run, "a long, b long")
 
 
 def _changes(table: pa.Table) -> np.ndarray:
     change = np.zeros(table.num_rows, bool)
     change[:1] = True
-    for name in ("family", "bits", "tree", "part"):
+    for name in ("family", "bits"):
         x = table.column(name).to_numpy()
         change[1:] |= x[1:] != x[:-1]
     return change
@@ -212,19 +258,19 @@ def last_shard(table: pa.Table) -> int:
 
 
 def link(table: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
+    """A star for each component of whole shards."""
     shard = np.cumsum(_changes(table)) - 1
     fp = table.column("fp").to_numpy().view(np.uint64)
-    grows, asks = table.column("grows").to_numpy(), table.column("asks").to_numpy()
+    # a root that is no extreme of the order, as it would be with the rows sorted
+    mixed = np.lexsort((fp * np.uint64(0x9E3779B97F4A7C15), shard))
+    shard, fp = shard[mixed], fp[mixed]
     values, number = np.unique(fp, return_inverse=True)
-    tree, ask = np.flatnonzero(grows), np.flatnonzero(asks)
-    has = np.zeros(shard[-1] + 1, bool)
-    has[shard[tree]] = True
-    ask = ask[has[shard[ask]]]
-    place = np.cumsum(has) - 1
-    forest = Forest(place[shard[tree]], fp[tree])
+    several = np.bincount(shard)[shard] > 1
+    shard, fp, number = np.unique(shard[several], return_inverse=True)[1], fp[several], number[several]
+    forest = Forest(shard, fp)
     label = np.arange(len(values))
-    for q, node in forest.search(place[shard[ask]], fp[ask], radius):
-        a, b = number[ask[q]], number[tree[node]]
+    for q, node in forest.search(shard, fp, radius):
+        a, b = number[q], number[node]
         other = label[a] != label[b]
         if other.any():
             label = stars(len(values), np.r_[np.arange(len(values)), a[other]], np.r_[label, b[other]])
@@ -233,39 +279,31 @@ def link(table: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(signed[moved]), pa.array(signed[label[moved]])], ["a", "b"])
 
 
-def classes(marked: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """``marked`` (a table with doc_id and fp) with component_id."""
+def classes(marked: DataFrame, radius: int = RADIUS, shard: int = SHARD, full: int = FULL) -> DataFrame:
+    """``marked`` (a table with doc_id and fp) with component_id.
+
+    A fingerprint with very many rows, as of the empty text, is one row of what
+    they are joined with, which adaptive execution broadcasts or splits by.
+    """
     distinct = write_table(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    links = write_table(shard_links(distinct, radius, block).distinct(), "links")
+    links = write_table(shard_links(distinct.select("fp"), radius, shard, full).distinct(), "links")
     roots = connected_components(links)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     rooted = write_table(rooted, "rooted")
     names = write_table(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
-    named = write_table(rooted.join(names, "root").select("fp", "root", "component_id"), "named")
+    named = write_table(rooted.join(names, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp")
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest doc_id reachable."""
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = write_table(fingerprints(narrow, words), "fingerprints")
-    return classes(marked, radius, block).select("doc_id", "fp", "component_id")
 
+    def found():
+        marked = write_table(fingerprints(narrow, words), "fingerprints")
+        return classes(marked, radius).select("doc_id", "fp", "component_id")
 
-def distinct_documents(docs: DataFrame, radius: int = RADIUS, words: int = 3, block: int = BLOCK) -> DataFrame:
-    """One row of each component of ``docs``, with all its columns: that with the smallest doc_id.
-
-    Among rows of that doc_id any one stays, the others go; nulls come last.
-    """
-    row = "row"
-    while row in docs.columns:
-        row += "_"
-    numbered = write_table(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    marked = fingerprints(numbered.select(F.col(row).alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string")), words)
-    found = classes(write_table(marked, "fingerprints"), radius, block)
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    kept = write_table(found.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row)), "kept")
-    return numbered.join(kept, row, "left_semi").drop(row)
+    return result(found, "classes")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ready
+from ._store import ready, sliced
 
 BITS = 20
 SAMPLE, SAMPLE_CHARS = 12_000, 40_000
@@ -147,13 +147,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = [np.unique(features(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
-        for batch in batches:
+        for batch in sliced(batches):
             at = batch.column(2)
             rows += [(at[i].values.to_numpy(), y) for i, y in enumerate(batch.column(1).to_pylist())]
         if not rows:
@@ -193,7 +193,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "sc
             _DENSE[key][np.frombuffer(sent.value[0], np.int32)] = np.frombuffer(sent.value[1])
         w = _DENSE[key]
         used = w != 0
-        for batch in batches:
+        for batch in sliced(batches):
             scores = []
             for text in batch.column(at).to_pylist():
                 f = features(text)

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
 from mediaquarry.llm import copies
 
@@ -54,13 +57,23 @@ def test_stage_finds_near_copies_beyond_three_bits(spark):
     assert sorted(r.doc_id for r in got.collect()) == want and len(want) < len(docs) - 50
 
 
-def test_prefixes_alone_find_every_pair(spark, monkeypatch):
-    """Without the stars of step 1 the result is the same."""
+@pytest.mark.parametrize("full", [4, 16_384])
+def test_trees_alone_find_every_pair(spark, monkeypatch, full):
+    """Without the roots of step 1 the result is the same, also with shards cut in cells."""
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     rng = random.Random(1)
     rows += [(10**6 + i, edited(rng, t.split(), 1 + len(t.split()) // 60)) for i, (_, t) in enumerate(rows) if t and len(t.split()) > 20]
-    monkeypatch.setattr(copies, "minima", lambda found: [])
-    got = copies.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    monkeypatch.setattr(copies, "_roots", lambda nodes: nodes.select(nodes.node.alias("a"), nodes.node.alias("b")).limit(0))
+    got = copies.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"), full=full)
     assert sorted(r.doc_id for r in got.collect()) == brute(rows)
+
+
+def test_sketches_never_rule_out_a_similar_pair():
+    rng = random.Random(2)
+    for _ in range(300):
+        whole = np.array([rng.getrandbits(64) for _ in range(rng.randrange(1, 3000))], np.uint64)
+        a, b = (np.unique(whole[np.array([rng.random() < 0.9 for _ in whole])]) for _ in range(2))
+        x, y = (np.frombuffer(copies.sketch(s), np.uint8) for s in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))

@@ -6,26 +6,31 @@ from mediaquarry.llm import lines
 
 
 def brute(docs, least):
-    """What is left of each (id, text): compares all windows of all documents as lists of lines."""
+    """What is left of each (id, text): a line goes if it lies in a stretch of ``least`` words or more that occurs earlier.
+
+    All stretches of all documents are compared as lists of lines.  In one text
+    a stretch of the fewest lines is later beyond the lines of its first occurrence.
+    """
     keyed = sorted(set(docs), key=lambda d: (d[0] is None, d[0] or 0, d[2]))
-    first, gone = {}, {}
+    first, gone, texts = {}, {}, []
     for number, doc in enumerate(keyed):
-        rows = (doc[1] or "").split("\n")
-        stripped = [r.strip(" \t\x0b\x0c\r") for r in rows]
+        stripped = [r.strip(" \t\x0b\x0c\r") for r in (doc[1] or "").split("\n")]
         at = [i for i, r in enumerate(stripped) if r]
-        for k, i in enumerate(at):
-            words, span = 0, []
-            for j in at[k:]:
-                words += len(re.split(r"[ \t\x0b\x0c\r]+", stripped[j]))
-                span.append(j)
-                if words >= least:
-                    break
-            if words >= least:
-                body = tuple(stripped[j] for j in span)
-                if body not in first:
-                    first[body] = (number, span[-1])
-                elif first[body][0] < number or i > first[body][1]:
-                    gone.setdefault(number, set()).update(range(i, span[-1] + 1))
+        words = [len(re.split(r"[ \t\x0b\x0c\r]+", stripped[i])) for i in at]
+        texts.append((stripped, at))
+        for k in range(len(at)):
+            for m in range(k, len(at)):
+                total = sum(words[k : m + 1])
+                if total >= least:
+                    # of longer stretches every line lies in one without a line too many at either end
+                    if total - words[k] < least or total - words[m] < least:
+                        body = tuple(stripped[i] for i in at[k : m + 1])
+                        if body not in first:
+                            first[body] = number, at[m]
+                        elif first[body][0] < number or at[k] > first[body][1]:
+                            gone.setdefault(number, set()).update(range(at[k], at[m] + 1))
+                    else:
+                        break
     out = {}
     for number, doc in enumerate(keyed):
         rows = (doc[1] or "").split("\n")
@@ -83,9 +88,27 @@ def test_odd_documents(spark, odd_docs):
     assert lines.without_repeats(odd_docs.limit(0)).count() == 0
 
 
-def test_no_python_in_the_plan(spark, capsys):
+def test_runs_are_extended_to_their_ends(spark):
+    """Lines of 60 and 45 words, of 45 and 60, and of 30, 30 and 10 go whole; so do the short last lines of a copy."""
+    line = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    runs = [[line("a", 60), line("b", 45)], [line("c", 45), line("d", 60)], [line("e", 30), line("f", 30), line("g", 10)], [line("h", 70), "one", "two three"]]
+    docs = [(i, "\n".join([f"own {i}", *rows, f"end {i}"])) for i, rows in enumerate(runs)]
+    docs += [(10 + i, "\n".join([f"other {i}", *rows, f"last {i}"])) for i, rows in enumerate(runs)]
+    assert {d: t for d, t, *_ in run(spark, docs, 50)} == {**dict(docs[:4]), **{10 + i: f"other {i}\nlast {i}" for i in range(4)}}
+
+
+def test_no_python_in_any_plan(spark, monkeypatch, capsys):
+    """Every table on the way is written from a plan without Python; writing cuts it off the next."""
+    write = lines.write_table
+
+    def shown(df, name):
+        df.explain()
+        return write(df, name)
+
+    monkeypatch.setattr(lines, "write_table", shown)
     lines.op5_line_dedup(spark, "/root/testdata/sf0.001").explain()
-    assert not re.search("Python|Pandas|Arrow", capsys.readouterr().out)
+    out = capsys.readouterr().out
+    assert out.count("Physical Plan") == 6 and not re.search("Python|Pandas|Arrow", out)
 
 
 def test_md5_column(spark):

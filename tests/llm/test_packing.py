@@ -21,7 +21,7 @@ def test_boundaries_have_the_least_padding():
         lengths = sorted(rng.randint(1, 60) for _ in range(rng.randint(1, 9)))
         longest, counts = np.unique(lengths, return_counts=True)
         n, k = len(longest), rng.randint(1, 5)
-        ends = packing.boundaries(longest.astype(np.int64), counts, longest * counts, k)
+        ends = packing.boundaries(longest.astype(np.int64), counts, k)
 
         def waste(cut, longest=longest, counts=counts):
             start = out = 0
@@ -34,12 +34,27 @@ def test_boundaries_have_the_least_padding():
         assert waste(ends) == best and len(ends) <= k and ends[-1] == n - 1
 
 
-def test_bins(spark):
-    rows = spark.range(1, 20_000).select("id", packing.bin_of(F.col("id")).alias("b")).collect()
-    assert all(r.b == r.id for r in rows if r.id <= packing.EXACT)
-    assert all(0 <= r.b - r.id < r.id / 128 for r in rows)
-    assert [r.b for r in rows] == sorted(r.b for r in rows)
-    assert len({r.b for r in rows}) < packing.EXACT + 5 * packing.PER_OCTAVE
+def test_boundaries_of_many_lengths():
+    """The divide and conquer against all splits, with some thousand lengths up to very long ones."""
+    rng = np.random.default_rng(2)
+    lengths = np.unique(np.exp(rng.uniform(0, 12, 700)).astype(np.int64))
+    counts = rng.integers(1, 50, len(lengths))
+    before = np.r_[0, np.cumsum(counts)]
+    best = lengths * before[1:]
+    for k in range(2, 7):
+        new = best.copy()
+        for j in range(1, len(lengths)):
+            new[j] = min(best[j], (best[:j] + lengths[j] * (before[j + 1] - before[1 : j + 1])).min())
+        best = new
+        ends = packing.boundaries(lengths, counts, k)
+        assert sum(lengths[z] * (before[z + 1] - before[a + 1]) for a, z in zip([-1, *ends], ends, strict=False)) == best[-1]
+
+
+def test_the_layout_of_the_input_is_of_no_account(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs = docs.union(docs.limit(20)).cache()
+    one, five = (sorted(map(tuple, packing.pack_documents(d).collect())) for d in (docs.coalesce(1), docs.repartition(5)))
+    assert one == five
 
 
 def check(rows, budget):

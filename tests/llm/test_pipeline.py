@@ -1,12 +1,12 @@
 import corpus_pipeline
-from mediaquarry.llm import lines, queries, simhash, toxicity
+from mediaquarry.llm import lines, queries, toxicity
 
 FOLDER = "/root/testdata/sf0.01"
 
 
 def test_stages_against_their_definitions(spark):
+    from tests.llm.test_copies import brute as brute_copies
     from tests.llm.test_lines import brute, hashed
-    from tests.llm.test_simhash import components, plain
 
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
@@ -23,9 +23,7 @@ def test_stages_against_their_definitions(spark):
     assert all(r.n_chars == len(r.text) for r in cut.collect() if changed[r.doc_id] != r.text)
 
     single = stages["simhash"](spark, cut, FOLDER).cache()
-    marks = sorted((r.doc_id, plain(r.text)) for r in cut.collect())
-    roots = components([f for _, f in marks], simhash.RADIUS)
-    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == sorted(marks[r][0] for r in set(roots))
+    assert single.columns == columns and sorted(r.doc_id for r in single.collect()) == brute_copies([(r.doc_id, r.text) for r in cut.collect()])
 
     packed = stages["packing"](spark, single, FOLDER).collect()
     assert sorted(r.doc_id for r in packed) == sorted(r.doc_id for r in single.collect())

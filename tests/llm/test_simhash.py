@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from mediaquarry.llm import _components, simhash
+from mediaquarry.llm import _components, copies, simhash
 
 
 def plain(text):
@@ -65,24 +65,32 @@ def test_forest_finds_all_within_the_radius(radius):
     assert got == want
 
 
-@pytest.mark.parametrize(("n", "families"), [(10, 4), (1 << 25, 10), (1 << 40, 20)])
-def test_pairs_within_the_radius_share_a_shard(n, families):
-    masks = simhash.shard_masks(n, 3)
-    assert len(masks) == families
+@pytest.mark.parametrize(("radius", "n"), [(0, 10), (3, 10), (3, 1 << 25), (3, 1 << 40), (16, 1 << 30)])
+def test_pairs_within_the_radius_share_a_shard(radius, n):
     rng = random.Random(n)
-    for _ in range(2000):
-        flips = sum(1 << b for b in rng.sample(range(64), 3))
-        assert any(flips & m == 0 for m in masks)
+    for masks in simhash.ladder(n, radius)[:4]:
+        for _ in range(500):
+            flips = sum(1 << b for b in rng.sample(range(64), radius))
+            assert any(flips & m == 0 for m in masks)
+    assert radius != 3 or min(m.bit_count() for m in simhash.ladder(n, 3)[-1]) >= 50
 
 
-@pytest.mark.parametrize("block", [4, 1024])
-def test_classes_as_brute_force(spark, block):
+def test_trees_follow_few_edges():
+    values = np.random.default_rng(0).integers(1 << 62, size=2 * simhash.SHARD, dtype=np.uint64)
+    forest = simhash.Forest(np.repeat([0, 1], simhash.SHARD), values)
+    assert sum(len(q) for q, _ in forest.search(np.repeat([0, 1], simhash.SHARD), values, 3)) == len(values)
+    assert forest.visited < 0.1 * len(values) * simhash.SHARD
+
+
+@pytest.mark.parametrize(("shard", "full"), [(4, 6), (64, 128), (2048, 16384)])
+def test_classes_as_brute_force(spark, shard, full):
+    """Also where shards are full, so that their members are dealt anew by finer families."""
     rng = random.Random(3)
     values = clusters(rng, 500) + [0, 0, 1]
     ids = rng.sample(range(5000), len(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     marked = spark.createDataFrame(list(zip(ids, signed, strict=True)), "doc_id long, fp long")
-    got = {r.doc_id: r.component_id for r in simhash.classes(marked, 3, block).collect()}
+    got = {r.doc_id: r.component_id for r in simhash.classes(marked, 3, shard, full).collect()}
     roots = components(values)
     least = {r: min(i for i, x in zip(ids, roots, strict=True) if x == r) for r in set(roots)}
     assert got == {i: least[r] for i, r in zip(ids, roots, strict=True)}
@@ -103,10 +111,10 @@ def test_odd_documents(spark, odd_docs):
     empty = [r for r in rows if r.fp == 0]
     assert len(empty) == 3 and {r.component_id for r in empty} == {0}
     assert {r.component_id for r in rows if r.doc_id == 4} == {3}
-    kept = simhash.distinct_documents(odd_docs)
+    kept = copies.distinct_documents(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id, (r.text or "")[:5]) for r in kept.collect()) == [(0, ""), (3, "anoth"), (3, "one t"), (5, "word0"), (6, "Ünï ç"), (7, "xxxxx"), (8, "a\nb\n\n")]
-    assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0 == simhash.distinct_documents(odd_docs.limit(0)).count()
+    assert simhash.near_duplicates(odd_docs.limit(0)).count() == 0 == copies.distinct_documents(odd_docs.limit(0)).count()
 
 
 def test_whole_table(spark):

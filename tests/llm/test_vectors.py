@@ -42,24 +42,63 @@ def test_products_as_brute_force(spark):
     assert not got
 
 
-def test_large_components_are_exact(spark):
-    rng, limit = random.Random(1), (1 << 63) - 1
-    rows = [(i, [float(np.float32(rng.choice((3e7, 1e9, 2.5)) * rng.uniform(-1, 1))) for _ in range(4)], 0, "") for i in range(60)]
+def exact(rows, k, step):
+    """The best k by exact score for each query whose id ``step`` divides."""
     have = {i: [int(np.floor(256 * x)) for x in v] for i, v, *_ in rows}
-    got = {(r.query_id, r["rank"]): r.vec_id for r in kdtree.top_products(table(spark, rows), table(spark, rows).filter("vec_id % 10 = 0"), 5).collect()}
-    for q in range(0, 60, 10):
-        best = sorted((-max(-limit, min(limit, sum(a * b for a, b in zip(have[q], w, strict=True)))), i) for i, w in have.items() if i != q)[:5]
-        assert [got[q, n] for n in range(1, 6)] == [i for _, i in best]
+    out = {}
+    for q in (i for i in have if i % step == 0):
+        best = sorted((-sum(a * b for a, b in zip(have[q], w, strict=True)), i) for i, w in have.items() if i != q)[:k]
+        for n, (s, i) in enumerate(best):
+            out[q, n + 1] = i, max(-((1 << 63) - 1), min((1 << 63) - 1, -s))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(3e7, 1e9, 2.5), (1e38, 1.0, 1e-3), (1e18, 1e17)])
+def test_large_components_are_exact(spark, sizes):
+    """Ranks go by the exact score even where it has more than 64 bits."""
+    rng = random.Random(1)
+    rows = [(i, [float(np.float32(rng.choice(sizes) * rng.uniform(-1, 1))) for _ in range(4)], 0, "") for i in range(60)]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in kdtree.top_products(table(spark, rows), table(spark, rows).filter("vec_id % 10 = 0"), 5).collect()}
+    assert got == exact(rows, 5, 10)
+
+
+def test_one_large_component_in_a_full_block(spark):
+    rng = np.random.default_rng(6)
+    points = rng.normal(size=(8192, 8)).astype(np.float32)
+    points[4000, 3] = 1e9
+    rows = [(i, p.tolist(), 0, "") for i, p in enumerate(points)]
+    df = table(spark, rows).coalesce(1)
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in kdtree.top_products(df, df.filter("vec_id % 1000 = 0"), 5).collect()}
+    assert got == exact(rows, 5, 1000)
+
+
+def test_overflow(spark):
+    """Components of 1e308: distances stay in order, and what has no finite 256-fold is in no product."""
+    rows = [(0, [1e308, 1.0]), (1, [-1e308, 1.0]), (2, [1e308, 3.0]), (3, [2.0, 2.0]), (4, [3.0, 2.0]), (5, [1e200, 1e200])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(partitions.nearest_neighbours(df, df.filter("vec_id = 0"), 10).collect(), key=lambda r: r["rank"])]
+    assert got == [(2, 2.0), (3, 1e308), (4, 1e308), (5, pytest.approx(1e308)), (1, np.inf)]
+    got = [(r.vec_id, r.score) for r in sorted(kdtree.top_products(df, df.filter("vec_id = 5"), 3).collect(), key=lambda r: r["rank"])]
+    assert got == [(4, (1 << 63) - 1), (3, (1 << 63) - 1)]
+
+
+def test_two_vectors_under_one_id(spark):
+    rows = [(0, [1.0, 5.0], 0, ""), (0, [1.0, 2.0], 0, ""), (1, [3.0, 0.0], 0, ""), (1, [3.0, 9.0], 0, ""), (2, [1.0, 1.0], 0, "")]
+    df, one = table(spark, rows), table(spark, [rows[1], rows[2], rows[4]])
+    for found in (kdtree.top_products, partitions.nearest_neighbours):
+        assert sorted(map(tuple, found(df, df, 5).collect())) == sorted(map(tuple, found(one, one, 5).collect()))
 
 
 def test_tree_bounds_hold():
     rng = np.random.default_rng(2)
     points, queries = np.floor(rng.normal(size=(500, 5)) * 100), np.floor(rng.normal(size=(20, 5)) * 100)
-    tree = kdtree.KdTree(points, leaf=8)
+    tree = kdtree.KdTree.build(np.arange(500), points, leaf=8)
     leaves, bounds = tree.bounds(queries, np.full(20, -np.inf))
-    assert sorted(np.concatenate([tree.rows[x] for x in leaves]).tolist()) == list(range(500))
-    for k, leaf in enumerate(leaves):
-        assert (bounds[:, k] >= (queries @ points[tree.rows[leaf]].T).max(axis=1)).all()
+    spans = [tree.nodes[x, 2:] for x in leaves]
+    assert sorted(np.concatenate([tree.ids[a:z] for a, z in spans]).tolist()) == list(range(500))
+    assert (tree.points == points[tree.ids]).all()
+    for k, (a, z) in enumerate(spans):
+        assert (bounds[:, k] >= (queries @ tree.points[a:z].T).max(axis=1)).all()
     pruned = tree.bounds(queries, np.full(20, 20_000.0))[1]
     assert pruned.shape[1] < len(leaves) or np.isinf(pruned).any()
 
@@ -86,20 +125,26 @@ def test_neighbours_of_few_rows_are_exact(spark):
     assert not got
 
 
-def test_recall_with_partitions(spark):
-    """Clustered vectors, with a third of all rows equal: several partitions, few probed, recall of 0.9 at least."""
+@pytest.mark.parametrize("large", [partitions.LARGE, 100])
+def test_recall_with_partitions(spark, monkeypatch, large):
+    """Clustered vectors, with a third of all rows equal: several partitions, few probed, recall of 0.9 at least.
+
+    Also with partitions that are parted again.
+    """
+    monkeypatch.setattr(partitions, "SMALL", 100)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16)) * 4
     points = (centres[rng.integers(12, size=4000)] + rng.normal(size=(4000, 16))).astype(np.float32)
     points[rng.random(4000) < 0.33] = points[0]
     df = table(spark, [(i, p.tolist(), 0, "") for i, p in enumerate(points)]).cache()
-    index = partitions.fit_index(partitions.usable(df, True))
-    assert 1 <= index[16].probes < 8
-    sizes = [r["count"] for r in partitions.assigned(df, index).groupBy("part").count().collect()]
+    index = partitions.fit_index(partitions.usable(df, True), large=large)
+    assert 1 <= index[16].probes < index[16].parts and (index[16].parts > 20) == (large < 1000)
+    rows = partitions.usable(df, True)
+    sizes = [r["count"] for r in partitions.assigned(rows, index).groupBy("part").count().collect()]
     assert sum(sizes) == 4000
     x = points.astype(float)
     hit = 0
-    found = partitions.nearest_neighbours(df, df.filter("vec_id % 100 = 0"), 10).collect()
+    found = partitions.nearest_neighbours(df, df.filter("vec_id % 100 = 0"), 10, cell=500, large=large).collect()
     for q in range(0, 4000, 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
         d[q] = np.inf
@@ -138,15 +183,16 @@ def test_empty_tables(spark):
     assert kdtree.top_products(df, df, 5).collect() == [] == partitions.nearest_neighbours(df, df, 10).collect()
 
 
-def test_several_blocks_of_queries(spark, monkeypatch):
+def test_several_blocks_and_passes_of_queries(spark, monkeypatch):
     from mediaquarry.llm import _vectors
 
-    monkeypatch.setattr(_vectors.query_blocks, "__defaults__", (7,))
     rows = odd(np.random.default_rng(8))
     df = table(spark, rows)
     many, few = df.filter("vec_id % 10 = 0"), df.filter("vec_id % 50 = 0")
-    for found in (kdtree.top_products, partitions.nearest_neighbours):
-        got = {tuple(r) for r in found(df, many, 4).collect()}
-        monkeypatch.undo()
-        assert {r for r in got if r[0] % 50 == 0} == {tuple(r) for r in found(df, few, 4).collect()}
-        monkeypatch.setattr(_vectors.query_blocks, "__defaults__", (7,))
+    want = {tuple(r) for r in kdtree.top_products(df, few, 4).collect()}
+    monkeypatch.setattr(_vectors, "QUERY_ROWS", 7)
+    monkeypatch.setattr(_vectors, "PASS_BYTES", 700)
+    assert sum(len(i) for p in _vectors.passes(_vectors.usable(many, False)) for i, _ in p) == _vectors.usable(many, False).count()
+    assert {r for r in map(tuple, kdtree.top_products(df, many, 4).collect()) if r[0] % 50 == 0} == want
+    want = {tuple(r) for r in partitions.nearest_neighbours(df, few, 4).collect()}
+    assert {r for r in map(tuple, partitions.nearest_neighbours(df, many, 4, cell=20).collect()) if r[0] % 50 == 0} == want
