@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaquarry.llm._store import write_table
+from mediaquarry.llm._store import result
 from mediaquarry.llm.copies import distinct_documents
 from mediaquarry.llm.lines import without_repeats
 from mediaquarry.llm.packing import pack_documents
@@ -35,7 +35,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near copies: SimHash candidates, five-word shingles with a similarity of 0.8 or more."""
     return distinct_documents(docs)
 
 
@@ -55,8 +55,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet for the next one."""
+    """All stages over ``documents``, each written as Parquet for the next one; what a stage writes besides is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = write_table(stage(spark, docs, sf_dir), name)
+        docs = result(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
