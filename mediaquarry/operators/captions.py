@@ -36,6 +36,12 @@ def parsed_or_held(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.filter(F.col("likes").isNotNull()), rows.filter(F.col("likes").isNull())
 
 
+def read_counts(messages: DataFrame) -> DataFrame:
+    """(n_rows, n_held): how many media messages there are, and how many of them were held back."""
+    rows = parsed(messages.filter(is_media()))
+    return rows.agg(F.count("*").alias("n_rows"), F.count(F.when(F.col("likes").isNull(), 1)).alias("n_held"))
+
+
 def route(codec: Column) -> Column:
     """Whether a video of this codec has to be transcoded or only remuxed."""
     # Codecs that browsers play.

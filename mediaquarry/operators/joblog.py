@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.numbering import numbered, running_floor
+from ..plans.numbering import running
 
 PUSH, POP, ADD = "RPUSH", "LPOP", "SADD"
 # The models that have a loader, and the order in which they are queued.
@@ -14,14 +14,23 @@ VISION_JOB = "msg_id BIGINT, path STRING"
 MODEL_JOB = "model_name STRING"
 
 
-def depths(log: DataFrame) -> DataFrame:
-    """(seq, key, op, depth): queue length after each push or pop; a pop of an empty queue changes nothing.
+def _replayed(log: DataFrame) -> DataFrame:
+    """Pushes and pops with depth, the queue length after each, pushed, how many pushes there were up to it, and vain, whether a pop found nothing.
 
-    Steps add up to S; pops in vain are as many as the least S fell below 0.
+    Steps add up to S; pops in vain are as many as the least S fell below 0,
+    and a pop is one where S falls below 0 and all that it was before.
     """
-    steps = log.filter(F.col("op").isin(PUSH, POP)).select("seq", "key", "op", F.when(F.col("op") == PUSH, 1).otherwise(-1).alias("step"))
-    rows = running_floor(steps, "key", "seq", "step")
-    return rows.select("seq", "key", "op", (F.col("total") - F.least(F.lit(0).cast("long"), F.col("least"))).alias("depth"))
+    step = F.when(F.col("op") == PUSH, 1).otherwise(-1)
+    rows = running(log.filter(F.col("op").isin(PUSH, POP)).select("seq", "key", "op", "value", step.alias("step")), "key", "seq", "step")
+    floor = F.least(F.lit(0).cast("long"), F.col("earlier"))
+    depth = F.col("total") - F.least(floor, F.col("total"))
+    pushed = ((F.col("number") + 1 + F.col("total")) / 2).cast("long")
+    return rows.select("seq", "key", "op", "value", depth.alias("depth"), pushed.alias("pushed"), (F.col("total") < floor).alias("vain"))
+
+
+def depths(log: DataFrame) -> DataFrame:
+    """(seq, key, op, depth): queue length after each push or pop; a pop of an empty queue changes nothing."""
+    return _replayed(log).select("seq", "key", "op", "depth")
 
 
 def final_depths(log: DataFrame) -> DataFrame:
@@ -32,16 +41,10 @@ def final_depths(log: DataFrame) -> DataFrame:
 
 def matched(log: DataFrame) -> DataFrame:
     """(key, n, pushed_at, popped_at, value): each push with the pop that took it, null if none did."""
-    pushes = numbered(log.filter(F.col("op") == PUSH).select("key", "seq", "value"), ["key"], "seq", False, "n")
-    after = depths(log)
-    # a pop in vain leaves depth 0 and so does the pop of a last job: the sum of steps tells them apart
-    tried = running_floor(log.filter(F.col("op").isin(PUSH, POP)).select("seq", "key", "op", F.when(F.col("op") == PUSH, 1).otherwise(-1).alias("step")), "key", "seq", "step")
-    before = tried.withColumn("depth", F.col("total") - F.least(F.lit(0).cast("long"), F.col("least")))
-    vain = before.filter((F.col("op") == POP) & (F.col("total") == F.col("least")) & (F.col("total") < 0) & (F.col("depth") == 0))
-    first_vain = vain.groupBy("key", "total").agg(F.min("seq").alias("seq")).select("key", "seq")
-    pops = after.filter(F.col("op") == POP).join(first_vain, ["key", "seq"], "left_anti").select("key", "seq")
-    pops = numbered(pops, ["key"], "seq", False, "n").select("key", "n", F.col("seq").alias("popped_at"))
-    return pushes.join(pops, ["key", "n"], "left").select("key", "n", F.col("seq").alias("pushed_at"), "popped_at", "value")
+    rows = _replayed(log)
+    pushes = rows.filter(F.col("op") == PUSH).select("key", F.col("pushed").alias("n"), F.col("seq").alias("pushed_at"), "value")
+    pops = rows.filter((F.col("op") == POP) & ~F.col("vain")).select("key", (F.col("pushed") - F.col("depth")).alias("n"), F.col("seq").alias("popped_at"))
+    return pushes.join(pops, ["key", "n"], "left").select("key", "n", "pushed_at", "popped_at", "value")
 
 
 def members(log: DataFrame) -> DataFrame:

@@ -14,20 +14,22 @@ from .parse import COLUMNS
 
 @dataclass(frozen=True)
 class Index:
-    """postings (token, video_id, col, pos) and lengths (video_id, n_tokens) of every doc."""
+    """postings (token, video_id, col, pos), lengths (video_id, n_tokens) of every doc, and totals, the one row of their statistics."""
 
     postings: DataFrame
     lengths: DataFrame
+    totals: DataFrame
     columns: tuple[str, ...] = COLUMNS
 
     def write(self, path: str) -> None:
         """Store the index with postings in the order of tokens, so that a search reads few row groups."""
         self.postings.repartitionByRange("token").sortWithinPartitions("token", "video_id").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
+        _totals(self.lengths.sparkSession.read.parquet(f"{path}/lengths")).coalesce(1).write.parquet(f"{path}/totals")
 
     @staticmethod
     def read(spark, path: str, columns: tuple[str, ...] = COLUMNS) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), columns)
+        return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "totals")), columns)
 
 
 def build(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Index:
@@ -36,9 +38,13 @@ def build(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Index:
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), t.alias("tokens")) for c, t in tokens.items())))
     postings = docs.select("video_id", each.alias("x")).select("video_id", "x.col", F.posexplode("x.tokens").alias("pos", "token"))
     lengths = docs.select("video_id", reduce(lambda a, b: a + b, (F.size(t) for t in tokens.values())).alias("n_tokens"))
-    return Index(postings.select("token", "video_id", "col", "pos"), lengths, columns)
+    return Index(postings.select("token", "video_id", "col", "pos"), lengths, _totals(lengths), columns)
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"))
 
 
 def statistics(index: Index) -> DataFrame:
     """(n_docs, n_tokens) over all docs."""
-    return index.lengths.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).cast("long").alias("n_tokens"))
+    return index.totals

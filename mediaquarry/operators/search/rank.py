@@ -79,11 +79,14 @@ def explore(catalog: Catalog, index: Index, query: str = "", offset: int = 0, si
     """A page of playable posts: by rank for a query, newest first for a blank one.
 
     Creator and category of a search come from the index's copy of the doc,
-    those of a blank query from the catalog.  Ties go to the smaller id.
+    those of a blank query from the catalog.  Ties go to the smaller id.  The
+    page is cut among ids and ranks; only its rows meet posts and docs.
     """
     if not query.strip():
         return browse.browse(catalog, offset, size)
-    playable = catalog.posts.filter(browse.playable()).select("video_id", "likes", "local_video_path")
-    rows = hits(index, query).join(playable, "video_id").join(catalog.docs, "video_id")
-    top = browse.page(rows, [F.asc("rank"), F.asc("video_id")], offset, size)
-    return top.select(*browse.explore_record(), "rank")
+    playable = catalog.posts.filter(browse.playable())
+    found = hits(index, query).join(playable.select("video_id"), "video_id", "left_semi")
+    order = [F.asc("rank"), F.asc("video_id")]
+    top = browse.page(found, order, offset, size)
+    rows = top.join(playable.select("video_id", "likes", "local_video_path"), "video_id").join(catalog.docs, "video_id")
+    return rows.orderBy(*order).select(*browse.explore_record(), "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators.joblog import MODELS
-from .queries import SEARCHES
+from .queries import CAPTIONS, RANGES, SEARCHES
 
 _CATEGORIES = """
 categories AS (SELECT row_number() OVER (ORDER BY max(doc_id) DESC) AS id, lang AS name FROM documents GROUP BY lang),
@@ -94,6 +94,26 @@ def _token(word: str, prefix: bool = False, more: str = "") -> str:
 
 _PAIR = "SELECT a.video_id FROM postings a JOIN postings b ON a.video_id = b.video_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'"
 
+def _list(values: tuple[str | None, ...]) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def _label(label: str) -> str:
+    return rf"CASE WHEN regexp_matches(c, '{label}\s*(.+)') THEN trim(regexp_extract(c, '{label}\s*(.+)', 1), {_WHITE}) ELSE 'Unknown' END"
+
+
+_ODD = rf"""odd AS (
+  SELECT event_id AS id, coalesce(list_extract({_list(CAPTIONS)}, CAST(event_id % {len(CAPTIONS)} AS INTEGER) + 1), '') AS c FROM events
+), read AS (
+  SELECT id, {_label(X.CATEGORY_LABEL)} AS category, {_label(X.CREATOR_LABEL)} AS creator,
+         CASE WHEN regexp_matches(c, '{X.LIKES_LABEL}\s*[\p{{Nd}},]+')
+              THEN TRY_CAST(replace(translate(regexp_extract(c, '{X.LIKES_LABEL}\s*([\p{{Nd}},]+)', 1), '\u0661\u0662\u0663', '123'), ',', '') AS BIGINT) ELSE 0 END AS likes,
+         trim(regexp_extract(c, '(?s){X.CAPTION_LABEL}\n(.*?)(?:\n{X.LINK_LABEL}|\n?\z)', 1), {_WHITE}) AS caption FROM odd
+)""".replace("\\u0661\\u0662\\u0663", "\u0661\u0662\u0663")
+
 ORACLES: dict[str, str] = {
     "browse_page": _browse(0),
     "browse_page_offset": _browse(30),
@@ -107,6 +127,9 @@ ORACLES: dict[str, str] = {
 SELECT id, regexp_extract(c, '{X.CATEGORY_LABEL}\s*(.+)', 1) AS category, regexp_extract(c, '{X.CREATOR_LABEL}\s*(.+)', 1) AS creator,
        CAST(replace(regexp_extract(c, '{X.LIKES_LABEL}\s*([\d,]+)', 1), ',', '') AS BIGINT) AS likes,
        md5(regexp_extract(c, '(?s){X.CAPTION_LABEL}\n(.*?)(?:\n{X.LINK_LABEL}|\n?\z)', 1)) AS caption_md5 FROM messages""",
+    "caption_quirks": f"WITH {_ODD} SELECT * FROM read",
+    "held_counts": f"WITH {_ODD} SELECT count(*) AS n_rows, count(*) FILTER (likes IS NULL) AS n_held FROM read",
+    "sync_docs": "SELECT doc_id + 1 AS video_id, source AS creator, lang AS category, md5(text) AS caption_md5 FROM documents",
     "media_filter": "SELECT event_id AS id FROM events WHERE event_type IN ('click', 'purchase')",
     "missing_ids": f"WITH {_PRESENT} SELECT id FROM missing",
     "missing_chunks": f"WITH {_PRESENT} SELECT id, CAST((row_number() OVER (ORDER BY id DESC) - 1) // 200 AS BIGINT) AS chunk FROM missing",
@@ -141,10 +164,17 @@ SELECT p.key, p.n, p.seq AS pushed_at, q.seq AS popped_at FROM pushes p LEFT JOI
     "log_filter": """SELECT event_id, CASE WHEN user_id % 2 = 0 THEN '[ENGINE] ' ELSE '[UI] ' END
        || CASE event_type WHEN 'click' THEN 'Loading weights: ' WHEN 'view' THEN '10%|## ' ELSE 'ready ' END || props AS line
 FROM events WHERE NOT (user_id % 2 = 0 AND event_type IN ('click', 'view'))""",
-    "byte_range": """WITH f AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS size, doc_id % 6 AS h FROM documents),
-r AS (SELECT *, CASE h WHEN 1 THEN 2 WHEN 2 THEN 10 WHEN 5 THEN 7 ELSE 0 END AS first, CASE h WHEN 1 THEN 5 WHEN 2 THEN 100000000 WHEN 5 THEN 7 ELSE size - 1 END AS last FROM f)
+    "log_shapes": """WITH e AS (SELECT event_id, ts, event_type, CASE WHEN event_type = 'error' THEN 'nothing' ELSE CASE event_type WHEN 'click' THEN 'open https://host-' WHEN 'view' THEN 'http://host-' ELSE 'no address ' END
+       || user_id || '.example.org/x https://second.example.org' END AS line, user_id FROM events)
+SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN 'https://host-' || user_id || '.example.org' ELSE 'https://second.example.org' END AS url, '[' || strftime(ts, '%H:%M:%S') || '] ' || line AS line FROM e""",
+    "byte_range": rf"""WITH f AS (SELECT doc_id, encode(text) AS b, octet_length(encode(text)) AS size, list_extract({_list(RANGES)}, CAST(doc_id % {len(RANGES)} AS INTEGER) + 1) AS h FROM documents),
+g AS (SELECT *, regexp_extract(h, 'bytes=(\d+)-(\d*)', 1) AS x, regexp_extract(h, 'bytes=(\d+)-(\d*)', 2) AS y FROM f),
+r AS (SELECT *, CASE WHEN x = '' THEN 0 ELSE least(coalesce(TRY_CAST(x AS BIGINT), 4611686018427387904), 4611686018427387904) END AS first,
+             CASE WHEN y = '' THEN size - 1 ELSE least(coalesce(TRY_CAST(y AS BIGINT), 4611686018427387904), 4611686018427387904) END AS last FROM g),
+s AS (SELECT *, greatest(0, least(last + 1, size) - first) AS sent FROM r)
 SELECT doc_id, 'bytes ' || first || '-' || last || '/' || size AS content_range, CAST(last - first + 1 AS BIGINT) AS length,
-       md5(b[first + 1 : least(last + 1, size)]) AS body_md5, CAST(greatest(0, (last - first + 1 + 999) // 1000) AS BIGINT) AS pieces FROM r""",
+       md5(CASE WHEN sent = 0 THEN ''::BLOB ELSE b[first + 1 : first + sent] END) AS body_md5, CAST(greatest(0, (last - first + 1 + 999) // 1000) AS BIGINT) AS pieces,
+       CAST((sent + 999) // 1000 AS BIGINT) AS pieces_sent FROM s""",
     "ui_row_format": f"WITH {_NAMED} SELECT video_id AS id, '@' || creator AS creator, category, format('{{:,}}', likes) AS likes, substring(caption, 1, 60) || '...' AS caption FROM named",
     "time_format": """WITH s AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN abs(value) * 10 END AS s, abs(value) AS v FROM events)
 SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(s % 60) AS BIGINT) AS VARCHAR), 2, '0') END AS shown, printf('%.2f', floor(v / 256.0 * 100 * 100 + 0.5) / 100) AS percent FROM s""",
@@ -157,6 +187,9 @@ SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGI
     "search_column": _search([_token("de", True, " AND col = 'category'")], "tf0 > 0", [0]),
     "search_or": _search([_token("worthless"), _token("mente", True)], "tf0 > 0 OR tf1 > 0", [0, 1]),
     "search_not": _search([_token("idiot"), _token("trash", True)], "tf0 > 0 AND tf1 = 0", [0]),
+    "search_blank": _browse(0),
+    "search_space": _search([_token("of"), _token("the", True)], "tf0 > 0 AND tf1 > 0", [0, 1]),
+    "search_nothing": "SELECT CAST(NULL AS BIGINT) AS id, NULL AS creator, NULL AS category, NULL AS likes, NULL AS caption, NULL AS filename, CAST(NULL AS DOUBLE) AS rank WHERE false",
     "search_initial": _search([_token("the", False, " AND pos = 1"), _token("un", True, " AND pos = 1")], "tf0 > 0 OR tf1 > 0", [0, 1]),
 }
 

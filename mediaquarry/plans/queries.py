@@ -24,7 +24,35 @@ SEARCHES = {
     "search_or": ("worthless OR mente", 0),
     "search_not": ("idiot NOT trash", 0),
     "search_initial": ("^the OR ^un", 0),
+    "search_space": ("of the ", 0),
+    "search_nothing": ("\U0001f600", 0),
 }
+BLANK = " \t "
+#: Captions of all odd shapes, in turns.
+CAPTIONS = (
+    None,
+    "",
+    f"{X.CATEGORY_LABEL} Dance \nx",
+    f"{X.CATEGORY_LABEL}\n{X.CREATOR_LABEL} z",
+    f"{X.CATEGORY_LABEL}   ",
+    f"{X.CATEGORY_LABEL}",
+    f"{X.CATEGORY_LABEL} a\rb",
+    f"{X.LIKES_LABEL} 1,234",
+    f"{X.LIKES_LABEL} 12K",
+    f"{X.LIKES_LABEL.replace(chr(0xFE0F), '')} 77",
+    f"{X.LIKES_LABEL} -4",
+    f"{X.LIKES_LABEL} ,",
+    f"{X.LIKES_LABEL} ,,,\n{X.CREATOR_LABEL} held",
+    f"{X.LIKES_LABEL} \u0661\u0662\u0663",
+    f"{X.CAPTION_LABEL}\nab\ncd\n{X.LINK_LABEL} x",
+    f"{X.CAPTION_LABEL}\nab\n",
+    f"{X.CAPTION_LABEL} ab",
+    f"{X.CAPTION_LABEL}\n\n{X.LINK_LABEL} x",
+    f"{X.CAPTION_LABEL}\n{X.LINK_LABEL} x",
+    f"{X.CREATOR_LABEL} one\n{X.CREATOR_LABEL} two\n{X.CATEGORY_LABEL}  late  ",
+)
+#: Range headers of all kinds, in turns.
+RANGES = ("bytes=0-", "bytes=2-5", "bytes=10-100000000", "bytes=-5", "items=1-2", "bytes=7-7", "bytes=3000000000-", "bytes=0-9000000000000000", "bytes=99999999999999999999-", "bytes=9-3", "bytes=5-99999999999999999999")
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -34,7 +62,7 @@ def _stored(spark: SparkSession, d: str, kind: str, write: Callable[[str], None]
     """Where a table derived from a folder is stored; it is written at its first use in a session."""
     key = spark.sparkContext.applicationId, d, kind
     if key not in _STORED:
-        path = storage.fresh(spark, kind)
+        path = storage.for_session(spark, kind)
         write(path)
         _STORED[key] = path
     return _STORED[key]
@@ -57,7 +85,12 @@ def _index(spark: SparkSession, d: str, catalog: tables.Catalog) -> search.Index
 def explore(spark: SparkSession, d: str, query: str, offset: int) -> DataFrame:
     catalog = _catalog(spark, d)
     found = search.explore(catalog, _index(spark, d, catalog), query, offset)
-    return found.withColumn("rank", F.round("rank", 6))
+    return found.withColumn("rank", F.round("rank", 6)) if query.strip() else found
+
+
+def search_blank(spark: SparkSession, d: str) -> DataFrame:
+    """A query of white space only: a page of all posts."""
+    return explore(spark, d, BLANK, 0)
 
 
 def playlist(spark: SparkSession, d: str, category: str | None = None) -> DataFrame:
@@ -81,6 +114,20 @@ def caption_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "category", "creator", "likes", F.md5(F.col("caption").cast("binary")).alias("caption_md5"))
 
 
+def _odd_messages(spark: SparkSession, d: str) -> DataFrame:
+    caption = F.get(F.array(*map(F.lit, CAPTIONS)), (F.col("event_id") % len(CAPTIONS)).cast("int"))
+    return tables.table(spark, d, "events").select(F.col("event_id").alias("id"), F.lit(False).alias("empty"), F.lit(True).alias("has_video"), F.lit(None).cast("string").alias("mime"), caption.alias("caption"))
+
+
+def caption_quirks(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of odd shapes; likes are null where the row is held back."""
+    return captions.parsed(_odd_messages(spark, d))
+
+
+def held_counts(spark: SparkSession, d: str) -> DataFrame:
+    return captions.read_counts(_odd_messages(spark, d))
+
+
 def media_filter(spark: SparkSession, d: str) -> DataFrame:
     events = tables.table(spark, d, "events")
     mime = F.when(F.col("event_type") == "click", "video/mp4").when(F.col("event_type") == "view", "image/png").when(F.col("event_type") == "signup", "Video/mp4")
@@ -125,14 +172,23 @@ def status_machine(spark: SparkSession, d: str) -> DataFrame:
     return sync.with_outcomes(_catalog(spark, d).posts, _outcomes(spark, d)).select("video_id", "status", "local_video_path")
 
 
-def sync_catalog(spark: SparkSession, d: str) -> DataFrame:
-    """An empty catalog after all messages: posts with their names' ids."""
+def _synced(spark: SparkSession, d: str) -> tables.Catalog:
+    """An empty catalog after all messages."""
     empty = tables.Catalog(
         spark.createDataFrame([], tables.CATEGORIES), spark.createDataFrame([], tables.CREATORS), spark.createDataFrame([], tables.POSTS),
         spark.createDataFrame([], "video_id long, caption string, creator string, category string"),
     )
-    catalog, _ = sync.synced(empty, tables.sample_messages(spark, d))
-    return catalog.posts.select("video_id", "category_id", "creator_id", "likes", "status", F.col("local_video_path").isNull().alias("waits"))
+    return sync.synced(empty, tables.sample_messages(spark, d))[0]
+
+
+def sync_docs(spark: SparkSession, d: str) -> DataFrame:
+    """The copies for search that the posts brought with them."""
+    return _synced(spark, d).docs.select("video_id", "creator", "category", F.md5(F.col("caption").cast("binary")).alias("caption_md5"))
+
+
+def sync_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """Posts with their names' ids."""
+    return _synced(spark, d).posts.select("video_id", "category_id", "creator_id", "likes", "status", F.col("local_video_path").isNull().alias("waits"))
 
 
 def pending_order(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +246,7 @@ def dedup_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def dedup_gate_stream(spark: SparkSession, d: str) -> DataFrame:
     """The same gate as a stream over the files of the table, run until no input is left."""
-    run = storage.fresh(spark, "gate")
+    run = storage.for_session(spark, "gate")
     schema = tables.table(spark, d, "events").schema
     source = f"{d}/events.parquet" + ("" if _is_folder(spark, f"{d}/events.parquet") else "*")
     keys = streams.gated(spark.readStream.schema(schema).parquet(source).select("user_id"), "user_id")
@@ -236,10 +292,20 @@ def log_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def byte_range(spark: SparkSession, d: str) -> DataFrame:
     t = tables.table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
-    headers = ("bytes=0-", "bytes=2-5", "bytes=10-100000000", "bytes=-5", "items=1-2", "bytes=7-7")
-    t = t.select("doc_id", "content", F.octet_length("content").alias("size"), F.get(F.array(*map(F.lit, headers)), (F.col("doc_id") % len(headers)).cast("int")).alias("header"))
+    t = t.select("doc_id", "content", F.octet_length("content").alias("size"), F.get(F.array(*map(F.lit, RANGES)), (F.col("doc_id") % len(RANGES)).cast("int")).alias("header"))
     first, last = blobs.range_bounds(F.col("header"), F.col("size"))
-    return t.select("doc_id", blobs.content_range(first, last, F.col("size")).alias("content_range"), (last - first + 1).alias("length"), F.md5(blobs.byte_slice(F.col("content"), first, last)).alias("body_md5"), F.size(blobs.piece_offsets(last - first + 1, 1000)).cast("long").alias("pieces"))
+    return t.select(
+        "doc_id", blobs.content_range(first, last, F.col("size")).alias("content_range"), (last - first + 1).alias("length"), F.md5(blobs.byte_slice(F.col("content"), first, last)).alias("body_md5"),
+        blobs.piece_count(last - first + 1, 1000).alias("pieces"), F.size(blobs.piece_offsets(blobs.sent(first, last, F.col("size")), 1000)).cast("long").alias("pieces_sent"),
+    )
+
+
+def log_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Log lines behind their time, and the address that some of them hold."""
+    e = tables.table(spark, d, "events")
+    line = F.concat(F.when(F.col("event_type") == "click", "open https://host-").when(F.col("event_type") == "view", "http://host-").otherwise("no address "), F.col("user_id").cast("string"), F.lit(".example.org/x https://second.example.org"))
+    line = F.when(F.col("event_type") == "error", "nothing").otherwise(line)
+    return e.select("event_id", X.tunnel_url(line).alias("url"), X.clock_prefix(line, F.col("ts")).alias("line"))
 
 
 def ui_row_format(spark: SparkSession, d: str) -> DataFrame:
@@ -270,9 +336,10 @@ QUERIES: dict[str, Query] = {
     "playlist_all": playlist,
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
-        category_list, category_menu_order, caption_parse, media_filter, missing_ids, missing_chunks, dim_surrogate_keys, upsert_first_wins, status_machine,
-        sync_catalog, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, fifo_match,
-        set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, byte_range, ui_row_format, time_format, scalar_functions,
+        category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, dim_surrogate_keys, upsert_first_wins, status_machine,
+        sync_catalog, sync_docs, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, fifo_match,
+        set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, byte_range, ui_row_format, time_format, scalar_functions,
     )},
+    "search_blank": search_blank,
     **{name: partial(explore, query=q, offset=o) for name, (q, o) in SEARCHES.items()},
 }

@@ -1,24 +1,71 @@
-"""The append-only log of a key-value server, in its length-prefixed framing."""
+"""The append-only log of a key-value server, in its length-prefixed framing, and lines of process output."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: Begins a command: the number of its parts, on a line of its own.
-_COMMAND = r"(?:^|\r\n)\*\d+\r\n"
+#: Commands of a batch that a task hands on.
+BATCH = 4_096
 
 
 def commands(spark: SparkSession, path: str) -> DataFrame:
-    """(file, seq, op, key, value): the commands of each log file, in order.
+    """(file, seq, op, key, value): the commands of each log file, in order, numbered from 1.
 
-    A file is one row until it is split, so its size is bounded by a task's
-    memory; servers roll their logs well before that.
+    Parts are taken by their lengths, so a value may hold anything, line ends
+    and what looks like a command too.  Where a command begins depends on all
+    before it, so a file is read by one task, of up to 2 GB as a binary file
+    is; servers roll their logs well before that, and files are read in
+    parallel.  A command that the end of the file cuts off is left out, as a
+    server does when it starts; bytes that aren't UTF-8 are replaced; a file
+    that breaks the framing elsewhere raises.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    pieces = whole.select("file", F.posexplode(F.split("value", _COMMAND)).alias("seq", "piece")).filter("seq > 0")
-    parts = F.split("piece", "\r\n")
-    return pieces.select("file", F.col("seq").cast("int"), F.upper(F.get(parts, 1)).alias("op"), F.get(parts, 3).alias("key"), F.get(parts, 5).alias("value"))
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def line(data: bytes, at: int, sign: bytes, file: str) -> tuple[int, int] | None:
+        """The number on the line at ``at`` and where the next begins, or None where the file ends before."""
+        end = data.find(b"\r\n", at)
+        if end < 0:
+            return None
+        if data[at : at + 1] != sign or not data[at + 1 : end].isdigit():
+            raise ValueError(f"{file}: no command at byte {at}")
+        return int(data[at + 1 : end]), end + 2
+
+    def parsed(data: bytes, file: str) -> Iterator[list[bytes]]:
+        at = 0
+        while at < len(data):
+            if data[at : at + 1] == b"#":  # a note between commands
+                at = data.find(b"\n", at) + 1 or len(data)
+                continue
+            if (head := line(data, at, b"*", file)) is None:
+                return
+            count, at = head
+            parts = []
+            for _ in range(count):
+                if at >= len(data) or (head := line(data, at, b"$", file)) is None or head[1] + head[0] + 2 > len(data):
+                    return
+                parts.append(data[head[1] : head[1] + head[0]])
+                at = head[1] + head[0] + 2
+            yield parts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["file", "seq", "op", "key", "value"]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                file, rows = batch.column(0)[i].as_py(), []
+                for seq, parts in enumerate(parsed(batch.column(1)[i].as_py(), file), 1):
+                    op, key, value = ([p.decode("utf-8", "replace") for p in parts[:3]] + [None] * 3)[:3]
+                    rows.append((file, seq, op and op.upper(), key, value))
+                    if len(rows) == BATCH:
+                        yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)), schema)
+
+    schema = pa.schema([("file", pa.string()), ("seq", pa.int32()), ("op", pa.string()), ("key", pa.string()), ("value", pa.string())])
+    return files.mapInArrow(run, "file string, seq int, op string, key string, value string")
 
 
 def log_lines(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

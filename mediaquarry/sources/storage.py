@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -20,10 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = Path(tempfile.mkdtemp(prefix="mediaquarry-")).as_uri()
+        folder = tempfile.mkdtemp(prefix="mediaquarry-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _OWN[app] = Path(folder).as_uri()
     return _OWN[app]
 
 
 def fresh(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark)}/mediaquarry/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder; one that can't be removed is left behind."""
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may have ended before the interpreter
+        return
+
+
+def for_session(spark: SparkSession, name: str) -> str:
+    """A fresh path whose folder is removed when the driver ends."""
+    path = fresh(spark, name)
+    atexit.register(remove, spark, path)
+    return path

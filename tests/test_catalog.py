@@ -1,4 +1,7 @@
+import pathlib
 import random
+import subprocess
+import sys
 from collections import deque
 
 import duckdb
@@ -8,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from mediaquarry.operators import browse, joblog, schedule, sync
 from mediaquarry.plans import oracle, queries
-from mediaquarry.plans.numbering import numbered, running_floor
+from mediaquarry.plans.numbering import numbered, running
 from mediaquarry.sources import appendlog
 from mediaquarry.sources.tables import CATEGORIES, CREATORS, ERROR, HARVESTED, METADATA_ONLY, POSTS, Catalog, blob, blob_files, caption_of, message_files
 
@@ -56,28 +59,30 @@ def test_pages_add_up(spark):
     assert [r.id for r in browse.browse(catalog, -5).collect()] == every[:30]
 
 
-def test_numbers_cross_blocks(spark):
+@pytest.mark.parametrize("upper", [2, 24])
+def test_numbers_cross_blocks(spark, upper):
     rng = random.Random(1)
-    ids = rng.sample(range(-500, 5000), 700)
+    ids = rng.sample(range(-500, 5000), 700) + [rng.randrange(-(1 << 63), 1 << 63) for _ in range(100)] + [(1 << 63) - 1, -(1 << 63)]
     rows = [(i, "ab"[i % 2] if i % 7 else None) for i in ids]
     df = spark.createDataFrame(rows, "id long, k string")
-    got = {(r.k, r.id): r.n for r in numbered(df, ["k"], "id", True, "n", bits=6).collect()}
+    got = {(r.k, r.id): r.n for r in numbered(df, ["k"], "id", True, "n", bits=6, upper=upper).collect()}
     for k in ("a", "b", None):
         mine = sorted((i for i, x in rows if x == k), reverse=True)
         assert [got[k, i] for i in mine] == list(range(1, len(mine) + 1))
 
 
-def test_running_minimum_crosses_blocks(spark):
+@pytest.mark.parametrize("upper", [2, 24])
+def test_running_minimum_crosses_blocks(spark, upper):
     rng = random.Random(2)
-    steps = [(i, rng.choice("xy"), rng.choice((-1, 1))) for i in range(400)]
-    got = {r.i: (r.total, r.least) for r in running_floor(spark.createDataFrame(steps, "i long, k string, s int"), "k", "i", "s", bits=4).collect()}
+    steps = [(i if i < 300 else i << 40, rng.choice("xy"), rng.choice((-1, 1))) for i in range(400)]
+    got = {r.i: (r.total, r.number, r.earlier) for r in running(spark.createDataFrame(steps, "i long, k string, s int"), "k", "i", "s", bits=4, upper=upper).collect()}
     for k in "xy":
-        total, least = 0, 10**9
+        total, n, least = 0, 0, None
         for i, x, s in steps:
             if x == k:
                 total += s
-                least = min(least, total)
-                assert got[i] == (total, least)
+                assert got[i] == (total, n, least)
+                n, least = n + 1, total if least is None else min(least, total)
 
 
 def framed(commands):
@@ -109,6 +114,31 @@ def test_replay_of_a_log(spark, tmp_path):
     assert joblog.dispatched(joblog.decoded(rows, joblog.MODEL_JOB)).count() == 28
 
 
+def test_values_with_line_ends_and_frames(spark, tmp_path):
+    """Parts are read by their lengths: no value is cut or taken for a command."""
+    log = [("RPUSH", "q", v) for v in ("a\r\nb", "x\r\n*1\r\n$4\r\nPING\r\n", "", "*3\r\n", "\u00e4\U0001f600", "$5\r\nRPUSH")] + [("PING",), ("set", "k", "v", "more")]
+    data = framed(log).encode()
+    (tmp_path / "whole.aof").write_bytes(b"#TS:1\r\n" + data)
+    (tmp_path / "cut.aof").write_bytes(data[:-3])
+    (tmp_path / "empty.aof").write_bytes(b"")
+    got = {}
+    for r in appendlog.commands(spark, str(tmp_path / "*.aof")).collect():
+        got.setdefault(r.file.rsplit("/", 1)[-1], []).append((r.seq, r.op, r.key, r.value))
+    want = [(i, op.upper(), *([*rest, None, None][:2])) for i, (op, *rest) in enumerate(log, 1)]
+    assert got["whole.aof"] == want and got["cut.aof"] == want[:-1] and "empty.aof" not in got
+    (tmp_path / "bad.log").write_bytes(data + b"junk\r\n")
+    with pytest.raises(Exception, match="no command at byte"):
+        appendlog.commands(spark, str(tmp_path / "bad.log")).collect()
+
+
+def test_the_entry_point_without_the_subpackage(tmp_path):
+    """A library that only the training-data queries need may be missing."""
+    code = "import sys; sys.modules['ahocorasick'] = None; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = pathlib.Path(__spark_entry__.__file__).parent
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=120)
+    assert out.stdout.split() == [str(len(queries.QUERIES)), str(len(oracle.ORACLES))], out.stderr
+
+
 def test_depths_and_matches_of_random_logs(spark):
     rng = random.Random(3)
     log = [(i, rng.choice(("RPUSH", "LPOP", "LPOP", "SADD")), rng.choice("pq"), str(i)) for i in range(300)]

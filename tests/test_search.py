@@ -70,3 +70,17 @@ def test_prefix_reaches_the_scan(spark, index, tmp_path, capsys):
     index.write(str(tmp_path / "index"))
     search.hits(search.Index.read(spark, str(tmp_path / "index"), COLUMNS), "danc").explain()
     assert "StringStartsWith(token,danc)" in capsys.readouterr().out
+
+
+def test_the_page_is_cut_before_it_meets_the_docs(spark, capsys):
+    from mediaquarry.plans import queries
+
+    search.explore(catalog := queries._catalog(spark, "/root/testdata/sf0.001"), queries._index(spark, "/root/testdata/sf0.001", catalog), "th").explain()
+    plan = capsys.readouterr().out
+    lines = plan.split("\n")
+    begins = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    (cut,) = (i for i, x in enumerate(lines) if "TakeOrderedAndProject(limit=30" in x)
+    end = next((i for i in range(cut + 1, len(lines)) if begins[i] <= begins[cut]), len(lines))
+    scans = [(cut < i < end, x.split("Batched")[0]) for i, x in enumerate(lines) if "FileScan" in x]
+    assert sum(inside for inside, _ in scans) >= 4 and not any(inside and ("caption#" in x or "likes#" in x) for inside, x in scans)
+    assert any("caption#" in x for _, x in scans)
