@@ -1,13 +1,17 @@
 """Main text of web pages by composite text density.
 
 Every element has its characters per tag, adjusted by the share of characters
-and tags that lie in links.  The element whose children have the greatest sum
-of densities holds the main text; the least density on its path to the body is
-the threshold that elements beside that path must reach to be taken as well.
-An enclosing article (or main part) is taken whole.  Menus, forms, adverts and
-the like, known by their tag, role or class, have no part in either step; a
-class says nothing where the element holds an article, or a first heading and
-most of the text.
+and tags that lie in links.  Elements of a line of text (bold, links and such)
+count as tags of what holds them but have no density of their own.  The element
+whose children have the greatest sum of densities holds the main text; the
+least density on its path to the body is the threshold that elements beside
+that path must reach to be taken as well.  A heading beside the path needs no
+density, and takes part wherever it belongs to what is chosen.
+
+Menus, forms, adverts and the like, known by their tag, role or class, have
+density zero; a class says nothing where the element holds an article, or a
+first heading and most of the text.  That an element is an article or a main
+part decides nothing else.
 
 A page is read once, by a regular expression for its tags; nesting is kept in
 arrays, so depth and length are bounded by memory only.
@@ -46,6 +50,11 @@ BLOCK = frozenset(
     " td tfoot th thead tr ul".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of a line of text.
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup"
+    " time tt u var wbr".split()
+)
 #: Elements that are no part of any text.
 SKIP = frozenset(
     "script style head title template noscript iframe noembed noframes object svg canvas audio video nav footer aside form button"
@@ -224,28 +233,25 @@ class Page:
                 t, lc, lt = max(1, tags[i]), max(1, links[i]), max(1, link_tags[i])
                 base = math.log(math.log(c / max(1, c - links[i]) * links[i] + overall * c + math.e))
                 own[i] = c / t * math.log(max(math.e, c / lc * t / lt)) / (base if overall and base > 1e-6 else 1.0)
-        for i in range(1, n):
-            total[self.parent[i]] += own[i]
+        for i in range(n - 1, 0, -1):
+            if self.tag[i] in INLINE:
+                own[i] = 0.0
+                total[self.parent[i]] += total[i]
+            else:
+                total[self.parent[i]] += own[i]
         return own, total, chars
 
     def chosen(self) -> list[int]:
         """The elements whose text is the main one, in page order; none lies in another."""
         own, total, chars = self.densities()
-        usable = [i for i in range(len(self.tag)) if chars[i] and not self.skip[i]]
+        usable = [i for i in range(len(self.tag)) if chars[i] and not self.skip[i] and self.tag[i] not in INLINE]
         if not usable:
             return []
         best = max(usable, key=lambda i: (total[i], own[i], -i))
         path = [best]
         while path[-1] and self.tag[path[-1]] != "body":
             path.append(self.parent[path[-1]])
-        threshold = min(own[i] for i in path)
-        for kind in ("article", "main"):
-            for i in path:
-                if self.tag[i] == kind:
-                    return [j for j in usable if j == i or (kind == "article" and self.tag[j] == kind and self.parent[j] == self.parent[i] and own[j] >= threshold)]
-        for i in path:
-            if self.main[i] and not (i and self.main[self.parent[i]]):
-                return [i]
+        threshold = min(own[i] for i in path if self.tag[i] not in INLINE)
         picked, above = {best}, set(path)
         for i in usable:
             p = self.parent[i]

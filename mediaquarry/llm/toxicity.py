@@ -7,8 +7,9 @@ so the model is the few weights that differ from zero, at most ``2**BITS``,
 and can be broadcast.
 
 The model is fitted on a bounded sample of the labelled rows (``SAMPLE`` rows
-whose texts have at most ``SAMPLE_CHARS`` code points, picked by a hash of the
-id); every row is scored over its whole text.  Each third of the sample is also
+whose texts have at most ``SAMPLE_CHARS`` code points, in the order of a hash of
+the id, as many as have ``SAMPLE_FEATURES`` features in all); every row is
+scored over its whole text.  Each third of the sample is also
 scored by a model of the other two; the logit that best parts the labels there
 (F with precision counted double) becomes the score ``THRESHOLD``.
 
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 from ._store import ready, sliced
 
 BITS = 20
-SAMPLE, SAMPLE_CHARS = 12_000, 40_000
+SAMPLE, SAMPLE_CHARS, SAMPLE_FEATURES = 12_000, 40_000, 1 << 26
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.3, 1.0, 3.0, 0.5
 FOLDS = 3
 #: Bytes of a word that stand for its stem.
@@ -152,10 +153,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "at"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in sliced(batches):
+        rows, size = [], 0
+        for batch in batches:
             at = batch.column(2)
-            rows += [(at[i].values.to_numpy(), y) for i, y in enumerate(batch.column(1).to_pylist())]
+            for i, y in enumerate(batch.column(1).to_pylist()):
+                found = at[i].values.to_numpy().copy()
+                size += len(found)
+                if size <= SAMPLE_FEATURES:
+                    rows.append((found, y))
         if not rows:
             return
         number, logits = np.arange(len(rows)), np.zeros(len(rows))

@@ -1,8 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from mediaquarry.llm import toxicity
@@ -94,6 +96,59 @@ def test_odd_documents_and_labels(spark, odd_docs):
     assert toxicity.score(odd_docs.limit(0), toxicity.fit(odd_docs.limit(0), labels)).count() == 0
 
 
+def plain_features(text):
+    """All features of a text as numbers, one by one."""
+    words = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "")).encode().lower().split()
+    h, whole, odd, other = [xxhash.xxh64_intdigest(w) for w in words], 1 << 64, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    found = h + [xxhash.xxh64_intdigest(w[:n], n) for n in (5, 7) for w in words]
+    found += [(a * odd + b) * other % whole for a, b in zip(h, h[1:])] + [(a * other + b) * odd % whole for a, b in zip(h, h[2:])]
+    return sorted({x >> 44 for x in found})
+
+
+def plain_ftrl(rows, chosen):
+    """Weights by the recursion over dictionaries, all features of all rows."""
+    z, n, bias = {}, {}, -1
+
+    def weight(i):
+        l1 = 0.0 if i == bias else 3.0
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return (math.copysign(l1, z[i]) - z[i]) / ((1.0 + math.sqrt(n[i])) / 0.3 + 0.5)
+
+    for epoch in range(4):
+        for k in np.random.default_rng(epoch).permutation(chosen):
+            at, label = [*rows[k][0], bias], rows[k][1]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - label
+            for i in at:
+                m = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(m + g * g) - math.sqrt(m)) / 0.3 * w[i]
+                n[i] = m + g * g
+    return {i: w for i in z if (w := weight(i))}
+
+
+def test_scores_of_a_whole_table_as_brute_force(spark):
+    """Model, folds, threshold and scores of the contract from dictionaries and all thresholds."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    order = [r.doc_id for r in docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.doc_id in labels and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and len(r.text) <= 40_000]
+    rows = [(plain_features(texts[i]), labels[i]) for i in order]
+    logit = lambda w, f: sum(w.get(i, 0.0) for i in f) + w.get(-1, 0.0)
+    apart = {}
+    for fold in range(3):
+        w = plain_ftrl(rows, np.array([k for k in range(len(rows)) if k % 3 != fold]))
+        apart |= {k: logit(w, rows[k][0]) for k in range(fold, len(rows), 3)}
+    cuts = sorted(set(apart.values()), reverse=True)
+    best = max(cuts, key=lambda c: 1.25 * sum(rows[k][1] for k in apart if apart[k] >= c) / (0.25 * sum(y for _, y in rows) + sum(v >= c for v in apart.values())))
+    below = [v for v in cuts if v < best]
+    w = plain_ftrl(rows, np.arange(len(rows)))
+    shift = math.log(0.7 / 0.3) - ((best + below[0]) / 2 if below else best)
+    got = {r.doc_id: r.score for r in toxicity.op2_toxicity(spark, folder).collect()}
+    assert got == pytest.approx({i: 1 / (1 + math.exp(-logit(w, plain_features(t)) - shift)) for i, t in texts.items()}, abs=1e-9)
+
+
 def test_contract(spark):
     folder = "/root/testdata/sf0.01"
     rows = toxicity.op2_toxicity(spark, folder).collect()
