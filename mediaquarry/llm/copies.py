@@ -41,9 +41,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import connected_components
+from ._components import merged
 from ._store import ready, sliced, write_table
-from .simhash import FULL, HELD, SEED, Forest, majority, shingle_hashes
+from .simhash import FULL, HELD, SEED, Forest, majority
 
 WORDS, RADIUS = 5, 22
 #: The least similarity, as a fraction.
@@ -52,22 +52,68 @@ BANDS, DEEP = 18, 4
 SKETCH = 1_024
 #: Pairs whose sketches are compared at once.
 PAIRS = 1 << 15
+#: Bytes of a text that are hashed at once.
+BLOCK = 1 << 20
+_MIX, _HALF = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(32)
+_BASE = 0x9E3779B97F4A7C15
+_BYTES = np.random.default_rng(SEED + 1).integers(1 << 64, size=256, dtype=np.uint64)
+_FACTORS = np.random.default_rng(SEED).integers(1 << 62, size=(BANDS * DEEP, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+class _Powers:
+    """Powers of an odd number and of its inverse, to 64 bits."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = max(n, 1 << 16)
+            self.up, self.down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return self.up, self.down
+
+
+_POWERS = _Powers()
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The hashes of the ``words``-word shingles of ``text``, sorted and distinct."""
-    return np.unique(shingle_hashes(text, words))
+    """64-bit hashes of the ``words``-word shingles of ``text``, sorted and distinct.
+
+    A shingle's hash is a polynomial of its bytes (each given a random number)
+    to 64 bits, mixed; sums over the whole text give those of all its shingles.
+    """
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    words = min(words, len(ends))
+    first, last = np.r_[0, ends[:-1] + 1][: len(ends) - words + 1], ends[words - 1 :]
+    found, at = np.zeros(len(first), np.uint64), 0
+    while at < len(first):
+        low = int(first[at])
+        to = max(at + 1, int(np.searchsorted(last, low + BLOCK)))
+        high = int(last[to - 1])
+        up, down = _POWERS.to(high - low + 1)
+        sums = np.r_[np.uint64(0), np.cumsum(_BYTES[data[low:high]] * up[: high - low])]
+        a, z = first[at:to] - low, last[at:to] - low
+        found[at:to] = (sums[z] - sums[a]) * down[a]
+        at = to
+    for _ in range(2):
+        found ^= found >> _HALF
+        found *= _MIX
+    return np.unique(found ^ (found >> _HALF))
 
 
 def minima(found: np.ndarray) -> list[int]:
     """A hash for each band of ``DEEP`` minima; none for an empty set."""
     if not len(found):
         return []
-    factors = np.random.default_rng(SEED).integers(1 << 62, size=BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    least = np.full(len(factors), ~np.uint64(0))
-    for i in range(0, len(found), 1 << 13):
-        mixed = found[i : i + (1 << 13), None] * factors
-        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    least = np.full(len(_FACTORS), ~np.uint64(0))
+    for i in range(0, len(found), 512):
+        mixed = _FACTORS * found[i : i + 512]
+        mixed ^= mixed >> _HALF
+        np.minimum(least, mixed.min(axis=1), out=least)
     return [xxhash.xxh64_intdigest(part.tobytes(), k) - (1 << 63) for k, part in enumerate(least.reshape(BANDS, DEEP))]
 
 
@@ -108,33 +154,36 @@ def _close(n: str, m: str):
     return F.least(n, m) * ALIKE[1] >= F.greatest(n, m) * ALIKE[0]
 
 
-def _roots(nodes: DataFrame) -> DataFrame:
-    """(a, b): each node with one root of its shards that its fingerprint, size and sketch allow."""
+def _shards(nodes: DataFrame) -> DataFrame:
+    """(band, node, n, fp, top): the members of every shard that has several; top is the root of its tree."""
     banded = nodes.select("node", "n", "fp", F.explode("bands").alias("band"))
-    first = F.min(F.struct(F.xxhash64("node").alias("h"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("other")))
-    roots = write_table(banded.groupBy("band").agg(first.alias("p"), F.count("*").alias("k")).filter("k > 1").select("band", "p.*"), "roots")
-    near = _close("n", "m") & (F.col("node") != F.col("b")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
-    pairs = banded.join(roots, "band").filter(near).select(F.col("node").alias("a"), "b", "h", (F.col("n") + F.col("m")).alias("both")).distinct()
-    pairs = write_table(pairs, "pairs")
+    tops = banded.groupBy("band").agg(F.min("node").alias("top"), F.count("*").alias("k")).filter("k > 1").select("band", "top")
+    return write_table(banded.join(write_table(tops, "tops"), "band"), "banded")
+
+
+def _roots(banded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each node with one root of its shards that its fingerprint, size and sketch allow."""
+    tops = nodes.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("fp").alias("other"))
+    pairs = banded.filter("node <> top").select(F.col("node").alias("a"), F.col("top").alias("b"), "n", "fp").distinct().join(tops, "b")
+    near = _close("n", "m") & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
+    pairs = write_table(pairs.filter(near).select("a", "b", (F.col("n") + F.col("m")).alias("both")), "pairs")
     words = F.transform(F.sequence(F.lit(0), F.lit(SKETCH // 64 - 1)), lambda i: F.conv(F.hex(F.substring("sketch", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
     marks = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "node", "left_semi").select("node", words.alias("w"))
     marks = write_table(marks, "marks")
     both = pairs.join(marks.select(F.col("node").alias("a"), F.col("w").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("w").alias("y")), "b")
     apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     possible = both.filter(apart * sum(ALIKE) <= F.col("both") * (ALIKE[1] - ALIKE[0]))
-    return possible.groupBy("a").agg(F.min(F.struct("h", "b")).alias("p")).select("a", "p.b")
+    return possible.groupBy("a").agg(F.min("b").alias("b"))
 
 
-def _searched(nodes: DataFrame, links: DataFrame, full: int, one: bool) -> DataFrame:
-    """(a, b): pairs of a shard that are in different components of ``links`` and may be similar; at most one for each a and shard if ``one``."""
-    found = connected_components(links)
-    placed = write_table(nodes.join(found, "node", "left").select("node", "n", "fp", "bands", "sketch", F.coalesce("root", "node").alias("root")), "placed")
-    banded = placed.select("node", "n", "fp", "root", F.explode("bands").alias("band"))
+def _searched(banded: DataFrame, nodes: DataFrame, roots: DataFrame, full: int, one: bool) -> DataFrame:
+    """(a, b): pairs of a shard that have different ``roots`` and may be similar; at most one for each a and shard if ``one``."""
+    banded = write_table(banded.join(roots, "node").select("band", "node", "n", "fp", "root"), "placed")
     shares = banded.groupBy("band", "root").agg(F.count("*").alias("c"))
     shards = shares.groupBy("band").agg(F.sum("c").alias("m"), F.max(F.struct("c", "root")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     cells = F.ceil(F.col("m") / full).cast("int"), F.ceil((F.col("m") - F.col("top.c")) / full).cast("int")
     shards = write_table(shards.select("band", F.col("top.root").alias("top"), cells[0].alias("trees"), cells[1].alias("askers")), "shards")
-    members = banded.join(shards, "band").join(placed.select("node", "sketch"), "node")
+    members = banded.join(shards, "band").join(nodes.select("node", "sketch"), "node")
     asks = F.col("root") != F.col("top")
     tree, part = F.pmod(F.xxhash64("node", F.lit("tree")), "trees").cast("int"), F.pmod(F.xxhash64("node"), "askers").cast("int")
     grown = F.transform(F.sequence(F.lit(0), F.col("askers") - 1), lambda p: F.struct(tree.alias("tree"), p.alias("part"), F.lit(True).alias("grows"), (asks & (p == part)).alias("asks")))
@@ -217,16 +266,19 @@ def candidates(table: pa.Table, one: bool) -> Iterator[pa.RecordBatch]:
 
 
 def near_copies(texts: DataFrame, nodes: DataFrame, words: int = WORDS, full: int = FULL) -> DataFrame:
-    """(a, b): links whose components are those of all similar pairs that meet in a shard.
+    """(node, root): the smallest node of the component of all similar pairs that meet in a shard.
 
     ``texts`` (node, text) and ``nodes`` (node, n, fp, bands, sketch), no two of
     them with equal sets, are tables.
     """
-    links = confirmed(write_table(_roots(nodes), "pairs"), texts, words)
+    banded = _shards(nodes)
+    roots = merged(nodes.select("node", F.col("node").alias("root")), confirmed(write_table(_roots(banded, nodes), "pairs"), texts, words))
     for one in (True, False):
-        pairs = write_table(_searched(nodes, links, full, one), "pairs")
-        links = links.union(confirmed(pairs, texts, words))
-    return links
+        pairs = write_table(_searched(banded, nodes, roots, full, one), "pairs")
+        if pairs.isEmpty():  # whoever has candidates has one
+            break
+        roots = merged(roots, confirmed(pairs, texts, words))
+    return roots
 
 
 def distinct_documents(docs: DataFrame, words: int = WORDS, full: int = FULL) -> DataFrame:
@@ -246,7 +298,7 @@ def distinct_documents(docs: DataFrame, words: int = WORDS, full: int = FULL) ->
     order = F.struct(F.col("id").isNull().alias("last"), "id", "node")
     groups = marked.join(ids, "node").groupBy("key").agg(F.min(order).alias("first"), *(F.any_value(c).alias(c) for c in ("n", "fp", "bands", "sketch")))
     groups = write_table(groups.select(F.col("first.node").alias("node"), "first", "n", "fp", "bands", "sketch"), "groups")
-    roots = connected_components(near_copies(texts, groups.drop("first"), words, full))
-    found = groups.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    roots = near_copies(texts, groups.drop("first"), words, full)
+    found = groups.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("first"))
     kept = write_table(found.select(F.col("first.node").alias(row)), "kept")
     return numbered.join(kept, row, "left_semi").drop(row)

@@ -65,7 +65,7 @@ def test_trees_alone_find_every_pair(spark, monkeypatch, full):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     rng = random.Random(1)
     rows += [(10**6 + i, edited(rng, t.split(), 1 + len(t.split()) // 60)) for i, (_, t) in enumerate(rows) if t and len(t.split()) > 20]
-    monkeypatch.setattr(copies, "_roots", lambda nodes: nodes.select(nodes.node.alias("a"), nodes.node.alias("b")).limit(0))
+    monkeypatch.setattr(copies, "_roots", lambda banded, nodes: nodes.select(nodes.node.alias("a"), nodes.node.alias("b")).limit(0))
     got = copies.distinct_documents(spark.createDataFrame(rows, "doc_id long, text string"), full=full)
     assert sorted(r.doc_id for r in got.collect()) == brute(rows)
 
@@ -77,3 +77,19 @@ def test_sketches_never_rule_out_a_similar_pair():
         a, b = (np.unique(whole[np.array([rng.random() < 0.9 for _ in whole])]) for _ in range(2))
         x, y = (np.frombuffer(copies.sketch(s), np.uint8) for s in (a, b))
         assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_shingles_hash_alike_only_if_equal(monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.choice('ab')}{rng.randrange(4)}" for _ in range(n)) for n in (0, 1, 3, 5, 6, 400, 3000)] + ["x" * 5000 + " y z", "  A b\tA\x0bB a b a b  "]
+    want, seen = {}, {}
+    for text in texts:
+        found = copies.shingles(text)
+        assert len(found) == len(sets(text))
+        for gram in sets(text):
+            assert want.setdefault(gram, copies.shingles(gram.decode()).item()) in found
+    for gram, h in want.items():
+        assert seen.setdefault(h, gram) == gram
+    whole = [copies.shingles(t).tolist() for t in texts]
+    monkeypatch.setattr(copies, "BLOCK", 50)
+    assert [copies.shingles(t).tolist() for t in texts] == whole
