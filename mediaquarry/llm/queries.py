@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import kdtree, lines, packing
+from . import infill, kdtree, lines, packing
 from .hmm import op4_hmm
 from .html import op7_html_text
+from .infill import op11_fill_in_middle
 from .kdtree import op10_kdtree
 from .lines import op5_line_dedup
 from .packing import op9_packing
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
     "op10_kdtree": op10_kdtree,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op9_packing": packing.ORACLE, "op10_kdtree": kdtree.ORACLE}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op9_packing": packing.ORACLE, "op10_kdtree": kdtree.ORACLE, "op11_fill_in_middle": infill.ORACLE}
