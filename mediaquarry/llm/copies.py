@@ -76,18 +76,12 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """64-bit hashes of the ``words``-word shingles of ``text``, sorted and distinct.
+def hashed_grams(data: np.ndarray, ends: np.ndarray, words: int) -> np.ndarray:
+    """A 64-bit hash of each ``words`` consecutive words; ``data`` are the bytes of all words, each followed by a space at ``ends``.
 
-    A shingle's hash is a polynomial of its bytes (each given a random number)
-    to 64 bits, mixed; sums over the whole text give those of all its shingles.
+    A hash is a polynomial of the bytes (each given a random number) to 64 bits,
+    mixed; sums over the whole text give those of all its stretches.
     """
-    tokens = (text or "").encode().lower().split()
-    if not tokens:
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
-    ends = np.flatnonzero(data == 32)
-    words = min(words, len(ends))
     first, last = np.r_[0, ends[:-1] + 1][: len(ends) - words + 1], ends[words - 1 :]
     found, at = np.zeros(len(first), np.uint64), 0
     while at < len(first):
@@ -102,7 +96,17 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     for _ in range(2):
         found ^= found >> _HALF
         found *= _MIX
-    return np.unique(found ^ (found >> _HALF))
+    return found ^ (found >> _HALF)
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """64-bit hashes of the ``words``-word shingles of ``text``, sorted and distinct."""
+    tokens = (text or "").encode().lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b" ".join(tokens) + b" ", np.uint8)
+    ends = np.flatnonzero(data == 32)
+    return np.unique(hashed_grams(data, ends, min(words, len(ends))))
 
 
 def minima(found: np.ndarray) -> list[int]:

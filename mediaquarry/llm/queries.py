@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import infill, kdtree, lines, packing
+from . import decontaminate, infill, kdtree, lines, packing
+from .decontaminate import op12_decontamination
 from .hmm import op4_hmm
 from .html import op7_html_text
 from .infill import op11_fill_in_middle
@@ -30,6 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_kdtree": op10_kdtree,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_decontamination": op12_decontamination,
 }
 
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE, "op9_packing": packing.ORACLE, "op10_kdtree": kdtree.ORACLE, "op11_fill_in_middle": infill.ORACLE}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": lines.ORACLE,
+    "op9_packing": packing.ORACLE,
+    "op10_kdtree": kdtree.ORACLE,
+    "op11_fill_in_middle": infill.ORACLE,
+    "op12_decontamination": decontaminate.ORACLE,
+}
