@@ -15,6 +15,7 @@ from .kdtree import op10_kdtree
 from .lines import op5_line_dedup
 from .packing import op9_packing
 from .partitions import op3_learned_partitions
+from .periodic import op13_periodic_runs
 from .pieces import op1_token_counts, op6_sentencepiece
 from .simhash import op8_simhash
 from .toxicity import op2_toxicity
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_kdtree": op10_kdtree,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_decontamination": op12_decontamination,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {
