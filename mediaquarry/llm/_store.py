@@ -15,7 +15,8 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..sources.storage import fresh
 
@@ -90,6 +91,11 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
+def picked(share: float | Column, *columns: str) -> Column:
+    """Whether a row belongs to a sample of about this share of all rows, by a hash of its columns to 62 bits, so of any number of rows."""
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit("sample")), 2) < (F.lit(share) * float(1 << 62)).cast("long")
+
+
 _SHIPPED: set[str] = set()
 
 

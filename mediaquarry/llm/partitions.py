@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready, result, write_table
+from ._store import picked, ready, result, write_table
 from ._vectors import QUERY_ROWS, Best, arrays, blocks, ranked, usable
 
 #: The most rows that a network is fitted on; below SMALL there is one partition.
@@ -213,7 +213,7 @@ def partitions_for(rows: int) -> int:
 def sampled(vectors: DataFrame, rows: int, sample: int) -> np.ndarray:
     """At most ``sample`` of ``rows`` vectors of one length, picked by a hash of the id."""
     share = min(1.0, 0.95 * sample / max(1, rows))
-    drawn = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample).orderBy("vec_id").select("embedding").toArrow()
+    drawn = vectors.filter(picked(share, "vec_id")).limit(sample).orderBy("vec_id").select("embedding").toArrow()
     return arrays(drawn, len(drawn.column(0)[0])) if drawn.num_rows else np.zeros((0, 1))
 
 
@@ -238,7 +238,7 @@ def _below(vectors: DataFrame, top: Index, sample: int) -> dict[int, Router]:
     """Networks for the partitions of ``top``, each fitted in a task of its own on a sample of its rows."""
     placed = write_table(assigned(vectors, {top.top.mean.shape[0]: top}), "placed")
     sizes = placed.groupBy("part").agg(F.count("*").alias("m"))
-    drawn = placed.join(F.broadcast(sizes), "part").filter(F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1_000_000)) < F.least(F.lit(1.0), 0.95 * sample / F.col("m")) * 1_000_000)
+    drawn = placed.join(F.broadcast(sizes), "part").filter(picked(F.least(F.lit(1.0), 0.95 * sample / F.col("m")), "vec_id"))
 
     def fit(group: pa.Table) -> pa.Table:
         points = arrays(group.sort_by("vec_id").slice(0, sample), top.top.mean.shape[0])

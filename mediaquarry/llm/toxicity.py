@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import ready, sliced
+from ._store import picked, ready, sliced
 
 BITS = 20
 SAMPLE, SAMPLE_CHARS, SAMPLE_FEATURES = 12_000, 40_000, 1 << 26
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     ready(docs.sparkSession)
     usable = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, 0.98 * sample / max(1, usable.count()))
-    chosen = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000)).limit(sample)
+    chosen = usable.filter(picked(share, "doc_id")).limit(sample)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") <= SAMPLE_CHARS)
     rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
