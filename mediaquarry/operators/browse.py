@@ -6,10 +6,13 @@ where their size at run time allows it.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..plans import ranks
 from ..sources.tables import Catalog
 
 PAGE = 30
@@ -44,10 +47,36 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int = PAGE) -> D
 def browse(catalog: Catalog, offset: int = 0, size: int = PAGE) -> DataFrame:
     """Playable posts, newest first.
 
-    The page is cut before captions are formatted; the joins are on unique
-    keys, so they neither add nor, with whole dimensions, drop rows.
+    The page is cut among ids alone; only its posts are read whole and meet the
+    names, which every post has.  For an offset far down see :func:`browse_deep`.
+    """
+    ids = page(catalog.posts.filter(playable()).select("video_id"), [F.desc("video_id")], offset, size)
+    return _records(catalog, catalog.posts.join(ids, "video_id", "left_semi"))
+
+
+def _records(catalog: Catalog, posts: DataFrame) -> DataFrame:
+    rows = named(replace(catalog, posts=posts))
+    return rows.orderBy(F.desc("video_id")).select(*explore_record())
+
+
+def page_tree(posts: DataFrame) -> DataFrame:
+    """The count tree of playable posts, for :func:`browse_deep`; that of newly playable ones is appended to it."""
+    return ranks.count_tree(posts.filter(playable()), "video_id")
+
+
+def browse_deep(catalog: Catalog, tree: DataFrame, offset: int, size: int = PAGE) -> DataFrame:
+    """The same page as :func:`browse` gives, from a stored count tree of the playable posts.
+
+    Whatever the offset, it reads the nodes above two blocks of ids and the
+    posts between the two, so it sorts no more than two blocks and a page.
     """
-    return page(named(catalog), [F.desc("video_id")], offset, size).select(*explore_record())
+    found = ranks.id_page(tree, offset, size)
+    if found is None:
+        return _records(catalog, catalog.posts.filter(F.lit(False)))
+    low, high, skip = found
+    posts = catalog.posts.filter(F.col("video_id").between(low, high))
+    ids = page(posts.filter(playable()).select("video_id"), [F.desc("video_id")], skip, size)
+    return _records(catalog, posts.join(ids, "video_id", "left_semi"))
 
 
 def has_more(rows: int, size: int = PAGE) -> bool:

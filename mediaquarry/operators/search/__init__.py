@@ -2,6 +2,6 @@
 
 from .index import Index, build
 from .parse import InvalidSearchQuery, parse
-from .rank import explore, hits
+from .rank import explore, explore_deep, hits, ranked
 
-__all__ = ["Index", "InvalidSearchQuery", "build", "explore", "hits", "parse"]
+__all__ = ["Index", "InvalidSearchQuery", "build", "explore", "explore_deep", "hits", "parse", "ranked"]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ...functions.text import search_tokens
 from .parse import COLUMNS
 
+#: Postings of a stored file.
+FILE_ROWS = 1 << 21
+
 
 @dataclass(frozen=True)
 class Index:
@@ -21,11 +24,15 @@ class Index:
     totals: DataFrame
     columns: tuple[str, ...] = COLUMNS
 
-    def write(self, path: str) -> None:
-        """Store the index with postings in the order of tokens, so that a search reads few row groups."""
-        self.postings.repartitionByRange("token").sortWithinPartitions("token", "video_id").write.parquet(f"{path}/postings")
+    def write(self, path: str, rows: int = FILE_ROWS) -> None:
+        """Store the index with postings in the order of tokens and docs, about ``rows`` of them to a file.
+
+        A search reads few row groups; a token of very many docs is many files.
+        """
         self.lengths.write.parquet(f"{path}/lengths")
         _totals(self.lengths.sparkSession.read.parquet(f"{path}/lengths")).coalesce(1).write.parquet(f"{path}/totals")
+        total = self.lengths.sparkSession.read.parquet(f"{path}/totals").first()["n_tokens"]
+        self.postings.repartitionByRange(max(1, -(-total // rows)), "token", "video_id").sortWithinPartitions("token", "video_id").write.parquet(f"{path}/postings")
 
     @staticmethod
     def read(spark, path: str, columns: tuple[str, ...] = COLUMNS) -> Index:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...plans import ranks
 from ...sources.tables import Catalog
 from .. import browse
 from .index import Index, statistics
@@ -56,7 +57,7 @@ def hits(index: Index, query: str) -> DataFrame:
     number = {p: i for i, p in enumerate(dict.fromkeys([*scored, *tree.refused()]))}
     usable = [(p, i) for p, i in number.items() if p.tokens and p.columns]
     if not usable:
-        return index.lengths.select("video_id", F.lit(0.0).alias("rank")).limit(0)
+        return index.lengths.select("video_id", F.lit(0.0).alias("rank")).limit(0)  # nothing to look for
     found = reduce(DataFrame.union, (_instances(index, p).select(F.lit(i).alias("phrase"), "video_id", "tf") for p, i in usable))
     by_doc = found.groupBy("video_id").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for _, i in usable))
     frequency = by_doc.agg(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for _, i in usable))
@@ -75,18 +76,38 @@ def hits(index: Index, query: str) -> DataFrame:
     return rows.select("video_id", (-reduce(lambda a, b: a + b, terms)).alias("rank"))
 
 
-def explore(catalog: Catalog, index: Index, query: str = "", offset: int = 0, size: int = browse.PAGE) -> DataFrame:
-    """A page of playable posts: by rank for a query, newest first for a blank one.
+def ranked(catalog: Catalog, index: Index, query: str) -> DataFrame:
+    """(video_id, rank): the playable posts that answer ``query``, in no order."""
+    playable = catalog.posts.filter(browse.playable())
+    return hits(index, query).join(playable.select("video_id"), "video_id", "left_semi")
+
+
+def explore(catalog: Catalog, index: Index | None, query: str = "", offset: int = 0, size: int = browse.PAGE) -> DataFrame:
+    """A page of playable posts: by rank for a query, newest first for a blank one, which needs no index.
 
     Creator and category of a search come from the index's copy of the doc,
     those of a blank query from the catalog.  Ties go to the smaller id.  The
-    page is cut among ids and ranks; only its rows meet posts and docs.
+    page is cut among ids and ranks; only its rows meet posts and docs.  For an
+    offset far down see :func:`explore_deep`.
     """
     if not query.strip():
         return browse.browse(catalog, offset, size)
-    playable = catalog.posts.filter(browse.playable())
-    found = hits(index, query).join(playable.select("video_id"), "video_id", "left_semi")
-    order = [F.asc("rank"), F.asc("video_id")]
-    top = browse.page(found, order, offset, size)
-    rows = top.join(playable.select("video_id", "likes", "local_video_path"), "video_id").join(catalog.docs, "video_id")
-    return rows.orderBy(*order).select(*browse.explore_record(), "rank")
+    return _records(catalog, browse.page(ranked(catalog, index, query), _order(), offset, size))
+
+
+def explore_deep(catalog: Catalog, found: DataFrame, offset: int, size: int = browse.PAGE, few: int = ranks.FEW) -> DataFrame:
+    """The same page as :func:`explore` gives, of hits that :func:`ranked` found and that are stored.
+
+    Histograms of their ranks, then of ids among equal ranks, lead to the page,
+    so what comes before it is counted but never sorted.
+    """
+    return _records(catalog, ranks.page_at(found, [("rank", True), ("video_id", True)], offset, size, few))
+
+
+def _order() -> list[Column]:
+    return [F.asc("rank"), F.asc("video_id")]
+
+
+def _records(catalog: Catalog, top: DataFrame) -> DataFrame:
+    rows = top.join(catalog.posts.filter(browse.playable()).select("video_id", "likes", "local_video_path"), "video_id").join(catalog.docs, "video_id")
+    return rows.orderBy(*_order()).select(*browse.explore_record(), "rank")

@@ -48,7 +48,7 @@ depths AS (SELECT seq, key, op, total - least(0, least) AS depth FROM floors)"""
 )
 
 
-def _browse(offset: int) -> str:
+def _browse(offset: int | str) -> str:
     return f"WITH {_NAMED} SELECT video_id AS id, creator, category, format('{{:,}}', likes) AS likes, caption, filename FROM named ORDER BY video_id DESC LIMIT 30 OFFSET {offset}"
 
 
@@ -68,8 +68,8 @@ lengths AS (SELECT video_id, sum(len(t)) AS n FROM lists GROUP BY video_id),
 stats AS (SELECT count(*) AS n_docs, sum(n) AS n_tokens FROM lengths)"""
 
 
-def _search(phrases: list[str], holds: str, scored: list[int], offset: int = 0) -> str:
-    """``phrases``: SELECTs of a row (video_id) for each instance; ``holds``: a condition on tf0, tf1...; ``scored``: their numbers."""
+def _search(phrases: list[str], holds: str, scored: list[int], offset: int | str = 0) -> str:
+    """``offset`` may ask named and rows; ``phrases``: SELECTs of a row (video_id) for each instance; ``holds``: a condition on tf0, tf1...; ``scored``: their numbers."""
     names = range(len(phrases))
     ctes = ", ".join(f"p{i} AS (SELECT video_id, count(*) AS tf FROM ({sql}) GROUP BY video_id)" for i, sql in enumerate(phrases))
     tfs = ", ".join(f"coalesce(p{i}.tf, 0) AS tf{i}" for i in names)
@@ -117,6 +117,7 @@ _ODD = rf"""odd AS (
 ORACLES: dict[str, str] = {
     "browse_page": _browse(0),
     "browse_page_offset": _browse(30),
+    "browse_page_deep": _browse("(SELECT count(*) * 9 // 10 FROM named)"),
     "playlist_all": _playlist(""),
     "playlist_category": _playlist("WHERE category = 'de'"),
     "category_list": "SELECT 0 AS position, 'All Categories' AS name UNION ALL SELECT DISTINCT 1, lang FROM documents",
@@ -183,6 +184,7 @@ SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGI
     "search_prefix": _search([_token("th", True)], "tf0 > 0", [0]),
     "search_multi": _search([_token("und"), _token("de", True)], "tf0 > 0 AND tf1 > 0", [0, 1]),
     "search_page2": _search([_token("th", True)], "tf0 > 0", [0], 30),
+    "search_page_deep": _search([_token("th", True)], "tf0 > 0", [0], "(SELECT count(*) * 9 // 10 FROM rows JOIN named USING (video_id) WHERE tf0 > 0)"),
     "search_phrase": _search([_PAIR, _token("th", True)], "tf0 > 0 AND tf1 > 0", [0, 1]),
     "search_column": _search([_token("de", True, " AND col = 'category'")], "tf0 > 0", [0]),
     "search_or": _search([_token("worthless"), _token("mente", True)], "tf0 > 0 OR tf1 > 0", [0, 1]),

@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import browse, captions, joblog, schedule, search, state, sync
 from ..sources import storage, tables
 from ..streaming import jobs as streams
+from . import ranks
 
 Query = Callable[[SparkSession, str], DataFrame]
 SEARCHES = {
@@ -77,6 +78,21 @@ def browse_page(spark: SparkSession, d: str, offset: int = 0) -> DataFrame:
     return browse.browse(_catalog(spark, d), offset)
 
 
+def browse_page_deep(spark: SparkSession, d: str, tenths: int = 9) -> DataFrame:
+    """The page at nine tenths of all playable posts, from the stored count tree."""
+    catalog = _catalog(spark, d)
+    tree = spark.read.parquet(_stored(spark, d, "pages", lambda path: browse.page_tree(catalog.posts).write.parquet(path)))
+    return browse.browse_deep(catalog, tree, ranks.tree_size(tree) * tenths // 10)
+
+
+def search_page_deep(spark: SparkSession, d: str, query: str = "th", tenths: int = 9, few: int = 64) -> DataFrame:
+    """The page at nine tenths of all hits, which are stored once."""
+    catalog = _catalog(spark, d)
+    path = _stored(spark, d, f"hits-{tenths}", lambda path: search.ranked(catalog, _index(spark, d, catalog), query).write.parquet(path))
+    found = spark.read.parquet(path)
+    return search.explore_deep(catalog, found, found.count() * tenths // 10, few=few).withColumn("rank", F.round("rank", 6))
+
+
 def _index(spark: SparkSession, d: str, catalog: tables.Catalog) -> search.Index:
     """The stored index of a folder's docs."""
     return search.Index.read(spark, _stored(spark, d, "index", lambda path: search.build(catalog.docs).write(path)))
@@ -84,13 +100,12 @@ def _index(spark: SparkSession, d: str, catalog: tables.Catalog) -> search.Index
 
 def explore(spark: SparkSession, d: str, query: str, offset: int) -> DataFrame:
     catalog = _catalog(spark, d)
-    found = search.explore(catalog, _index(spark, d, catalog), query, offset)
-    return found.withColumn("rank", F.round("rank", 6)) if query.strip() else found
+    return search.explore(catalog, _index(spark, d, catalog), query, offset).withColumn("rank", F.round("rank", 6))
 
 
 def search_blank(spark: SparkSession, d: str) -> DataFrame:
-    """A query of white space only: a page of all posts."""
-    return explore(spark, d, BLANK, 0)
+    """A query of white space only: a page of all posts, for which no index is read."""
+    return search.explore(_catalog(spark, d), None, BLANK)
 
 
 def playlist(spark: SparkSession, d: str, category: str | None = None) -> DataFrame:
@@ -207,7 +222,7 @@ def queue_left(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.index.statistics(search.build(_catalog(spark, d).docs))
+    return search.index.statistics(_index(spark, d, _catalog(spark, d)))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -333,6 +348,7 @@ def scalar_functions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "browse_page": browse_page,
     "browse_page_offset": partial(browse_page, offset=30),
+    "browse_page_deep": browse_page_deep,
     "playlist_all": playlist,
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
@@ -341,5 +357,6 @@ QUERIES: dict[str, Query] = {
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, byte_range, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,
+    "search_page_deep": search_page_deep,
     **{name: partial(explore, query=q, offset=o) for name, (q, o) in SEARCHES.items()},
 }
