@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators.joblog import MODELS
-from .queries import CAPTIONS, RANGES, SEARCHES
+from .queries import BATCHES, CAPTIONS, RANGES, SEARCHES
 
 _CATEGORIES = """
 categories AS (SELECT row_number() OVER (ORDER BY max(doc_id) DESC) AS id, lang AS name FROM documents GROUP BY lang),
@@ -144,6 +144,20 @@ SELECT p.video_id, CASE WHEN l.ok IS NULL THEN p.status WHEN l.ok THEN 'Harveste
        CASE WHEN l.ever THEN '/lake/videos/video_' || p.video_id || '.mp4' ELSE p.local_video_path END AS local_video_path
 FROM posts p LEFT JOIN last l ON l.video_id = p.video_id""",
     "sync_catalog": f"WITH {_POSTS} SELECT video_id, category_id, creator_id, likes, 'Metadata_Only' AS status, true AS waits FROM posts",
+    "sync_increment": f"""WITH numbered AS (
+  SELECT *, doc_id + 1 AS id, (SELECT max(doc_id) + 1 FROM documents) AS top FROM documents
+), batches AS (
+  SELECT *, CASE WHEN id <= top * {BATCHES[0]} // 100 THEN 0 WHEN id <= top * {BATCHES[1]} // 100 THEN 1 ELSE 2 END AS batch FROM numbered
+), categories AS (
+  SELECT name, row_number() OVER (ORDER BY min(batch), arg_min(seen, batch) DESC) AS id FROM (SELECT lang AS name, batch, max(id) AS seen FROM batches GROUP BY ALL) GROUP BY name
+), creators AS (
+  SELECT name, row_number() OVER (ORDER BY min(batch), arg_min(seen, batch) DESC) AS id FROM (SELECT source AS name, batch, max(id) AS seen FROM batches GROUP BY ALL) GROUP BY name
+)
+SELECT b.id AS video_id, c.id AS category_id, r.id AS creator_id, n_chars AS likes, CASE WHEN l.doc_id IS NULL THEN 'Metadata_Only' WHEN toxic = 0 THEN 'Harvested' ELSE 'Error' END AS status,
+       CASE WHEN l.doc_id IS NOT NULL THEN '/lake/videos/video_' || b.id || '.mp4' END AS local_video_path
+FROM batches b JOIN categories c ON c.name = lang JOIN creators r ON r.name = source LEFT JOIN labels l ON l.doc_id = b.doc_id""",
+    "browse_segments": _browse("(SELECT count(*) * 5 // 10 FROM named)"),
+    "search_segments": _search([_token("th", True)], "tf0 > 0", [0]),
     "pending_order": f"WITH {_POSTS}, {_QUEUE} SELECT video_id, row_number() OVER (ORDER BY rank NULLS LAST, video_id DESC) AS place FROM posts JOIN categories c ON c.id = category_id LEFT JOIN queue ON queue.category = c.name WHERE status = 'Metadata_Only'",
     "next_target": f"WITH {_POSTS}, {_QUEUE} SELECT video_id, CASE WHEN rank IS NULL THEN 'Global' ELSE c.name END AS target FROM posts JOIN categories c ON c.id = category_id LEFT JOIN queue ON queue.category = c.name WHERE status = 'Metadata_Only' ORDER BY rank NULLS LAST, video_id DESC LIMIT 1",
     "queue_left": f"WITH {_POSTS}, {_QUEUE} SELECT category, rank FROM queue WHERE category IN (SELECT c.name FROM posts JOIN categories c ON c.id = category_id WHERE status = 'Metadata_Only')",

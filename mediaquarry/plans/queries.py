@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import blobs
 from ..functions import text as X
 from ..operators import browse, captions, joblog, schedule, search, state, sync
+from ..operators.increments import CatalogStore
 from ..sources import storage, tables
 from ..streaming import jobs as streams
 from . import ranks
@@ -206,6 +207,48 @@ def sync_catalog(spark: SparkSession, d: str) -> DataFrame:
     return _synced(spark, d).posts.select("video_id", "category_id", "creator_id", "likes", "status", F.col("local_video_path").isNull().alias("waits"))
 
 
+#: Hundredths of the ids that the batches of the stored increments end at.
+BATCHES = (97, 99, 100)
+
+
+def _increments(spark: SparkSession, d: str) -> CatalogStore:
+    """The messages in three batches, the second of them twice, and the outcomes of labelled posts; segments are merged."""
+
+    def write(path: str) -> None:
+        store, messages = CatalogStore(spark, path, fan=3), tables.sample_messages(spark, d)
+        top, low = sync.latest_id(messages), 0
+        for number, share in enumerate(BATCHES):
+            batch = messages.filter(F.col("id").between(low + 1, top * share // 100))
+            low = top * share // 100
+            store.sync(number, batch)
+            if number == 1:
+                store.sync(number, batch)
+        post = F.col("doc_id") + 1
+        done = tables.table(spark, d, "labels").select(post.alias("video_id"), "toxic", F.concat(F.lit("/lake/videos/"), X.video_file(post)).alias("path"))
+        store.record(0, done.select("video_id", F.lit(0).alias("seq"), F.lit(True).alias("ok"), "path").union(done.filter("toxic = 1").select("video_id", F.lit(1), F.lit(False), F.lit(None))))
+        store.merge()
+
+    return CatalogStore(spark, _stored(spark, d, "segments", write))
+
+
+def sync_increment(spark: SparkSession, d: str) -> DataFrame:
+    """The posts of a catalog that grew by batches."""
+    return _increments(spark, d).catalog().posts.select("video_id", "category_id", "creator_id", "likes", "status", "local_video_path")
+
+
+def search_segments(spark: SparkSession, d: str, query: str = "th") -> DataFrame:
+    """A search over an index that grew by batches."""
+    store = _increments(spark, d)
+    return search.explore(store.catalog(), store.index(), query).withColumn("rank", F.round("rank", 6))
+
+
+def browse_segments(spark: SparkSession, d: str, tenths: int = 5) -> DataFrame:
+    """The page in the middle of a catalog that grew by batches, from its count tree."""
+    store = _increments(spark, d)
+    tree = store.pages()
+    return browse.browse_deep(store.catalog(), tree, ranks.tree_size(tree) * tenths // 10)
+
+
 def pending_order(spark: SparkSession, d: str) -> DataFrame:
     c = _catalog(spark, d)
     return schedule.download_order(c.posts, c.categories, schedule.queue(requests(spark)))
@@ -353,7 +396,7 @@ QUERIES: dict[str, Query] = {
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
         category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, dim_surrogate_keys, upsert_first_wins, status_machine,
-        sync_catalog, sync_docs, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, fifo_match,
+        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, fifo_match,
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, byte_range, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,

@@ -47,3 +47,45 @@ def for_session(spark: SparkSession, name: str) -> str:
     path = fresh(spark, name)
     atexit.register(remove, spark, path)
     return path
+
+
+def _where(spark: SparkSession, path: str):
+    """A path and its file system, as the JVM has them."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none where it is missing."""
+    where, files = _where(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
+
+
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of all files below a folder; 0 where it is missing."""
+    where, files = _where(spark, path)
+    return files.getContentSummary(where).getLength() if files.exists(where) else 0
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    where, files = _where(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name and give it its own by a rename; raises where a file has it already."""
+    where, files = _where(spark, path)
+    hidden, _ = _where(spark, f"{path}.{uuid.uuid4().hex}.new")
+    stream = files.create(hidden, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if files.exists(where) or not files.rename(hidden, where):
+        files.delete(hidden, False)
+        raise FileExistsError(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import joblog
+from ..operators.increments import CatalogStore
 from ..operators.sync import synced
 from ..sources.tables import Catalog
 
@@ -54,3 +55,17 @@ def sync_stream(messages: DataFrame, load: Callable[[], Catalog], store: Callabl
         store(catalog, held, number)
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_increments(messages: DataFrame, store: CatalogStore, checkpoint: str) -> StreamingQuery:
+    """Add each micro-batch of messages to a stored catalog as a segment, and merge segments when they become many.
+
+    A micro-batch that comes again after a failure changes nothing, and a batch
+    writes no more than it adds, but for merges.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        store.sync(number, rows)
+        store.merge()
+
+    return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
