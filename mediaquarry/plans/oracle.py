@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators.joblog import MODELS
-from .queries import BATCHES, CAPTIONS, RANGES, SEARCHES
+from .queries import BATCHES, BLOB_PIECE, CAPTIONS, RANGES, SEARCHES
 
 _CATEGORIES = """
 categories AS (SELECT row_number() OVER (ORDER BY max(doc_id) DESC) AS id, lang AS name FROM documents GROUP BY lang),
@@ -190,6 +190,9 @@ s AS (SELECT *, greatest(0, least(last + 1, size) - first) AS sent FROM r)
 SELECT doc_id, 'bytes ' || first || '-' || last || '/' || size AS content_range, CAST(last - first + 1 AS BIGINT) AS length,
        md5(CASE WHEN sent = 0 THEN ''::BLOB ELSE b[first + 1 : first + sent] END) AS body_md5, CAST(greatest(0, (last - first + 1 + 999) // 1000) AS BIGINT) AS pieces,
        CAST((sent + 999) // 1000 AS BIGINT) AS pieces_sent FROM s""",
+    "blob_pieces": f"SELECT doc_id, CAST((octet_length(encode(text)) + {BLOB_PIECE - 1}) // {BLOB_PIECE} AS BIGINT) AS pieces, md5(text) AS body_md5 FROM documents",
+    "log_commands": f"""WITH {_LOG} SELECT op, key, CASE WHEN op = 'RPUSH' THEN seq || CASE WHEN user_id % 5 = 0 THEN chr(13) || chr(10) || '*1' || chr(13) || chr(10) || '$4' || chr(13) || chr(10) || 'PING' || chr(13) || chr(10) ELSE ' ' END || value END AS value
+FROM log WHERE op <> 'SADD'""",
     "ui_row_format": f"WITH {_NAMED} SELECT video_id AS id, '@' || creator AS creator, category, format('{{:,}}', likes) AS likes, substring(caption, 1, 60) || '...' AS caption FROM named",
     "time_format": """WITH s AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN abs(value) * 10 END AS s, abs(value) AS v FROM events)
 SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGINT) || ':' || lpad(CAST(CAST(floor(s % 60) AS BIGINT) AS VARCHAR), 2, '0') END AS shown, printf('%.2f', floor(v / 256.0 * 100 * 100 + 0.5) / 100) AS percent FROM s""",

@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import blobs
 from ..functions import text as X
 from ..operators import browse, captions, joblog, schedule, search, state, sync
 from ..operators.increments import CatalogStore
-from ..sources import storage, tables
+from ..sources import appendlog, ranged, storage, tables
 from ..streaming import jobs as streams
 from . import ranks
 
@@ -358,6 +358,44 @@ def byte_range(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+#: Documents of a stored blob, as a power of two, and bytes of a piece that a query asks for.
+BLOB_BITS, BLOB_PIECE = 12, 4_096
+
+
+def blob_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as ranges of blobs, files that hold some thousands of them one after another, read by position and put together."""
+    length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    docs = tables.table(spark, d, "documents").select("doc_id", F.shiftright("doc_id", BLOB_BITS).alias("block"), "text", length.alias("n"))
+
+    def write(path: str) -> None:
+        docs.repartition("block").sortWithinPartitions("block", "doc_id").select("block", "text").write.partitionBy("block").text(path)
+
+    files = spark.read.format("binaryFile").load(_stored(spark, d, "blobs", write)).select("path", "block")
+    before = Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))  # a line end follows each text
+    asked = docs.select("doc_id", "block", "n", first.alias("first")).filter("n > 0").join(files, "block")
+    asked = asked.select("doc_id", "path", F.concat(F.lit("bytes="), "first", F.lit("-"), F.col("first") + F.col("n") - 1).alias("header"))
+    pieces = ranged.ranges(asked, BLOB_PIECE).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("piece", "content"))).alias("p"))  # of one document
+    body = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["content"]))
+    found = docs.select("doc_id").join(pieces, "doc_id", "left")
+    return found.select("doc_id", F.coalesce(F.size("p"), F.lit(0)).cast("long").alias("pieces"), F.md5(F.coalesce(body, F.lit(b""))).alias("body_md5"))
+
+
+#: Bytes of a split of the stored log.
+LOG_SPLIT = 1 << 18
+
+
+def log_commands(spark: SparkSession, d: str) -> DataFrame:
+    """The commands of a stored log, some of whose values hold line ends and what looks like commands."""
+    e = _log(spark, d).filter(F.col("op") != joblog.ADD)
+    value = F.concat(F.col("seq").cast("string"), F.when(F.col("user_id") % 5 == 0, "\r\n*1\r\n$4\r\nPING\r\n").otherwise(" "), F.col("value"))
+    part = lambda x: F.concat(F.lit("$"), F.octet_length(x).cast("string"), F.lit("\r\n"), x, F.lit("\r\n"))
+    parts = F.concat(F.when(F.col("op") == joblog.PUSH, "*3\r\n").otherwise("*2\r\n"), part(F.col("op")), part(F.col("key")), F.when(F.col("op") == joblog.PUSH, part(value)).otherwise(""))
+    line = F.substring(parts, F.lit(1), F.length(parts) - 1)  # the sink puts the last line end
+    path = _stored(spark, d, "log", lambda path: e.repartitionByRange("seq").sortWithinPartitions("seq").select(line.alias("value")).write.text(path))
+    return appendlog.commands(spark, f"{path}/part-*", LOG_SPLIT).select("op", "key", "value")
+
+
 def log_shapes(spark: SparkSession, d: str) -> DataFrame:
     """Log lines behind their time, and the address that some of them hold."""
     e = tables.table(spark, d, "events")
@@ -397,7 +435,7 @@ QUERIES: dict[str, Query] = {
     **{f.__name__: f for f in (
         category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, dim_surrogate_keys, upsert_first_wins, status_machine,
         sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, fifo_match,
-        set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, byte_range, ui_row_format, time_format, scalar_functions,
+        set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, log_commands, byte_range, blob_pieces, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,
     "search_page_deep": search_page_deep,
