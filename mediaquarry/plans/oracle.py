@@ -212,4 +212,6 @@ SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGI
     "search_initial": _search([_token("the", False, " AND pos = 1"), _token("un", True, " AND pos = 1")], "tf0 > 0 OR tf1 > 0", [0, 1]),
 }
 
+ORACLES |= {name: ORACLES[other] for name, other in (("queue_depth_stream", "queue_depth_replay"), ("fifo_match_stream", "fifo_match"))}
+
 assert not SEARCHES.keys() - ORACLES.keys()

@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..operators import browse, captions, joblog, schedule, search, state, sync
 from ..operators.increments import CatalogStore
 from ..sources import appendlog, ranged, storage, tables
+from ..streaming import fifo
 from ..streaming import jobs as streams
 from . import ranks
 
@@ -288,6 +289,37 @@ def fifo_match(spark: SparkSession, d: str) -> DataFrame:
     return joblog.matched(_log(spark, d)).select("key", "n", "pushed_at", "popped_at")
 
 
+#: The log is followed in so many parts, with a new start of the stream for each.
+PARTS = 3
+
+
+def _followed(spark: SparkSession, d: str) -> DataFrame:
+    """The queues of the log as a stream kept them, which was stopped and started again between parts of the log."""
+
+    def write(path: str) -> None:
+        log = _log(spark, d).select("seq", "op", "key")
+        low, high = log.agg(F.min("seq"), F.max("seq")).first()
+        for k in range(PARTS if low is not None else 0):
+            first, end = (low + (high + 1 - low) * i // PARTS for i in (k, k + 1))
+            log.filter((F.col("seq") >= first) & (F.col("seq") < end)).write.mode("append").parquet(f"{path}/log")
+            source = spark.readStream.schema(log.schema).parquet(f"{path}/log")
+            fifo.replay(source, f"{path}/out", f"{path}/checkpoint").awaitTermination()
+
+    return spark.read.schema(fifo.RESULTS).parquet(f"{_stored(spark, d, 'followed', write)}/out")
+
+
+def fifo_match_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Each push with the pop that took it, from the stream."""
+    rows = _followed(spark, d)
+    pops = rows.filter((F.col("op") == joblog.POP) & ~F.col("vain")).select("key", "n", F.col("seq").alias("popped_at"))
+    return rows.filter(F.col("op") == joblog.PUSH).select("key", "n", F.col("seq").alias("pushed_at")).join(pops, ["key", "n"], "left")
+
+
+def queue_depth_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The length of each queue after each command, from the stream."""
+    return _followed(spark, d).select("seq", "key", "op", "depth")
+
+
 def set_replay(spark: SparkSession, d: str) -> DataFrame:
     return joblog.members(_log(spark, d).withColumn("value", F.col("user_id").cast("string")))
 
@@ -434,7 +466,7 @@ QUERIES: dict[str, Query] = {
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
         category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, dim_surrogate_keys, upsert_first_wins, status_machine,
-        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, fifo_match,
+        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, log_commands, byte_range, blob_pieces, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
 from .ranged import opened
 
 #: Commands of a batch that a task hands on, and bytes of their values.
@@ -132,6 +133,7 @@ def splits(spark: SparkSession, path: str, size: int = SPLIT) -> list[tuple[str,
 
     A few numbers for each ``size`` bytes are on the driver.
     """
+    storage.ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
     cut = files.select("path", "length", F.posexplode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("split", "_k"))
     asked = cut.select("path", "split", (F.col("_k") * size).alias("first"), F.least(F.col("length"), (F.col("_k") + 1) * size).alias("last"), F.when(F.col("_k") == 0, F.lit(0).cast("long")).alias("start"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import blobs
+from . import storage
 
 
 def opened(path: str):
@@ -54,6 +55,7 @@ def ranges(requests: DataFrame, piece: int = blobs.PIECE) -> DataFrame:
     and a range that begins behind the end of its file, has no row; headers are
     read as :func:`blobs.range_bounds` does, and a null one asks for all.
     """
+    storage.ship(requests.sparkSession)
     names = [c for c in requests.columns if c not in ("size", "content_range", "piece", "offset", "bytes", "content")]
     asked = requests.select(*names)
     sized = asked.mapInArrow(_with_sizes, T.StructType([*asked.schema, T.StructField("size", T.LongType())])).filter("size IS NOT NULL")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -49,6 +50,25 @@ def for_session(spark: SparkSession, name: str) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once; no setting of the session changes."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="mediaquarry-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "mediaquarry_all.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
 def _where(spark: SparkSession, path: str):
     """A path and its file system, as the JVM has them."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
