@@ -8,17 +8,13 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import fresh
+from ..sources.storage import fresh, remove, ship
 
 _REMOVE: list[tuple[SparkSession, str]] = []
 
@@ -52,22 +48,13 @@ def scratch() -> Iterator[None]:
         mine = _REMOVE[before:]
         del _REMOVE[before:]
         for spark, path in mine:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder; one that can't be removed is left behind."""
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # the session may have ended before the interpreter
-        return
+            remove(spark, path)
 
 
 @atexit.register
 def _clean() -> None:
     for spark, path in _REMOVE:
-        _delete(spark, path)
+        remove(spark, path)
 
 
 def result(make, name: str) -> DataFrame:
@@ -96,20 +83,6 @@ def picked(share: float | Column, *columns: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*columns, F.lit("sample")), 2) < (F.lit(share) * float(1 << 62)).cast("long")
 
 
-_SHIPPED: set[str] = set()
-
-
 def ready(spark: SparkSession) -> None:
-    """Send this package to the executors, once; no setting of the session changes."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="mediaquarry-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    target = Path(folder) / "mediaquarry_llm.zip"
-    with zipfile.ZipFile(target, "w") as out:
-        for file in [package / "__init__.py", package / "sources/__init__.py", package / "sources/storage.py", *sorted((package / "llm").glob("*.py"))]:
-            out.write(file, file.relative_to(package.parent))
-    context.addPyFile(str(target))
-    _SHIPPED.add(context.applicationId)
+    """Send this package to the executors, once."""
+    ship(spark)
