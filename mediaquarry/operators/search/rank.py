@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ...plans import ranks
@@ -21,8 +21,8 @@ from .parse import Node, Phrase, parse
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
-def _instances(index: Index, phrase: Phrase) -> DataFrame:
-    """(video_id, tf): docs that hold the phrase, and how often."""
+def _places(index: Index, phrase: Phrase) -> DataFrame:
+    """(video_id, col, pos): where the phrase begins."""
     rows = index.postings.filter(F.col("col").isin(*phrase.columns))
     last = len(phrase.tokens) - 1
 
@@ -33,9 +33,32 @@ def _instances(index: Index, phrase: Phrase) -> DataFrame:
             found = found.filter("pos = 0")
         return found.select("video_id", "col", (F.col("pos") - i).alias("pos"))
 
-    parts = [token(i) for i in range(last + 1)]
-    joined = reduce(lambda a, b: a.join(b, ["video_id", "col", "pos"]), parts)
-    return joined.groupBy("video_id").agg(F.count("*").alias("tf"))
+    return reduce(lambda a, b: a.join(b, ["video_id", "col", "pos"]), [token(i) for i in range(last + 1)])
+
+
+def _close(index: Index, phrase: Phrase) -> DataFrame:
+    """(video_id, col, pos): places of the phrase in a clump of its NEAR group.
+
+    A clump ends with the begin of its last phrase; every phrase of the group
+    begins at or before there, no farther than its own length and the distance.
+    Both tests look at the nearest place on one side, in one pass over the
+    places of the group in order.
+    """
+    group, distance = phrase.near
+    rows = reduce(DataFrame.union, (_places(index, p).select("video_id", "col", "pos", F.lit(i).alias("member")) for i, p in enumerate(group)))
+    order = Window.partitionBy("video_id", "col").orderBy("pos")
+    upto, onward = order.rangeBetween(Window.unboundedPreceding, 0), order.rangeBetween(0, Window.unboundedFollowing)
+    reach = [len(p.tokens) + distance for p in group]
+    nearest = [F.max(F.when(F.col("member") == i, F.col("pos"))).over(upto) for i in range(len(group))]
+    ends = reduce(lambda a, b: a & b, (F.coalesce(F.col("pos") - n <= r, F.lit(False)) for n, r in zip(nearest, reach, strict=True)))
+    rows = rows.withColumn("end", F.when(ends, F.col("pos")))
+    mine = group.index(phrase.alone())
+    return rows.withColumn("end", F.min("end").over(onward)).filter((F.col("member") == mine) & (F.col("end") - F.col("pos") <= reach[mine])).select("video_id", "col", "pos").distinct()
+
+
+def _instances(index: Index, phrase: Phrase) -> DataFrame:
+    """(video_id, tf): docs that hold the phrase, and how often."""
+    return (_close if phrase.near else _places)(index, phrase).groupBy("video_id").agg(F.count("*").alias("tf"))
 
 
 def _holds(node: Node, number: dict[Phrase, int]) -> Column:
@@ -54,7 +77,8 @@ def hits(index: Index, query: str) -> DataFrame:
     """
     tree = parse(query, index.columns)
     scored = tree.phrases()
-    number = {p: i for i, p in enumerate(dict.fromkeys([*scored, *tree.refused()]))}
+    # docs that hold a phrase of a NEAR group count wherever it stands
+    number = {p: i for i, p in enumerate(dict.fromkeys([*scored, *tree.refused(), *(p.alone() for p in scored)]))}
     usable = [(p, i) for p, i in number.items() if p.tokens and p.columns]
     if not usable:
         return index.lengths.select("video_id", F.lit(0.0).alias("rank")).limit(0)  # nothing to look for
@@ -67,12 +91,12 @@ def hits(index: Index, query: str) -> DataFrame:
     rows = rows.toDF("video_id", *(f"tf{i}" for _, i in usable), "length", "n_docs", "n_tokens_all", *(f"df{i}" for _, i in usable))
     norm = K1 * (1 - B + B * F.col("length") / share)
 
-    def term(i: int) -> Column:
-        n, df, tf = F.col("n_docs"), F.col(f"df{i}"), F.col(f"tf{i}")
+    def term(p: Phrase) -> Column:
+        n, df, tf = F.col("n_docs"), F.col(f"df{number[p.alone()]}"), F.col(f"tf{number[p]}")
         idf = F.log((n - df + 0.5) / (df + 0.5))
         return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * (tf * (K1 + 1)) / (tf + norm)
 
-    terms = [term(number[p]) for p in scored if p.tokens and p.columns]
+    terms = [term(p) for p in scored if p.tokens and p.columns]
     return rows.select("video_id", (-reduce(lambda a, b: a + b, terms)).alias("rank"))
 
 

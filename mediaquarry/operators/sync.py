@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.numbering import numbered
+from ..plans.numbering import numbered, preceding, running
 from ..sources.tables import ERROR, HARVESTED, METADATA_ONLY, Catalog
 from . import captions
 
@@ -23,6 +23,28 @@ def missing_ids(present: DataFrame, latest: int) -> DataFrame:
     return spark.range(1, latest + 1).join(present.select(F.col("video_id").alias("id")), "id", "left_anti")
 
 
+def missing_ranges(present: DataFrame, latest: int) -> DataFrame:
+    """(first, last): what is absent of 1 to ``latest``, as the stretches between ids that are present.
+
+    Its cost is that of the ids present, however far apart they are.
+    """
+    spark = present.sparkSession
+    ids = present.select(F.col("video_id").alias("id")).filter(F.col("id").between(1, latest)).distinct()
+    end = spark.range(1).select(F.lit(latest + 1).cast("long").alias("id"))
+    gaps = preceding(ids.union(end), "id", "before").select((F.coalesce("before", F.lit(0)) + 1).alias("first"), (F.col("id") - 1).alias("last"))
+    return gaps.filter("first <= last")
+
+
+def range_chunks(ranges: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(first, last, chunk_of_last, chunk_of_first): the chunks that the ids of each range fall in, as :func:`chunked` numbers them.
+
+    Largest ids come first, so a range's last id has the smallest chunk.
+    """
+    rows = ranges.select("first", "last", (-F.col("last")).alias("_order"), (F.col("last") - F.col("first") + 1).alias("_n"), F.lit(0).alias("_all"))
+    rows = running(rows, "_all", "_order", "_n")
+    return rows.select("first", "last", F.expr(f"(total - _n) div {size}").alias("chunk_of_last"), F.expr(f"(total - 1) div {size}").alias("chunk_of_first"))
+
+
 def chunked(ids: DataFrame, size: int = CHUNK) -> DataFrame:
     """(id, chunk): largest ids first, ``size`` to a chunk, from 0."""
     return numbered(ids, [], "id", True, "n").select("id", F.floor((F.col("n") - 1) / size).cast("long").alias("chunk"))

@@ -71,3 +71,16 @@ def running(df: DataFrame, by: str, order: str, step: str, bits: int = BITS, upp
     total = F.col("_sb") + F.col("_b") + F.col("_step")
     rows = local.join(starts, [by, "_block"])
     return rows.select(*df.columns, total.alias("total"), (F.col("_sc") + F.col("_c")).alias("number"), F.least("_sl", F.col("_sb") + F.col("_l")).alias("earlier"))
+
+
+def preceding(df: DataFrame, order: str, name: str, bits: int = BITS, upper: int = UPPER) -> DataFrame:
+    """``df`` with the next smaller value of ``order`` (distinct integers), null for the least."""
+    value = F.col(order).cast("long")
+    blocked = df.withColumn("_block", F.shiftright(value, bits))
+    blocks = blocked.groupBy("_block").agg(F.max(value).alias("_most")).withColumn("_group", F.shiftright("_block", upper))
+    groups = blocks.groupBy("_group").agg(F.max("_most").alias("_most"))
+    groups = groups.select("_group", F.lag("_most").over(Window.orderBy("_group")).alias("_far"))  # a row for each 2**(bits + upper) integers
+    blocks = blocks.withColumn("_near", F.lag("_most").over(Window.partitionBy("_group").orderBy("_block")))
+    starts = blocks.join(groups, "_group").select("_block", F.coalesce("_near", "_far").alias("_before"))
+    local = blocked.withColumn("_local", F.lag(value).over(Window.partitionBy("_block").orderBy(order)))
+    return local.join(starts, "_block").select(*df.columns, F.coalesce("_local", "_before").alias(name))

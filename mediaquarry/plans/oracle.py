@@ -68,8 +68,8 @@ lengths AS (SELECT video_id, sum(len(t)) AS n FROM lists GROUP BY video_id),
 stats AS (SELECT count(*) AS n_docs, sum(n) AS n_tokens FROM lengths)"""
 
 
-def _search(phrases: list[str], holds: str, scored: list[int], offset: int | str = 0) -> str:
-    """``offset`` may ask named and rows; ``phrases``: SELECTs of a row (video_id) for each instance; ``holds``: a condition on tf0, tf1...; ``scored``: their numbers."""
+def _search(phrases: list[str], holds: str, scored: list[int], offset: int | str = 0, counted: dict[int, int] | None = None) -> str:
+    """``offset`` may ask named and rows; ``counted``: phrases whose docs are counted by another one; ``phrases``: SELECTs of a row (video_id) for each instance; ``holds``: a condition on tf0, tf1...; ``scored``: their numbers."""
     names = range(len(phrases))
     ctes = ", ".join(f"p{i} AS (SELECT video_id, count(*) AS tf FROM ({sql}) GROUP BY video_id)" for i, sql in enumerate(phrases))
     tfs = ", ".join(f"coalesce(p{i}.tf, 0) AS tf{i}" for i in names)
@@ -77,7 +77,8 @@ def _search(phrases: list[str], holds: str, scored: list[int], offset: int | str
     dfs = ", ".join(f"(SELECT count(*) FROM p{i}) AS df{i}" for i in names)
 
     def term(i: int) -> str:
-        idf = f"ln((n_docs - df{i} + 0.5) / (df{i} + 0.5))"
+        df = f"df{(counted or {}).get(i, i)}"
+        idf = f"ln((n_docs - {df} + 0.5) / ({df} + 0.5))"
         return f"(CASE WHEN {idf} <= 0 THEN 1e-6 ELSE {idf} END) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * n / (n_tokens / n_docs)))"
 
     return f"""WITH {_NAMED}, {_TOKENS}, {ctes},
@@ -94,6 +95,12 @@ def _token(word: str, prefix: bool = False, more: str = "") -> str:
 
 _PAIR = "SELECT a.video_id FROM postings a JOIN postings b ON a.video_id = b.video_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.token = 'of' AND b.token = 'the'"
 
+def _near(words: tuple[str, str], mine: int, distance: int) -> str:
+    """Places of one of two words with the other so near that no more than ``distance`` tokens lie between them."""
+    x, y = words[mine], words[1 - mine]
+    return f"SELECT DISTINCT a.video_id, a.col, a.pos FROM postings a JOIN postings b ON a.video_id = b.video_id AND a.col = b.col AND abs(a.pos - b.pos) <= {distance + 1} WHERE a.token = '{x}' AND b.token = '{y}'"
+
+
 def _list(values: tuple[str | None, ...]) -> str:
     return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -134,6 +141,8 @@ SELECT id, regexp_extract(c, '{X.CATEGORY_LABEL}\s*(.+)', 1) AS category, regexp
     "media_filter": "SELECT event_id AS id FROM events WHERE event_type IN ('click', 'purchase')",
     "missing_ids": f"WITH {_PRESENT} SELECT id FROM missing",
     "missing_chunks": f"WITH {_PRESENT} SELECT id, CAST((row_number() OVER (ORDER BY id DESC) - 1) // 200 AS BIGINT) AS chunk FROM missing",
+    "missing_ranges": f"""WITH {_PRESENT}, placed AS (SELECT id, row_number() OVER (ORDER BY id DESC) - 1 AS n FROM missing), islands AS (SELECT id + n AS island, min(id) AS first, max(id) AS last, min(n) AS a, max(n) AS z FROM placed GROUP BY ALL)
+SELECT first, last, CAST(a // 200 AS BIGINT) AS chunk_of_last, CAST(z // 200 AS BIGINT) AS chunk_of_first FROM islands""",
     "dim_surrogate_keys": """WITH seen AS (SELECT c_name AS name, max(o_orderkey) AS seen FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey <> 0 GROUP BY c_name)
 SELECT (SELECT coalesce(max(c_custkey), 0) FROM customer WHERE c_nationkey = 0) + row_number() OVER (ORDER BY seen DESC) AS id, name FROM seen""",
     "upsert_first_wins": """SELECT user_id, event_id, value FROM events WHERE event_type = 'click' AND user_id % 3 <> 0
@@ -206,6 +215,8 @@ SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGI
     "search_column": _search([_token("de", True, " AND col = 'category'")], "tf0 > 0", [0]),
     "search_or": _search([_token("worthless"), _token("mente", True)], "tf0 > 0 OR tf1 > 0", [0, 1]),
     "search_not": _search([_token("idiot"), _token("trash", True)], "tf0 > 0 AND tf1 = 0", [0]),
+    "search_near": _search([_near(("of", "the"), 0, 3), _near(("of", "the"), 1, 3), _token("th", True), _token("of"), _token("the")], "tf0 > 0 AND tf1 > 0 AND tf2 > 0", [0, 1, 2], counted={0: 3, 1: 4}),
+    "search_no_token": _search([_token("th", True)], "tf0 > 0", [0]),
     "search_blank": _browse(0),
     "search_space": _search([_token("of"), _token("the", True)], "tf0 > 0 AND tf1 > 0", [0, 1]),
     "search_nothing": "SELECT CAST(NULL AS BIGINT) AS id, NULL AS creator, NULL AS category, NULL AS likes, NULL AS caption, NULL AS filename, CAST(NULL AS DOUBLE) AS rank WHERE false",

@@ -28,6 +28,8 @@ SEARCHES = {
     "search_not": ("idiot NOT trash", 0),
     "search_initial": ("^the OR ^un", 0),
     "search_space": ("of the ", 0),
+    "search_near": ("NEAR(of the, 3) th", 0),
+    "search_no_token": ("\U0001f600 th", 0),
     "search_nothing": ("\U0001f600", 0),
 }
 BLANK = " \t "
@@ -165,6 +167,11 @@ def missing_chunks(spark: SparkSession, d: str) -> DataFrame:
     return sync.chunked(missing_ids(spark, d))
 
 
+def missing_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Missing ids as ranges, each with the chunks of its ends."""
+    return sync.range_chunks(sync.missing_ranges(*_present(spark, d)))
+
+
 def dim_surrogate_keys(spark: SparkSession, d: str) -> DataFrame:
     """Names of customers as of their orders; those of the first nation are known already."""
     o = tables.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("c_custkey"))
@@ -465,7 +472,7 @@ QUERIES: dict[str, Query] = {
     "playlist_all": playlist,
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
-        category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, dim_surrogate_keys, upsert_first_wins, status_machine,
+        category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, missing_ranges, dim_surrogate_keys, upsert_first_wins, status_machine,
         sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, log_commands, byte_range, blob_pieces, ui_row_format, time_format, scalar_functions,
     )},

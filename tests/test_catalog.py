@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from mediaquarry.operators import browse, joblog, schedule, sync
 from mediaquarry.plans import oracle, queries
-from mediaquarry.plans.numbering import numbered, running
+from mediaquarry.plans.numbering import numbered, preceding, running
 from mediaquarry.sources import appendlog
 from mediaquarry.sources.tables import CATEGORIES, CREATORS, ERROR, HARVESTED, METADATA_ONLY, POSTS, Catalog, blob, blob_files, caption_of, message_files
 
@@ -189,6 +189,26 @@ def test_missing_and_present_make_up_all_ids(spark):
         assert chunks[i] == n // 200
 
 
+@pytest.mark.parametrize("upper", [2, 24])
+def test_preceding_values_cross_blocks(spark, upper):
+    rng = random.Random(7)
+    ids = sorted({*rng.sample(range(-300, 2000), 400), *(rng.randrange(-(1 << 60), 1 << 60) for _ in range(60))})
+    df = spark.createDataFrame([(i, str(i)) for i in ids], "id long, k string")
+    got = {r.id: r.p for r in preceding(df, "id", "p", bits=4, upper=upper).collect()}
+    assert got == dict(zip(ids, [None, *ids[:-1]], strict=True))
+
+
+def test_ranges_are_the_missing_ids(spark):
+    present = spark.createDataFrame([(i,) for i in (2, 3, 7, 7, 640, 900, 5000, -4)], "video_id long")
+    for latest in (1000, 900, 1, 0):
+        chunks = {r.id: r.chunk for r in sync.chunked(sync.missing_ids(present, latest)).collect()}
+        rows = sync.range_chunks(sync.missing_ranges(present, latest)).collect()
+        assert sorted(i for r in rows for i in range(r.first, r.last + 1)) == sorted(chunks)
+        assert all((r.chunk_of_first, r.chunk_of_last) == (chunks[r.first], chunks[r.last]) for r in rows)
+    far = sync.range_chunks(sync.missing_ranges(present, 10**12)).orderBy("first").collect()
+    assert (far[-1].first, far[-1].last, far[-1].chunk_of_last) == (5001, 10**12, 0) and sum(r.last - r.first + 1 for r in far) == 10**12 - 6
+
+
 def test_outcomes(spark):
     posts = spark.createDataFrame([(i, 1, 1, 0, "", None, METADATA_ONLY) for i in range(1, 5)], POSTS)
     outcomes = spark.createDataFrame([(1, 1, True, "/p/1"), (2, 1, False, None), (3, 1, True, "/p/3"), (3, 2, False, None)], "video_id long, seq long, ok boolean, path string")

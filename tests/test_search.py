@@ -29,6 +29,9 @@ QUERIES = [
     "danc", "rain danc", "elan", "foo_bar", "k:dance", "dance OR music", "dance NOT rain", "world hello", '"rain rain" dance', "a:rain danc", "filler", "5", "\U0001f600", "danc ",
     "a + b", "rain + rain", "^rain danc", "{a k}:danc", "-a:danc", "(rain OR hello) AND danc", "dance AND rain NOT music", "hello AND dance OR alice", "a:(rain OR hello) OR zed", "and", "dance and", '"in the" ra', 'the "rain', "hello \U0001f600 dan",
     "dance dance", "k:(dance) OR k:art",
+    "NEAR(rain dance) da", "NEAR(dance rain, 0) d", "NEAR(rain dance, 1) AND dance", 'NEAR("rain rain" danc*, 3) OR world', "k:NEAR(dance art) d", "NEAR(hello world dance, 0) da", "NEAR(hello dance, 0) OR hel",
+    "dance NOT NEAR(rain dance, 1) d", "NEAR(rain) dance", "NEAR(rain rain) dance", "NEAR(\U0001f600 rain) dan", "NEAR(dance in, 2) OR NEAR(filler number, 1) OR fi", "(NEAR(in rain, 1) OR hello) AND d", "NEAR() a", "NEAR(a b, x) c", "NEAR(^a b) c", "NEAR(a b c", "near(a b) c",
+    'NEAR("text number" filler, 5) fil',
 ]
 
 
@@ -44,7 +47,7 @@ def test_ranks_as_the_full_text_engine_does(index, fts, query):
     assert got == pytest.approx(want, abs=1e-9)
 
 
-@pytest.mark.parametrize("query", ["foo-bar", "@bob", "it's", "c++", "a.b", "AND", "dance AND", "NOT rain", "x,y", "(dance)", "zz:dance", "dance OR", "(a OR b) c", "*", "NEAR(a b) c"])
+@pytest.mark.parametrize("query", ["foo-bar", "@bob", "it's", "c++", "a.b", "AND", "dance AND", "NOT rain", "x,y", "(dance)", "zz:dance", "dance OR", "(a OR b) c", "*", "NEAR(a b)", "FAR(a b) c"])
 def test_unreadable_queries_raise(index, query):
     with pytest.raises(search.InvalidSearchQuery):
         search.hits(index, query)
@@ -84,3 +87,26 @@ def test_the_page_is_cut_before_it_meets_the_docs(spark, capsys):
     scans = [(cut < i < end, x.split("Batched")[0]) for i, x in enumerate(lines) if "FileScan" in x]
     assert sum(inside for inside, _ in scans) >= 4 and not any(inside and ("caption#" in x or "likes#" in x) for inside, x in scans)
     assert any("caption#" in x for _, x in scans)
+
+
+def test_near_groups_of_random_texts(spark):
+    """Clumps, their ranks and counts as the full-text engine has them.
+
+    Under OR that engine also counts places of a group that has no clump in the
+    doc; here the docs and, where groups alone decide, the ranks are compared.
+    """
+    import random
+
+    rng = random.Random(12)
+    docs = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 40))), " ".join(rng.choice("abc") for _ in range(4)), "k") for i in range(60)]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE s USING fts5(video_id UNINDEXED, a, b, k)")
+    con.executemany("INSERT INTO s VALUES (?, ?, ?, ?)", docs)
+    index = search.build(spark.createDataFrame(docs, "video_id long, a string, b string, k string"), COLUMNS)
+    for query in ("NEAR(a b) a", "NEAR(a b c, 2) b", "NEAR(a a, 1) c", 'NEAR("a b" c "d e", 4) AND h', 'h NOT NEAR("a b" c, 2) g', "a:NEAR(a b, 1) AND b:NEAR(c a, 0) AND a", "b NOT NEAR(a h, 3) b", "NEAR(a b c d, 3) OR xx"):
+        want = {i: r for i, r in con.execute("SELECT video_id, rank FROM s WHERE s MATCH ?", (query + "*",))}
+        got = {r.video_id: r["rank"] for r in search.hits(index, query).collect()}
+        assert got == pytest.approx(want, abs=1e-9), query
+    for query in ("a:NEAR(a b, 1) OR b:NEAR(c a, 0) OR zz", "NEAR(g h, 0) OR NEAR(c d, 0) OR gg", 'NEAR("a b" c "d e", 4) OR h'):
+        want = {i for (i,) in con.execute("SELECT video_id FROM s WHERE s MATCH ?", (query + "*",))}
+        assert {r.video_id for r in search.hits(index, query).collect()} == want, query
