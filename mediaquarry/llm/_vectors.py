@@ -13,8 +13,6 @@ from ._store import write_table
 
 #: Rows of a block of candidates, and of one of queries.
 ROWS, QUERY_ROWS = 8_192, 8_192
-#: Bytes of the queries that are broadcast at once.
-PASS_BYTES = 32 << 20
 
 
 def usable(df: DataFrame, nonzero: bool, most: float = float("inf")) -> DataFrame:
@@ -28,7 +26,10 @@ def usable(df: DataFrame, nonzero: bool, most: float = float("inf")) -> DataFram
         good &= F.exists(x, lambda v: v != 0)
     rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
     rows = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(good, F.lit(False)))
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    # ids alone tell which are there more than once; the other vectors are neither sorted nor shuffled
+    again = write_table(rows.groupBy("vec_id").agg(F.count("*").alias("n")).filter("n > 1").select("vec_id"), "again")
+    least = rows.join(again, "vec_id", "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return rows.join(again, "vec_id", "left_anti").unionByName(least)
 
 
 def arrays(batch: pa.RecordBatch | pa.Table, size: int) -> np.ndarray:
@@ -58,31 +59,6 @@ def blocks(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[tupl
             yield np.concatenate([i for i, _ in mine]), np.concatenate([v for _, v in mine])
 
 
-def passes(queries: DataFrame, rows: int | None = None, room: int | None = None) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
-    """The queries in lists of blocks: at most ``rows`` rows of one length a block and about ``room`` bytes a list.
-
-    They are stored by parts, dealt by a hash of the id, so that each list reads
-    its own part only.
-    """
-    rows, room = rows or QUERY_ROWS, room or PASS_BYTES
-    size = queries.agg(F.sum(8 * F.size("embedding") + 8)).first()[0] or 0
-    parts = -(-3 * size // (2 * room))
-    dealt = write_table(queries.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, parts))).cast("int")), "queries", by="part")
-    for k in range(parts):
-        found = dealt.filter(F.col("part") == k).select("vec_id", "embedding").orderBy("vec_id").toArrow()
-        out, held = [], 0
-        for ids, vectors in blocks(iter(found.combine_chunks().to_batches()), rows):
-            for at in range(0, len(ids), rows):
-                block = ids[at : at + rows], vectors[at : at + rows]
-                if out and held + block[1].nbytes > room:
-                    yield out
-                    out, held = [], 0
-                out.append(block)
-                held += block[1].nbytes
-        if out:
-            yield out
-
-
 class Best:
     """For each of n queries the k smallest (key, id), ids distinct by construction."""
 

@@ -8,8 +8,9 @@ the leaves of a tree best first and stops where the bound falls below its k-th
 score so far; that score is carried from tree to tree within a task, and each
 task hands on its best k.
 
-Queries are broadcast in lists of blocks of bounded size; each list takes one
-pass over the stored trees, and candidates are never shuffled.
+Queries are stored in blocks too.  Every block meets every tree of its length in
+cells of so many trees and so many blocks, dealt by one shuffle; a task holds
+the blocks of its cell and reads the trees one after another.
 
 Scores are exact at any size: where a double can't hold them it bounds them,
 and those that the bound can't rule out are worked out in whole numbers.
@@ -31,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import new_path, ready, result, write_table
-from ._vectors import Best, blocks, passes, ranked, usable
+from ._store import ready, result, write_table
+from ._vectors import QUERY_ROWS, Best, blocks, ranked, usable
 
 LEAF = 128
 #: Products and sums of doubles are exact below this.
@@ -41,6 +42,8 @@ EXACT = float(1 << 53)
 MOST = float(np.finfo(float).max / 256)
 _LONG = (1 << 63) - 1
 TREES = "size int, ids binary, points binary, low binary, high binary, nodes binary"
+#: Trees, and blocks of queries, of a cell.
+CELL, TURN = 16, 8
 
 
 def quantized(x: np.ndarray) -> np.ndarray:
@@ -173,29 +176,73 @@ def _sortable(key: int) -> str:
     return text if key > 0 else text.translate(str.maketrans("0123456789", "9876543210"))
 
 
+def _blob(x: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes()], pa.binary())
+
+
 def build_trees(rows: DataFrame) -> DataFrame:
-    """A stored row with the tree of each shard of ``rows`` (usable)."""
+    """A stored row with the tree of each shard of ``rows`` (usable), and its number."""
     ready(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, points in blocks(batches):
             tree = KdTree.build(ids, quantized(points))
             parts = (tree.ids, tree.points, tree.low, tree.high, tree.nodes)
-            yield pa.RecordBatch.from_arrays([pa.array([points.shape[1]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([points.shape[1]], pa.int32()), *map(_blob, parts)], names)
 
     names = [f.split()[0] for f in TREES.split(", ")]
-    return write_table(rows.mapInArrow(run, TREES), "trees")
+    return write_table(rows.mapInArrow(run, TREES).withColumn("number", F.monotonically_increasing_id()), "trees")
+
+
+def query_blocks(rows: DataFrame, size: int | None = None) -> DataFrame:
+    """``rows`` (usable) in stored blocks of about ``size`` vectors of one length, as rows of a tree without nodes, with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, points in blocks(batches, size):
+            yield pa.RecordBatch.from_arrays([pa.array([points.shape[1]], pa.int32()), _blob(ids), _blob(quantized(points)), *[pa.array([None], pa.binary())] * 3], names)
 
+    names, size = [f.split()[0] for f in TREES.split(", ")], size or QUERY_ROWS
+    dealt = rows.repartition(max(1, -(-rows.count() // size)), "vec_id")
+    return write_table(dealt.mapInArrow(run, TREES).withColumn("number", F.monotonically_increasing_id()), "queries")
 
-def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, KdTree]]:
+
+def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray, tuple | None]]:
+    """(cell, ids, points, rest of the tree) of each row; None for a block of queries."""
     for batch in batches:
         for i in range(batch.num_rows):
-            size = batch.column(0)[i].as_py()
-            ids, points, low, high, nodes = (batch.column(k)[i].as_buffer() for k in range(1, 6))
-            ids = np.frombuffer(ids, np.int64)
-            matrix = lambda x, n: np.frombuffer(x, np.float64).reshape(n, size)
-            nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4)
-            yield size, KdTree(ids, matrix(points, len(ids)), matrix(low, len(nodes)), matrix(high, len(nodes)), nodes)
+            *key, ids, points, low, high, nodes = (batch.column(c)[i] for c in range(batch.num_columns))
+            key = tuple(x.as_py() for x in key)
+            ids = np.frombuffer(ids.as_buffer(), np.int64)
+            matrix = lambda x, n: np.frombuffer(x.as_buffer(), np.float64).reshape(n, key[0])  # noqa: B023, E731
+            points = matrix(points, len(ids))
+            if nodes.is_valid:
+                nodes = np.frombuffer(nodes.as_buffer(), np.int64).reshape(-1, 4)
+                yield key, ids, points, (matrix(low, len(nodes)), matrix(high, len(nodes)), nodes)
+            else:
+                yield key, ids, points, None
+
+
+def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query in its cell; a cell's queries come before its trees."""
+
+    def best() -> Iterator[pa.RecordBatch]:
+        for ids, _, mine in held:
+            keys = [int(x) for x in mine.key]
+            columns = [pa.array(ids[mine.query]), pa.array(mine.id), pa.array([max(-_LONG, min(_LONG, x)) for x in keys], pa.int64()), pa.array([_sortable(x) for x in keys], pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "key", "exact"])
+
+    at, held = None, []
+    for key, ids, points, rest in _matrices(batches):
+        if key != at:
+            yield from best()
+            at, held = key, []
+        if rest is None:
+            held.append((ids, points, Best(len(ids), k, np.float64)))
+            continue
+        tree = KdTree(ids, points, *rest)
+        for query_ids, block, mine in held:
+            search(mine, query_ids, block, tree)
+    yield from best()
 
 
 def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -204,28 +251,19 @@ def top_products(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def _top(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    spark = vectors.sparkSession
-    trees = build_trees(usable(vectors, False, MOST))
-    schema = "query_id long, vec_id long, key long, exact string"
-    path = new_path(spark, "found")
-    spark.createDataFrame([], schema).write.parquet(path)
-    for asked in passes(usable(queries, False, MOST)):
-        sent = spark.sparkContext.broadcast([(ids, quantized(block)) for ids, block in asked])
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            best = [Best(len(ids), k, np.float64) for ids, _ in sent.value]
-            for size, tree in _trees(batches):
-                for mine, (ids, block) in zip(best, sent.value, strict=True):
-                    if block.shape[1] == size:
-                        search(mine, ids, block, tree)
-            for mine, (ids, _) in zip(best, sent.value, strict=True):
-                keys = [int(x) for x in mine.key]
-                columns = [pa.array(ids[mine.query]), pa.array(mine.id), pa.array([max(-_LONG, min(_LONG, x)) for x in keys], pa.int64()), pa.array([_sortable(x) for x in keys], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "key", "exact"])
-
-        trees.mapInArrow(run, schema).write.mode("append").parquet(path)
-        sent.destroy()
-    found = ranked(spark.read.schema(schema).parquet(path), k, "exact")
+    trees, asked = build_trees(usable(vectors, False, MOST)), query_blocks(usable(queries, False, MOST))
+    sizes = trees.groupBy("size").agg(F.count("*").alias("trees")).join(asked.groupBy("size").agg(F.count("*").alias("blocks")), "size")
+    turns = F.ceil(F.col("blocks") / TURN)
+    wide = F.ceil(F.lit(2 * vectors.sparkSession.sparkContext.defaultParallelism) / F.col("turns"))
+    sizes = sizes.withColumn("turns", turns).withColumn("cells", F.least("trees", F.greatest(F.ceil(F.col("trees") / CELL), wide)))
+    plan = write_table(sizes.select("size", F.col("turns").cast("int").alias("turns"), F.col("cells").cast("int").alias("cells")), "plan")  # a row for each length
+    own = lambda n: F.pmod(F.xxhash64("number"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys, rest = ["size", "cell", "turn"], ["ids", "points", "low", "high", "nodes"]
+    held = trees.join(plan, "size").withColumn("cell", own("cells")).withColumn("turn", every("turns")).select(*keys, *rest)
+    ask = asked.join(plan, "size").withColumn("turn", own("turns")).withColumn("cell", every("cells")).select(*keys, *rest)
+    met = held.union(ask).repartition(*keys).sortWithinPartitions(*keys, F.col("nodes").isNotNull()).select(*keys, *rest)
+    found = ranked(met.mapInArrow(lambda b: _meet(b, k), "query_id long, vec_id long, key long, exact string"), k, "exact")
     return found.select("query_id", F.col("rank").cast("int"), "vec_id", (-F.col("key")).alias("score"))
 
 

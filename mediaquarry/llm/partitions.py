@@ -20,8 +20,8 @@ Defined results: vectors that are null, zero or hold a null or a component that
 isn't finite, and rows without vec_id take no part; of several vectors under
 one vec_id the least counts, component by component; no row with the query's
 vec_id is a candidate; vectors meet only those of their own length, each length
-with partitions of its own; fewer rows than ``SMALL`` are one partition,
-searched whole; distances beyond a double are infinite and come last, by
+with partitions of its own; fewer different vectors than ``SMALL``, which give
+no graph to speak of, are one partition, searched whole; distances beyond a double are infinite and come last, by
 vec_id; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from ._store import picked, ready, result, write_table
 from ._vectors import QUERY_ROWS, Best, arrays, blocks, ranked, usable
 
-#: The most rows that a network is fitted on; below SMALL there is one partition.
-SAMPLE, SMALL = 8_192, 1_000
+#: The most rows that a network is fitted on; of fewer different ones than SMALL no partitions are learnt.
+SAMPLE, SMALL = 8_192, 64
 #: The most partitions of one network, and rows that a partition should have.
 PARTS, EACH = 64, 2_048
 #: Partitions of the first level that have more rows are parted again.

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from mediaquarry.llm import kdtree, partitions
+from mediaquarry.llm import _vectors, kdtree, partitions
 from mediaquarry.llm._vectors import Best
 
 
@@ -111,7 +111,8 @@ def test_best_keeps_ties_with_small_ids():
     assert best.kth.tolist() == [1.0, np.inf]
 
 
-def test_neighbours_of_few_rows_are_exact(spark):
+def test_neighbours_in_one_partition_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "SMALL", 10_000)
     rows = odd(np.random.default_rng(3))
     df = table(spark, rows)
     got = {}
@@ -126,12 +127,11 @@ def test_neighbours_of_few_rows_are_exact(spark):
 
 
 @pytest.mark.parametrize("large", [partitions.LARGE, 100])
-def test_recall_with_partitions(spark, monkeypatch, large):
+def test_recall_with_partitions(spark, large):
     """Clustered vectors, with a third of all rows equal: several partitions, few probed, recall of 0.9 at least.
 
     Also with partitions that are parted again.
     """
-    monkeypatch.setattr(partitions, "SMALL", 100)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(12, 16)) * 4
     points = (centres[rng.integers(12, size=4000)] + rng.normal(size=(4000, 16))).astype(np.float32)
@@ -154,8 +154,9 @@ def test_recall_with_partitions(spark, monkeypatch, large):
     assert hit >= 0.9 * 400
 
 
-def test_recall_on_a_whole_table(spark):
-    folder = "/root/testdata/sf0.1"
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_a_whole_table(spark, size):
+    folder = f"/root/testdata/{size}"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
     found = partitions.op3_learned_partitions(spark, folder).collect()
@@ -183,16 +184,26 @@ def test_empty_tables(spark):
     assert kdtree.top_products(df, df, 5).collect() == [] == partitions.nearest_neighbours(df, df, 10).collect()
 
 
-def test_several_blocks_and_passes_of_queries(spark, monkeypatch):
-    from mediaquarry.llm import _vectors
-
+def test_several_blocks_and_cells_of_queries(spark, monkeypatch):
     rows = odd(np.random.default_rng(8))
     df = table(spark, rows)
     many, few = df.filter("vec_id % 10 = 0"), df.filter("vec_id % 50 = 0")
     want = {tuple(r) for r in kdtree.top_products(df, few, 4).collect()}
-    monkeypatch.setattr(_vectors, "QUERY_ROWS", 7)
-    monkeypatch.setattr(_vectors, "PASS_BYTES", 700)
-    assert sum(len(i) for p in _vectors.passes(_vectors.usable(many, False)) for i, _ in p) == _vectors.usable(many, False).count()
+    monkeypatch.setattr(kdtree, "QUERY_ROWS", 7)
+    monkeypatch.setattr(kdtree, "TURN", 2)
+    blocks = kdtree.query_blocks(_vectors.usable(many, False))
+    assert blocks.count() > 4 and {r.size for r in blocks.collect()} == {2, 6, 1, 0}
     assert {r for r in map(tuple, kdtree.top_products(df, many, 4).collect()) if r[0] % 50 == 0} == want
+    monkeypatch.setattr(partitions, "SMALL", 10_000)
     want = {tuple(r) for r in partitions.nearest_neighbours(df, few, 4).collect()}
     assert {r for r in map(tuple, partitions.nearest_neighbours(df, many, 4, cell=20).collect()) if r[0] % 50 == 0} == want
+
+
+def test_repeated_ids_are_settled_without_the_others(spark, capsys):
+    """Of several vectors under an id the least counts; vectors with an id of their own don't enter an aggregate."""
+    df = table(spark, [(1, [2.0, 1.0], 0, ""), (1, [1.0, 9.0], 0, ""), (2, [0.5, 0.5], 0, ""), (3, [0.0, 0.0], 0, ""), (1, [2.0, 1.0], 0, ""), (None, [1.0, 1.0], 0, "")])
+    found = _vectors.usable(df, False)
+    assert sorted((r.vec_id, r.embedding) for r in found.collect()) == [(1, [1.0, 9.0]), (2, [0.5, 0.5]), (3, [0.0, 0.0])]
+    found.explain()
+    first, second = capsys.readouterr().out.split("Union")[1].split("LeftSemi")
+    assert "LeftAnti" in first and "Aggregate" not in first.split("LeftAnti")[1].split("SortAggregate")[0]
