@@ -18,7 +18,7 @@ from ..sources import storage
 from ..sources.segments import Segments, Table, added_up
 from ..sources.tables import METADATA_ONLY, Catalog
 from . import browse, captions, sync
-from .search import Index, build
+from .search import Index, build, dictionary
 
 TABLES = {
     "categories": Table("id LONG, name STRING", ("id",)),
@@ -26,6 +26,7 @@ TABLES = {
     "posts": Table("video_id LONG, category_id LONG, creator_id LONG, likes LONG, caption STRING, local_video_path STRING, status STRING", ("video_id",)),
     "docs": Table("video_id LONG, caption STRING, creator STRING, category STRING", ("video_id",)),
     "postings": Table("token STRING, video_id LONG, col STRING, pos INT", ("token", "video_id")),
+    "terms": Table("token STRING, col STRING, df LONG, cf LONG", ("token", "col")),
     "lengths": Table("video_id LONG, n_tokens LONG", ("video_id",)),
     "totals": Table("n_docs LONG, n_tokens LONG", ()),
     "outcomes": Table("video_id LONG, seq LONG, ok BOOLEAN, path STRING", ("video_id",)),
@@ -49,7 +50,7 @@ class CatalogStore(Segments):
     def index(self) -> Index:
         """The search index over all segments; their statistics add up."""
         m = self.manifest()
-        return Index(self.read("postings", m), self.read("lengths", m), added_up(self.read("totals", m), []))
+        return Index(self.read("postings", m), self.read("lengths", m), added_up(self.read("totals", m), []), terms=added_up(self.read("terms", m), ["token", "col"]))
 
     def pages(self) -> DataFrame:
         """The count tree of playable posts, for deep pages."""
@@ -86,6 +87,7 @@ class CatalogStore(Segments):
             index = build(out["docs"])
             out["lengths"] = self.write(segment, "lengths", index.lengths)
             out["postings"] = self.write(segment, "postings", index.postings)
+            out["terms"] = self.write(segment, "terms", dictionary(out["postings"]))
             totals = out["lengths"].agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"))
             out["totals"] = self.write(segment, "totals", totals.filter("n_docs > 0"))
             return out

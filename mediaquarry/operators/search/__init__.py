@@ -1,7 +1,7 @@
 """Ranked full-text search over a catalog's docs."""
 
-from .index import Index, build
+from .index import Index, build, dictionary
 from .parse import InvalidSearchQuery, parse
 from .rank import explore, explore_deep, hits, ranked
 
-__all__ = ["Index", "InvalidSearchQuery", "build", "explore", "explore_deep", "hits", "parse", "ranked"]
+__all__ = ["Index", "InvalidSearchQuery", "build", "dictionary", "explore", "explore_deep", "hits", "parse", "ranked"]

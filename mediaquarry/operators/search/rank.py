@@ -19,21 +19,36 @@ from .parse import Node, Phrase, parse
 
 # Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
+#: Places of a phrase's rarest token that are sent to all tasks, some 30 bytes each.
+FEW_PLACES = 1 << 18
 
 
 def _places(index: Index, phrase: Phrase) -> DataFrame:
-    """(video_id, col, pos): where the phrase begins."""
-    rows = index.postings.filter(F.col("col").isin(*phrase.columns))
+    """(video_id, col, pos): where the phrase begins.
+
+    With a dictionary the tokens are joined from the rarest on: where its places
+    are few enough to be sent to all tasks, those of the others, however many,
+    are read and not shuffled.
+    """
     last = len(phrase.tokens) - 1
 
-    def token(i: int) -> DataFrame:
+    def token(i: int, rows: DataFrame) -> DataFrame:
         match = F.col("token").startswith(phrase.tokens[i]) if i == last and phrase.prefix else F.col("token") == phrase.tokens[i]
-        found = rows.filter(match)
+        return rows.filter(F.col("col").isin(*phrase.columns) & match)
+
+    def places(i: int) -> DataFrame:
+        found = token(i, index.postings)
         if i == 0 and phrase.initial:
             found = found.filter("pos = 0")
         return found.select("video_id", "col", (F.col("pos") - i).alias("pos"))
 
-    return reduce(lambda a, b: a.join(b, ["video_id", "col", "pos"]), [token(i) for i in range(last + 1)])
+    order, few = list(range(last + 1)), False
+    if last and index.terms is not None:
+        counts = reduce(DataFrame.union, (token(i, index.terms).agg(F.lit(i).alias("i"), F.coalesce(F.sum("cf"), F.lit(0)).alias("n")) for i in order)).collect()
+        order = [r.i for r in sorted(counts, key=lambda r: (r.n, r.i))]
+        few = min(r.n for r in counts) <= FEW_PLACES
+    rare, *others = (places(i) for i in order)
+    return reduce(lambda a, b: b.join(F.broadcast(a) if few else a, ["video_id", "col", "pos"]), others, rare)
 
 
 def _close(index: Index, phrase: Phrase) -> DataFrame:

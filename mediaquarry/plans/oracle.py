@@ -171,6 +171,7 @@ FROM batches b JOIN categories c ON c.name = lang JOIN creators r ON r.name = so
     "next_target": f"WITH {_POSTS}, {_QUEUE} SELECT video_id, CASE WHEN rank IS NULL THEN 'Global' ELSE c.name END AS target FROM posts JOIN categories c ON c.id = category_id LEFT JOIN queue ON queue.category = c.name WHERE status = 'Metadata_Only' ORDER BY rank NULLS LAST, video_id DESC LIMIT 1",
     "queue_left": f"WITH {_POSTS}, {_QUEUE} SELECT category, rank FROM queue WHERE category IN (SELECT c.name FROM posts JOIN categories c ON c.id = category_id WHERE status = 'Metadata_Only')",
     "corpus_stats": f"WITH {_TOKENS} SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(n_tokens AS BIGINT) AS n_tokens FROM stats",
+    "term_stats": f"WITH {_TOKENS} SELECT token, col, CAST(count(DISTINCT video_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM postings GROUP BY token, col",
     "dedup_gate": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "dedup_gate_stream": "SELECT DISTINCT user_id FROM events",
     "queue_depth_replay": f"WITH {_DEPTHS} SELECT seq, key, op, CAST(depth AS BIGINT) AS depth FROM depths",

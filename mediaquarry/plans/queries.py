@@ -276,6 +276,11 @@ def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return search.index.statistics(_index(spark, d, _catalog(spark, d)))
 
 
+def term_stats(spark: SparkSession, d: str) -> DataFrame:
+    """The dictionary of the stored index."""
+    return _index(spark, d, _catalog(spark, d)).terms
+
+
 def _log(spark: SparkSession, d: str) -> DataFrame:
     """Events as a log of commands on two queues."""
     e = tables.table(spark, d, "events")
@@ -473,7 +478,7 @@ QUERIES: dict[str, Query] = {
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
         category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, missing_ranges, dim_surrogate_keys, upsert_first_wins, status_machine,
-        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
+        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, term_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, log_commands, byte_range, blob_pieces, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,

@@ -69,6 +69,25 @@ def test_a_stored_index_gives_the_same(spark, index, tmp_path):
     assert sorted(search.hits(again, "rain danc").collect()) == sorted(search.hits(index, "rain danc").collect())
 
 
+def test_phrases_begin_with_their_rarest_token(spark, tmp_path, capsys, monkeypatch):
+    """A word of all docs is read and joined where it is; the same docs are found when nothing is broadcast."""
+    from mediaquarry.operators.search import rank
+
+    docs = spark.range(3000).selectExpr("id AS video_id", "concat('the ', if(id % 500 = 7, 'rare', 'usual'), ' thing of the many things') AS a", "'x' AS b", "'k' AS k")
+    plain = search.build(docs, COLUMNS)
+    plain.write(str(tmp_path / "index"))
+    stored = search.Index.read(spark, str(tmp_path / "index"), COLUMNS)
+    assert {(r.token, r.col): (r.df, r.cf) for r in stored.terms.collect()}["the", "a"] == (3000, 6000)
+    for query in ('"the rare thing" th', '"of the" man', '"the rare"'):
+        want = sorted(map(tuple, search.hits(plain, query).collect()))
+        assert sorted(map(tuple, search.hits(stored, query).collect())) == want and len(want) in (6, 3000)
+    rank._places(stored, rank.parse('"the rare" + th', COLUMNS).phrases()[0]).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("BroadcastHashJoin") == 2 and "hashpartitioning" not in plan
+    monkeypatch.setattr(rank, "FEW_PLACES", 0)
+    assert search.hits(stored, '"the rare thing" th').count() == 6
+
+
 def test_prefix_reaches_the_scan(spark, index, tmp_path, capsys):
     index.write(str(tmp_path / "index"))
     search.hits(search.Index.read(spark, str(tmp_path / "index"), COLUMNS), "danc").explain()
