@@ -4,10 +4,12 @@ A window begins at a line and takes the fewest lines that reach ``min_words``
 words.  Of each window the least line hash is selected as a fingerprint, with
 its position, so two texts that share a whole window share a fingerprint.
 Each selected position counts once; fingerprints that occur in one position
-only are left out.  The others are joined on their positions and extended to
-both sides: to the right the window that begins at a line, to the left the one
-that ends at it, each as far as it has the words of a run.  Windows with equal
-lines match, and matches that overlap or touch make up a run, however long.
+only are left out, with their windows.  A line has two windows, one that begins
+at it and one that ends at it, as far as each has the words of a run.  Of what
+shares a fingerprint, windows with equal lines match, and matches that overlap
+or touch make up a run, however long.  So positions decide what is compared, and
+whole windows, which are stored with their position, what is equal; matches
+aren't extended line by line beyond them.
 
 So a line goes if and only if it lies in a stretch of lines of ``min_words``
 words or more that occurs earlier.  (In the longest such stretch a line lies
