@@ -33,7 +33,7 @@ def test_stages_against_their_definitions(spark):
 
 def test_registered(spark):
     names = {n.split("_")[0] for n in queries.QUERIES}
-    assert names == {f"op{i}" for i in range(1, 11)}
+    assert names == {f"op{i}" for i in range(1, 14)}
     assert set(queries.ORACLES) <= set(queries.QUERIES)
 
 
