@@ -85,12 +85,27 @@ def _holds(node: Node, number: dict[Phrase, int]) -> Column:
     return reduce((lambda a, b: a & b) if node.kind == "AND" else (lambda a, b: a | b), others, first)
 
 
+def norm(length: Column) -> Column:
+    """What a doc's length adds to the divisor of a term; needs n_docs and n_tokens_all."""
+    return K1 * (1 - B + B * length / (F.col("n_tokens_all") / F.col("n_docs")))
+
+
+def idf(df: Column) -> Column:
+    """The weight of a phrase that ``df`` docs hold; needs n_docs."""
+    x = F.log((F.col("n_docs") - df + 0.5) / (df + 0.5))
+    return F.when(x <= 0, LEAST_IDF).otherwise(x)
+
+
 def hits(index: Index, query: str) -> DataFrame:
     """(video_id, rank): the docs that answer ``query``; the best have the least rank.
 
     Raises InvalidSearchQuery for a query that can't be read.
     """
-    tree = parse(query, index.columns)
+    return hits_of(index, parse(query, index.columns))
+
+
+def hits_of(index: Index, tree: Node, counts: dict[Phrase, int] | None = None) -> DataFrame:
+    """The docs of ``index`` that answer a query that was read; ``counts``: how many docs hold each phrase that is scored, if that is known."""
     scored = tree.phrases()
     # docs that hold a phrase of a NEAR group count wherever it stands
     number = {p: i for i, p in enumerate(dict.fromkeys([*scored, *tree.refused(), *(p.alone() for p in scored)]))}
@@ -99,17 +114,15 @@ def hits(index: Index, query: str) -> DataFrame:
         return index.lengths.select("video_id", F.lit(0.0).alias("rank")).limit(0)  # nothing to look for
     found = reduce(DataFrame.union, (_instances(index, p).select(F.lit(i).alias("phrase"), "video_id", "tf") for p, i in usable))
     by_doc = found.groupBy("video_id").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for _, i in usable))
-    frequency = by_doc.agg(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for _, i in usable))
     # both sides of the cross joins below have one row
-    rows = by_doc.filter(_holds(tree, number)).join(index.lengths, "video_id").crossJoin(statistics(index)).crossJoin(frequency)
-    share = F.col("n_tokens_all") / F.col("n_docs")
-    rows = rows.toDF("video_id", *(f"tf{i}" for _, i in usable), "length", "n_docs", "n_tokens_all", *(f"df{i}" for _, i in usable))
-    norm = K1 * (1 - B + B * F.col("length") / share)
+    rows = by_doc.filter(_holds(tree, number)).join(index.lengths.withColumnRenamed("n_tokens", "length"), "video_id")
+    rows = rows.crossJoin(statistics(index).select("n_docs", F.col("n_tokens").alias("n_tokens_all")))
+    if counts is None:
+        rows = rows.crossJoin(by_doc.agg(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for _, i in usable)))
 
     def term(p: Phrase) -> Column:
-        n, df, tf = F.col("n_docs"), F.col(f"df{number[p.alone()]}"), F.col(f"tf{number[p]}")
-        idf = F.log((n - df + 0.5) / (df + 0.5))
-        return F.when(idf <= 0, LEAST_IDF).otherwise(idf) * (tf * (K1 + 1)) / (tf + norm)
+        df, tf = F.col(f"df{number[p.alone()]}") if counts is None else F.lit(counts[p]), F.col(f"tf{number[p]}")
+        return idf(df) * (tf * (K1 + 1)) / (tf + norm(F.col("length")))
 
     terms = [term(p) for p in scored if p.tokens and p.columns]
     return rows.select("video_id", (-reduce(lambda a, b: a + b, terms)).alias("rank"))
@@ -131,7 +144,7 @@ def explore(catalog: Catalog, index: Index | None, query: str = "", offset: int
     """
     if not query.strip():
         return browse.browse(catalog, offset, size)
-    return _records(catalog, browse.page(ranked(catalog, index, query), _order(), offset, size))
+    return _records(catalog, browse.page(ranked(catalog, index, query), page_order(), offset, size))
 
 
 def explore_deep(catalog: Catalog, found: DataFrame, offset: int, size: int = browse.PAGE, few: int = ranks.FEW) -> DataFrame:
@@ -143,10 +156,10 @@ def explore_deep(catalog: Catalog, found: DataFrame, offset: int, size: int = br
     return _records(catalog, ranks.page_at(found, [("rank", True), ("video_id", True)], offset, size, few))
 
 
-def _order() -> list[Column]:
+def page_order() -> list[Column]:
     return [F.asc("rank"), F.asc("video_id")]
 
 
 def _records(catalog: Catalog, top: DataFrame) -> DataFrame:
     rows = top.join(catalog.posts.filter(browse.playable()).select("video_id", "likes", "local_video_path"), "video_id").join(catalog.docs, "video_id")
-    return rows.orderBy(*_order()).select(*browse.explore_record(), "rank")
+    return rows.orderBy(*page_order()).select(*browse.explore_record(), "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators.joblog import MODELS
-from .queries import BATCHES, BLOB_PIECE, CAPTIONS, RANGES, SEARCHES
+from .queries import BATCHES, BLOB_PIECE, CAPTIONS, RANGES, SEARCHES, TOPS
 
 _CATEGORIES = """
 categories AS (SELECT row_number() OVER (ORDER BY max(doc_id) DESC) AS id, lang AS name FROM documents GROUP BY lang),
@@ -172,6 +172,14 @@ FROM batches b JOIN categories c ON c.name = lang JOIN creators r ON r.name = so
     "queue_left": f"WITH {_POSTS}, {_QUEUE} SELECT category, rank FROM queue WHERE category IN (SELECT c.name FROM posts JOIN categories c ON c.id = category_id WHERE status = 'Metadata_Only')",
     "corpus_stats": f"WITH {_TOKENS} SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(n_tokens AS BIGINT) AS n_tokens FROM stats",
     "term_stats": f"WITH {_TOKENS} SELECT token, col, CAST(count(DISTINCT video_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM postings GROUP BY token, col",
+    "term_blocks": f"""WITH {_TOKENS}, keys AS (
+  SELECT video_id, col, token AS key FROM postings
+  UNION ALL SELECT video_id, col, substring(token, 1, k) || '*' FROM postings, (VALUES (1), (2), (3)) v(k) WHERE length(token) >= k
+), places AS (SELECT * FROM keys UNION ALL SELECT video_id, '*', key FROM keys),
+by_doc AS (SELECT video_id // 256 AS block, key, col, count(*) AS tf, any_value(n) AS length FROM places JOIN lengths USING (video_id) GROUP BY video_id, key, col),
+shortest AS (SELECT key, col, block, tf, min(length) AS length, count(*) AS n FROM by_doc GROUP BY ALL),
+best AS (SELECT *, sum(n) OVER (PARTITION BY key, col, block) AS df, min(length) OVER (PARTITION BY key, col, block ORDER BY tf DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beyond FROM shortest)
+SELECT key, col, block, CAST(df AS BIGINT) AS df, CAST(tf AS BIGINT) AS tf, CAST(length AS BIGINT) AS length FROM best WHERE beyond IS NULL OR length < beyond""",
     "dedup_gate": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "dedup_gate_stream": "SELECT DISTINCT user_id FROM events",
     "queue_depth_replay": f"WITH {_DEPTHS} SELECT seq, key, op, CAST(depth AS BIGINT) AS depth FROM depths",
@@ -224,6 +232,6 @@ SELECT event_id, CASE WHEN s IS NULL THEN '0:00' ELSE CAST(floor(s / 60) AS BIGI
     "search_initial": _search([_token("the", False, " AND pos = 1"), _token("un", True, " AND pos = 1")], "tf0 > 0 OR tf1 > 0", [0, 1]),
 }
 
-ORACLES |= {name: ORACLES[other] for name, other in (("queue_depth_stream", "queue_depth_replay"), ("fifo_match_stream", "fifo_match"))}
+ORACLES |= {name: ORACLES[other] for name, other in (("queue_depth_stream", "queue_depth_replay"), ("fifo_match_stream", "fifo_match"), *TOPS.items())}
 
 assert not SEARCHES.keys() - ORACLES.keys()

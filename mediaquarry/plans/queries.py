@@ -32,6 +32,8 @@ SEARCHES = {
     "search_no_token": ("\U0001f600 th", 0),
     "search_nothing": ("\U0001f600", 0),
 }
+#: Queries whose page comes from bounds of blocks.
+TOPS = {"search_top": "search_prefix", "search_top_multi": "search_multi", "search_top_or": "search_or"}
 BLANK = " \t "
 #: Captions of all odd shapes, in turns.
 CAPTIONS = (
@@ -107,6 +109,22 @@ def explore(spark: SparkSession, d: str, query: str, offset: int) -> DataFrame:
     return search.explore(catalog, _index(spark, d, catalog), query, offset).withColumn("rank", F.round("rank", 6))
 
 
+def _bounds(spark: SparkSession, d: str, catalog: tables.Catalog) -> DataFrame:
+    """The stored bounds of blocks of a folder's docs."""
+    return spark.read.parquet(_stored(spark, d, "bounds", lambda path: search.write_bounds(_index(spark, d, catalog), path)))
+
+
+def search_top(spark: SparkSession, d: str, query: str) -> DataFrame:
+    """The first page, from blocks of docs that can reach it."""
+    catalog = _catalog(spark, d)
+    return search.explore_top(catalog, _index(spark, d, catalog), _bounds(spark, d, catalog), query).withColumn("rank", F.round("rank", 6))
+
+
+def term_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The bounds of all blocks of the stored index."""
+    return _bounds(spark, d, _catalog(spark, d)).select("key", "col", "block", "df", F.inline("pairs"))
+
+
 def search_blank(spark: SparkSession, d: str) -> DataFrame:
     """A query of white space only: a page of all posts, for which no index is read."""
     return search.explore(_catalog(spark, d), None, BLANK)
@@ -478,10 +496,11 @@ QUERIES: dict[str, Query] = {
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
         category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, missing_ranges, dim_surrogate_keys, upsert_first_wins, status_machine,
-        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, term_stats, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
+        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, term_stats, term_blocks, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, log_commands, byte_range, blob_pieces, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,
     "search_page_deep": search_page_deep,
+    **{name: partial(search_top, query=SEARCHES[other][0]) for name, other in TOPS.items()},
     **{name: partial(explore, query=q, offset=o) for name, (q, o) in SEARCHES.items()},
 }

@@ -129,3 +129,39 @@ def test_near_groups_of_random_texts(spark):
     for query in ("a:NEAR(a b, 1) OR b:NEAR(c a, 0) OR zz", "NEAR(g h, 0) OR NEAR(c d, 0) OR gg", 'NEAR("a b" c "d e", 4) OR h'):
         want = {i for (i,) in con.execute("SELECT video_id FROM s WHERE s MATCH ?", (query + "*",))}
         assert {r.video_id for r in search.hits(index, query).collect()} == want, query
+
+
+def test_pages_from_bounds_of_blocks(spark, tmp_path):
+    """The page of all hits from few blocks, for every shape of query, with ties, posts that don't play and pages beyond the first."""
+    import random
+
+    from mediaquarry.operators.search import bounds
+
+    rng = random.Random(5)
+    words = ["the", "then", "theory", "themes", "theme", "cat", "dog", "rain", "sun", "of"]
+    docs = [(i, " ".join(rng.choices(words, [9, 4, 2, 1, 1, 5, 3, 2, 1, 8], k=rng.randint(1, 40))), rng.choice(["ann", "bob", "the"]), rng.choice(["art", "music"])) for i in range(1, 2001)]
+    # a few blocks have the docs in which a frequent token is most frequent
+    docs += [(i, "the the the sun" if i % 2 else "rain the the", "ann", "art") for i in range(4001, 4060)]
+    posts = [(i, 1, 1, 5, "y", f"/p/video_{i}.mp4" if i % 7 else None, "Harvested") for i, *_ in docs]
+    frame = spark.createDataFrame(docs, "video_id long, caption string, creator string, category string")
+    catalog = Catalog(spark.createDataFrame([(1, "now")], CATEGORIES), spark.createDataFrame([(1, "me")], CREATORS), spark.createDataFrame(posts, "video_id long, category_id long, creator_id long, likes long, caption string, local_video_path string, status string"), frame)
+    search.build(frame).write(str(tmp_path / "index"))
+    index = search.Index.read(spark, str(tmp_path / "index"))
+    search.write_bounds(index, str(tmp_path / "bounds"), 4)
+    stored = spark.read.parquet(str(tmp_path / "bounds")).cache()
+    for query, offset in [("the", 0), ("the", 30), ("them", 0), ("sun AND the", 0), ("the OR ra", 10), ("of NOT cat NOT the", 0), ("creator:the OR caption:su", 0), ("cat zzz", 0), ('"the cat" do', 0), ("^the", 0), ("the", 5000), ("{caption creator}:the", 0), ("\U0001f600", 0), ("the OR the", 0)]:
+        want = search.explore(catalog, index, query, offset).collect()
+        got = search.explore_top(catalog, index, stored, query, offset, bits=4).collect()
+        assert [r.id for r in got] == [r.id for r in want] and [r["rank"] for r in got] == pytest.approx([r["rank"] for r in want]), query
+    every = frame.selectExpr("video_id >> 4 AS block").distinct().count()
+    found, blocks = bounds.candidates(catalog, index, stored, "the", 10, 4, first=8)
+    assert blocks.count() < every / 4 and found.count() < search.hits(index, "the").count() / 4
+    # blocks that are too many to be named are joined
+    some = spark.range(0, 100).selectExpr("id AS block")
+    for named in (10, 1000):
+        assert bounds.within(index, some, 4, named).lengths.count() == sum(i < 1600 for i, *_ in docs)
+
+
+def test_bounds_of_no_docs(spark):
+    empty = search.build(spark.createDataFrame([], "video_id long, caption string, creator string, category string"))
+    assert search.block_bounds(empty).count() == 0
