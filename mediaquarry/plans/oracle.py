@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators.joblog import MODELS
-from .queries import BATCHES, BLOB_PIECE, CAPTIONS, RANGES, SEARCHES, TOPS
+from .queries import ASKED, BATCHES, BLOB_PIECE, CAPTIONS, RANGES, SEARCHES, TOPS
 
 _CATEGORIES = """
 categories AS (SELECT row_number() OVER (ORDER BY max(doc_id) DESC) AS id, lang AS name FROM documents GROUP BY lang),
@@ -170,6 +170,26 @@ FROM batches b JOIN categories c ON c.name = lang JOIN creators r ON r.name = so
     "pending_order": f"WITH {_POSTS}, {_QUEUE} SELECT video_id, row_number() OVER (ORDER BY rank NULLS LAST, video_id DESC) AS place FROM posts JOIN categories c ON c.id = category_id LEFT JOIN queue ON queue.category = c.name WHERE status = 'Metadata_Only'",
     "next_target": f"WITH {_POSTS}, {_QUEUE} SELECT video_id, CASE WHEN rank IS NULL THEN 'Global' ELSE c.name END AS target FROM posts JOIN categories c ON c.id = category_id LEFT JOIN queue ON queue.category = c.name WHERE status = 'Metadata_Only' ORDER BY rank NULLS LAST, video_id DESC LIMIT 1",
     "queue_left": f"WITH {_POSTS}, {_QUEUE} SELECT category, rank FROM queue WHERE category IN (SELECT c.name FROM posts JOIN categories c ON c.id = category_id WHERE status = 'Metadata_Only')",
+    "schedule_replay": f"""WITH RECURSIVE {_POSTS}, waiting AS (
+  SELECT category_id AS c, list(video_id ORDER BY video_id DESC) AS ids, count(*) AS n FROM posts WHERE status = 'Metadata_Only' GROUP BY category_id
+), lists AS (
+  SELECT list(coalesce(ids, []) ORDER BY id) AS ids, CAST(count(*) AS BIGINT) AS k, list(name ORDER BY id) AS names, sum(n) AS total FROM categories LEFT JOIN waiting ON c = id
+), log AS (
+  SELECT event_id AS seq, 0 AS c FROM events WHERE event_type = 'view'
+  UNION ALL SELECT event_id, id FROM events JOIN categories ON id % {ASKED} = user_id % {ASKED + 1} AND id % {ASKED} > 0 WHERE event_type = 'signup'
+), steps AS (
+  SELECT *, row_number() OVER (ORDER BY seq) AS i, CAST(sum(CASE WHEN c = 0 THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS BIGINT) AS place FROM log QUALIFY place <= (SELECT total FROM lists)
+), run(i, seq, place, asked, taken, best) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), list_transform(range(k), lambda x: CAST(0 AS BIGINT)), list_transform(range(k), lambda x: CAST(0 AS BIGINT)), CAST(NULL AS BIGINT[]) FROM lists
+  UNION ALL
+  SELECT i, seq, place, list_transform(range(1, k + 1), lambda x: CASE WHEN x = c THEN seq + 1 ELSE asked[x] END), list_transform(range(1, k + 1), lambda x: taken[x] + CASE WHEN x = best[3] THEN 1 ELSE 0 END), best
+  FROM (
+    SELECT s.i, s.seq, s.place, s.c, k, asked, taken,
+           CASE WHEN s.c = 0 THEN list_max(list_transform(list_filter(range(1, k + 1), lambda x: taken[x] < len(ids[x])), lambda x: [asked[x], ids[x][taken[x] + 1], x])) END AS best
+    FROM run r JOIN steps s ON s.i = r.i + 1, lists
+  )
+)
+SELECT seq, place, best[2] AS video_id, CASE WHEN best[1] = 0 THEN 'Global' ELSE names[best[3]] END AS target FROM run, lists WHERE best IS NOT NULL""",
     "corpus_stats": f"WITH {_TOKENS} SELECT CAST(n_docs AS BIGINT) AS n_docs, CAST(n_tokens AS BIGINT) AS n_tokens FROM stats",
     "term_stats": f"WITH {_TOKENS} SELECT token, col, CAST(count(DISTINCT video_id) AS BIGINT) AS df, CAST(count(*) AS BIGINT) AS cf FROM postings GROUP BY token, col",
     "term_blocks": f"""WITH {_TOKENS}, keys AS (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blobs
 from ..functions import text as X
-from ..operators import browse, captions, joblog, schedule, search, state, sync
+from ..operators import browse, captions, joblog, replay, schedule, search, state, sync
 from ..operators.increments import CatalogStore
 from ..sources import appendlog, ranged, storage, tables
 from ..streaming import fifo
@@ -138,6 +138,10 @@ def category_list(spark: SparkSession, d: str) -> DataFrame:
     return browse.category_names(_catalog(spark, d))
 
 
+#: Categories are asked for by their ids' rest in this many; those of rest 0 aren't.
+ASKED = 4
+
+
 def requests(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, "de"), (2, "fr"), (3, "de"), (4, ""), (5, browse.ALL)], "seq int, category string")
 
@@ -290,6 +294,20 @@ def queue_left(spark: SparkSession, d: str) -> DataFrame:
     return schedule.queue_left(schedule.queue(requests(spark)), c.posts, c.categories)
 
 
+def schedule_replay(spark: SparkSession, d: str) -> DataFrame:
+    """What each free downloader took while sign-ups asked for categories, of which one is never asked for."""
+    c, e = _catalog(spark, d), tables.table(spark, d, "events")
+    names = c.categories.select((F.col("id") % ASKED).alias("k"), F.col("name").alias("category"))
+    asked = e.filter("event_type = 'signup'").select(F.col("event_id").alias("seq"), (F.col("user_id") % (ASKED + 1)).alias("k"))
+    requests = asked.join(names.filter("k > 0"), "k").select("seq", "category")
+    fetches = e.filter("event_type = 'view'").select(F.col("event_id").alias("seq"))
+
+    def write(path: str) -> None:
+        replay.replay(c.posts, c.categories, requests, fetches, f"{path}/run").write.parquet(f"{path}/rows")
+
+    return spark.read.parquet(f"{_stored(spark, d, 'replay', write)}/rows")
+
+
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
     return search.index.statistics(_index(spark, d, _catalog(spark, d)))
 
@@ -496,7 +514,7 @@ QUERIES: dict[str, Query] = {
     "playlist_category": partial(playlist, category="de"),
     **{f.__name__: f for f in (
         category_list, category_menu_order, caption_parse, caption_quirks, held_counts, media_filter, missing_ids, missing_chunks, missing_ranges, dim_surrogate_keys, upsert_first_wins, status_machine,
-        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, corpus_stats, term_stats, term_blocks, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
+        sync_catalog, sync_docs, sync_increment, browse_segments, search_segments, pending_order, next_target, queue_left, schedule_replay, corpus_stats, term_stats, term_blocks, dedup_gate, dedup_gate_stream, queue_depth_replay, queue_final, queue_depth_stream, fifo_match, fifo_match_stream,
         set_replay, gate_audit, queue_json_decode, queue_json_encode, registry_dispatch, codec_route, log_filter, log_shapes, log_commands, byte_range, blob_pieces, ui_row_format, time_format, scalar_functions,
     )},
     "search_blank": search_blank,
