@@ -18,9 +18,12 @@ the chunks with the model, those of the others meet their documents by a join,
 in which a word has fewer rows than a frequent one has tokens; what they add to
 a document's scores are sums.  Every Baum-Welch round adds
 expected counts over the training documents of all chunks, by class.  The start
-is a model of a sample: ``FIRST_ROUNDS`` rounds over at most ``FIRST_TOKENS``
-tokens of training documents picked by a hash.  Only the model, whose size is
-bounded, comes to the driver.
+comes from all of them too: one pass counts the pairs of neighbouring tokens by
+``COARSE`` groups of classes (the most frequent words, other words by their
+ending, the end), and ``FIRST_ROUNDS`` rounds fit transitions and emissions to
+these counts, in which a group's classes share what it emits by their counts.
+Only the counts of pairs and the model, whose sizes are bounded, come to the
+driver.
 
 The scores depend on the documents, not on how rows are stored, but for the
 order in which doubles are added.
@@ -35,6 +38,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -52,15 +56,17 @@ STATES, ENDINGS, ENDING = 8, 4_096, 3
 CHUNK, GROUP = 400_000, 100_000
 #: Tokens whose forward rows are held at once, and bytes of a text that are parted into words at once.
 STRETCH, PIECE = 1 << 17, 1 << 20
-FIRST_ROUNDS, ROUNDS = 12, 2
-#: The sample of the first model: tokens, documents, and the longest of them in code points.
-FIRST_TOKENS, FIRST_DOCS, FIRST_CHARS = 400_000, 4_096, 40_000
+#: Positions from one scaling of forward rows to the next; a probability of 1e-30 at each of them is far from underflow.
+SCALED = 8
+FIRST_ROUNDS, ROUNDS = 200, 2
+#: Groups of classes whose pairs are counted for the first model, and tokens whose pairs are added at once.
+COARSE, FIRST_TOKENS = 512, 400_000
 #: Counts that the overall class distribution, and even transitions, weigh in the model.
 EMISSION_PRIOR, TRANSITION_PRIOR = 500.0, 1.0
 
 _WHITE = re.compile(rb"[\x20\x09-\x0d]")
 
-CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, counts binary, n_words long, n_train long"
+CHUNKS = "chunk long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, endings binary, counts binary, n_words long, n_train long"
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -102,9 +108,10 @@ def chunk_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         sizes = np.array([len(p) for p in parts], np.int64)
         train = np.repeat(~np.array(held, bool), sizes)
         counts = np.bincount(tokens[train], minlength=len(local))
+        endings = np.fromiter(map(ending_class, local), "<u2", len(local))
         n_train = int(train.sum()) + held.count(False)
-        columns = [[first], [ids], [held], [_planes(sizes)], [_planes(tokens)], [b" ".join(local)], [counts.astype("<i8").tobytes()], [len(local)], [n_train]]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4, pa.int64(), pa.int64()]
+        columns = [[first], [ids], [held], [_planes(sizes)], [_planes(tokens)], [b" ".join(local)], [endings.tobytes()], [counts.astype("<i8").tobytes()], [len(local)], [n_train]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     for batch in batches:
@@ -142,9 +149,19 @@ class Classes:
         self.end = self.n + ENDINGS
         self.size = self.end + 1
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known, n = self.number.get, self.n
-        return np.fromiter((i if (i := known(w)) is not None else n + ending_class(w) for w in words), np.int64, len(words))
+    def coarse(self) -> np.ndarray:
+        """The group of each class: the first words, in their order, are groups of their own, and so is the end, the last."""
+        own = min(self.n, COARSE // 2)
+        endings = np.r_[np.fromiter(map(ending_class, self.number), np.int64, self.n), np.arange(ENDINGS)]
+        groups = np.append(own + endings % (COARSE - 1 - own), COARSE - 1)
+        groups[:own] = np.arange(own)
+        return groups
+
+    def of(self, words: list[bytes], endings: np.ndarray | None = None) -> np.ndarray:
+        """``endings``: the words' classes by ending, if they are known."""
+        endings = np.fromiter(map(ending_class, words), np.int64, len(words)) if endings is None else endings
+        known = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        return np.where(known < 0, self.n + endings.astype(np.int64), known)
 
 
 class Chunk:
@@ -155,7 +172,7 @@ class Chunk:
         self.held = np.array(row["held"], bool)
         self.doc_ids = row["doc_ids"]
         self.words = _words(row["words"])
-        self.word_class = classes.of(self.words)
+        self.word_class = classes.of(self.words, np.frombuffer(row["endings"], "<u2"))
         self.tokens = _numbers(row["tokens"])
         self.sizes, self.end = sizes, classes.end
         self.starts = np.r_[0, np.cumsum(sizes)[:-1]]
@@ -168,6 +185,19 @@ class Chunk:
         number = (np.cumsum(self.sizes[docs] + 1) - 1) // GROUP
         return np.split(docs, np.flatnonzero(np.diff(number)) + 1)
 
+    def narrowed(self) -> np.ndarray:
+        """The classes that occur, in order; from now on a class is its place among them."""
+        seen = np.zeros(self.end + 1, bool)
+        seen[self.word_class] = seen[self.end] = True
+        present = np.flatnonzero(seen)
+        self.word_class, self.end = (np.cumsum(seen) - 1)[self.word_class], len(present) - 1
+        return present
+
+    def training(self) -> np.ndarray:
+        """The classes of the training documents' tokens, one document after the other, each with its end."""
+        train = ~self.held
+        return np.insert(self.word_class[self.tokens[np.repeat(train, self.sizes)]], np.cumsum(self.sizes[train]), self.end)
+
     def sequences(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of some documents: their order, how many go on at each position, and classes by position then document."""
         if len(docs) == 1:
@@ -176,12 +206,13 @@ class Chunk:
         order = docs[np.argsort(-self.sizes[docs], kind="stable")]
         lengths = self.sizes[order] + 1
         going = len(order) - np.searchsorted(lengths[::-1], np.arange(lengths[0] if len(order) else 0), side="right")
-        at = np.repeat(np.arange(len(order)), lengths)
-        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        last = position == lengths[at] - 1
-        classes = np.full(len(at), self.end)
-        classes[~last] = self.word_class[self.tokens[(self.starts[order][at] + position)[~last]]]
-        return order, going, classes[np.argsort(position, kind="stable")]
+        rows, sizes = np.r_[0, np.cumsum(going)], self.sizes[order]
+        doc = np.repeat(np.arange(len(order)), sizes)
+        position = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        classes = np.full(rows[-1], self.end)
+        # at a position the documents that go on come in their order
+        classes[rows[position] + doc] = self.word_class[self.tokens[self.starts[order][doc] + position]]
+        return order, going, classes
 
 
 class Model:
@@ -195,26 +226,41 @@ class Model:
         total = np.zeros(going[0] if len(going) else 0)
         at = 0
         state = None
-        for n in going.tolist():
-            seen = self.emit[classes[at : at + n]]
-            state = (self.start if state is None else state[:n] @ self.move) * seen
-            scale = state.sum(axis=1)
-            state /= scale[:, None]
-            total[:n] += np.log(scale)
+        for i, n in enumerate(going.tolist()):
+            seen = self.emit.take(classes[at : at + n], axis=0)
+            if state is None:
+                state = self.start * seen
+            else:
+                if n < len(state):
+                    total[n : len(state)] += np.log(state[n:].sum(axis=1))
+                state = state[:n] @ self.move
+                state *= seen
+            if i % SCALED == SCALED - 1:
+                scale = state.sum(axis=1)
+                state /= scale[:, None]
+                total[:n] += np.log(scale)
             at += n
+        if state is not None:
+            total[: len(state)] += np.log(state.sum(axis=1))
         return total
 
-    def _forward(self, state: np.ndarray | None, going: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of some positions, after ``state`` of the one before: the scaled forward rows, and the emissions by the same scales."""
-        seen = self.emit[classes]
+    def _forward(self, state: np.ndarray | None, first: int, going: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the positions from ``first`` on, after ``state`` of the one before: the forward rows, scaled now and then, and the emissions by the same scales."""
+        seen = self.emit.take(classes, axis=0)
         ahead = np.empty_like(seen)
         at = 0
-        for n in going.tolist():
-            state = (self.start if state is None else state[:n] @ self.move) * seen[at : at + n]
-            scale = state.sum(axis=1, keepdims=True)
-            state /= scale
-            ahead[at : at + n] = state
-            seen[at : at + n] /= scale
+        for i, n in enumerate(going.tolist(), first):
+            here, emitted = ahead[at : at + n], seen[at : at + n]
+            if state is None:
+                here[:] = self.start
+            else:
+                np.matmul(state[:n], self.move, out=here)
+            here *= emitted
+            if i % SCALED == SCALED - 1:
+                scale = here.sum(axis=1, keepdims=True)
+                here /= scale
+                emitted /= scale
+            state = here
             at += n
         return ahead, seen
 
@@ -223,7 +269,9 @@ class Model:
 
         The way ahead keeps the row before each stretch of about ``STRETCH``
         tokens; the way back finds the rows of one stretch anew, so memory
-        beside the classes is bounded for a sequence of any length.
+        beside the classes is bounded for a sequence of any length.  The way
+        back begins with one over the sum of a sequence's last forward row, so
+        that products of both ways are probabilities.
         """
         states = len(self.start)
         rows = np.r_[0, np.cumsum(going)]
@@ -232,33 +280,43 @@ class Model:
         before, state, made = [], None, None
         for first, end in spans:
             before.append(state)
-            made = self._forward(state, going[first:end], classes[rows[first] : rows[end]])
+            made = self._forward(state, first, going[first:end], classes[rows[first] : rows[end]])
             state = made[0][rows[end - 1] - rows[first] :].copy()
         started, moved, emitted = np.zeros(states), np.zeros((states, states)), []
-        back = np.ones((0, states))
+        back, turned = np.ones((0, states)), np.ascontiguousarray(self.move.T)
         for (first, end), state in zip(reversed(spans), reversed(before), strict=True):
             some, seen = going[first:end], classes[rows[first] : rows[end]]
-            ahead, into = made or self._forward(state, some, seen)
+            ahead, into = made or self._forward(state, first, some, seen)
             made = None
             weighed = np.empty_like(into)
-            at = len(into)
-            for n in reversed(some.tolist()):
-                at -= n
-                here = weighed[at : at + n]
-                here[: len(back)] = back
-                here[len(back) :] = 1
-                back = (into[at : at + n] * here) @ self.move.T
-            into *= weighed
+            at, sizes = len(into) - some[-1], some.tolist()
+            weighed[at : at + len(back)] = back
+            more = len(back)
+            for i in range(len(sizes) - 1, -1, -1):
+                n = sizes[i]
+                if more < n:
+                    weighed[at + more : at + n] = 1 / ahead[at + more : at + n].sum(axis=1, keepdims=True)
+                here = into[at : at + n]
+                here *= weighed[at : at + n]
+                if i:
+                    at -= sizes[i - 1]
+                    np.matmul(here, turned, out=weighed[at : at + n])
+                else:
+                    back = here @ turned
+                more = n
             if state is not None:
                 moved += state[: some[0]].T @ into[: some[0]]
             source = np.arange(some[0], len(into)) - np.repeat(some[:-1], some[1:])
             for at in range(0, len(source), 1 << 15):
                 part = source[at : at + (1 << 15)]
-                moved += ahead[part].T @ into[some[0] + at : some[0] + at + len(part)]
+                moved += ahead.take(part, axis=0).T @ into[some[0] + at : some[0] + at + len(part)]
             ahead *= weighed
             if state is None:
                 started = ahead[: some[0]].sum(axis=0)
-            present, place = np.unique(seen, return_inverse=True)
+            present = np.flatnonzero(np.bincount(seen))
+            place = np.empty(present[-1] + 1, np.int64)
+            place[present] = np.arange(len(present))
+            place = place[seen]
             emitted.append((present, np.stack([np.bincount(place, weights=ahead[:, s], minlength=len(present)) for s in range(states)], axis=1)))
         return started, moved * self.move, emitted
 
@@ -279,18 +337,30 @@ def estimated(start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Model:
     return Model((start + 1) / (start.sum() + states), (move + TRANSITION_PRIOR) / (move.sum(axis=1, keepdims=True) + TRANSITION_PRIOR * states), shared / shared.sum(axis=0))
 
 
-def first_model(chunk: Chunk | None, classes: Classes, states: int, rounds: int) -> Model:
-    """A model from one chunk, begun with states that last and that differ at random."""
-    rng = np.random.default_rng(0)
-    emit = rng.gamma(2.0, size=(classes.size, states))
-    model = Model(np.full(states, 1 / states), np.full((states, states), 0.1 / states) + 0.9 * np.eye(states), emit / emit.sum(axis=0))
-    train = np.flatnonzero(~chunk.held) if chunk is not None else []
-    if not len(train):
-        return Model(model.start, np.full((states, states), 1 / states), np.full((classes.size, states), 1 / classes.size))
-    _, going, observed = chunk.sequences(train)
+def first_model(pairs: np.ndarray, groups: np.ndarray, weights: np.ndarray, states: int, rounds: int) -> Model:
+    """A model fitted to ``pairs``, how often a group follows another in a ring of each document; ``groups`` and ``weights`` are by class.
+
+    Begun with emissions that differ at random.  A pair's probability is a sum
+    over pairs of states, and each round divides its count among them.
+    """
+    n, rng = pairs.sum(), np.random.default_rng(0)
+    if not n:
+        return Model(np.full(states, 1 / states), np.full((states, states), 1 / states), np.full((len(groups), states), 1 / len(groups)))
+    emit = rng.gamma(2.0, size=(len(pairs), states)) * pairs.sum(axis=1)[:, None]
+    emit /= emit.sum(axis=0)
+    both = (np.full((states, states), 0.9 / states) + 0.1 * np.eye(states)) / states
     for _ in range(rounds):
-        model = estimated(*model.expected(going, observed))
-    return model
+        chance = emit @ both @ emit.T
+        ratio = np.divide(pairs, chance, out=np.zeros_like(chance), where=(pairs > 0) & (chance > 0))
+        shared = emit * (ratio @ (emit @ both.T) + ratio.T @ (emit @ both))
+        both *= emit.T @ ratio @ emit
+        both /= both.sum()
+        emit = shared / np.maximum(shared.sum(axis=0), np.finfo(float).tiny)
+    share = both.sum(axis=1)
+    end = emit[-1] * share
+    start = end / end.sum() @ (both / np.maximum(share[:, None], np.finfo(float).tiny)) * pairs[-1].sum()
+    whole = np.bincount(groups, weights=weights, minlength=len(pairs))
+    return estimated(start, both * n, (emit * share * n)[groups] * (weights / whole[groups])[:, None])
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -298,34 +368,61 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: c[i].as_py() for n, c in zip(batch.schema.names, batch.columns, strict=True)}
 
 
-def one_round(chunks: DataFrame, classes, model: Model, size: int) -> Model:
-    """Baum-Welch counts over the training documents of all chunks, added by class."""
-    spark = chunks.sparkSession
-    sent = spark.sparkContext.broadcast(model)
-    states = len(model.start)
+def _added(chunks: DataFrame, add, rows: int, columns: int) -> np.ndarray:
+    """The sum over all chunks of what ``add`` adds to a table for each, of ``rows`` by ``columns``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for row in _rows(batch):
-                chunk = Chunk(row, classes.value)
-                for docs in chunk.groups(np.flatnonzero(~chunk.held)):
-                    _, going, observed = chunk.sequences(docs)
-                    started, moved, emitted = sent.value.counts(going, observed)
-                    total = np.zeros((1 + states + size, states)) if total is None else total
-                    total[0] += started
-                    total[1 : 1 + states] += moved
-                    for present, n in emitted:
-                        total[1 + states + present] += n
+                total = np.zeros((rows, columns)) if total is None else total
+                add(row, total)
         if total is not None:
             at = np.flatnonzero(total.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[at, s]) for s in range(states))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(total[at, s]) for s in range(columns))], names)
 
-    names = ["at", *(f"s{s}" for s in range(states))]
-    parts = chunks.mapInArrow(run, "at int, " + ", ".join(f"{n} double" for n in names[1:]))
+    names = ["at", *(f"s{s}" for s in range(columns))]
+    parts = chunks.select("doc_ids", "held", "sizes", "tokens", "words", "endings").mapInArrow(run, "at int, " + ", ".join(f"{n} double" for n in names[1:]))
     sums = parts.groupBy("at").agg(*(F.sum(n).alias(n) for n in names[1:])).toArrow()
-    total = np.zeros((1 + states + size, states))
+    total = np.zeros((rows, columns))
     total[sums.column("at").to_numpy()] = np.stack([sums.column(n).to_numpy() for n in names[1:]], axis=1) if sums.num_rows else 0
+    return total
+
+
+def pair_counts(chunks: DataFrame, classes, groups: np.ndarray) -> np.ndarray:
+    """How often, over the training documents of all chunks, a group follows another; a document's first token follows an end."""
+    sent = chunks.sparkSession.sparkContext.broadcast(groups)
+
+    def add(row: dict, total: np.ndarray) -> None:
+        seen = sent.value[Chunk(row, classes.value).training()]
+        flat = total.reshape(-1)
+        before = COARSE - 1
+        for at in range(0, len(seen), FIRST_TOKENS):
+            part = seen[at : at + FIRST_TOKENS]
+            flat += np.bincount(np.r_[before, part[:-1]] * COARSE + part, minlength=len(flat))
+            before = part[-1]
+
+    return _added(chunks, add, COARSE * COARSE // 8, 8).reshape(COARSE, COARSE)
+
+
+def one_round(chunks: DataFrame, classes, model: Model, size: int) -> Model:
+    """Baum-Welch counts over the training documents of all chunks, added by class."""
+    sent = chunks.sparkSession.sparkContext.broadcast(model)
+    states = len(model.start)
+
+    def add(row: dict, total: np.ndarray) -> None:
+        chunk = Chunk(row, classes.value)
+        present = chunk.narrowed()
+        own = Model(sent.value.start, sent.value.move, sent.value.emit[present])
+        for docs in chunk.groups(np.flatnonzero(~chunk.held)):
+            _, going, observed = chunk.sequences(docs)
+            started, moved, emitted = own.counts(going, observed)
+            total[0] += started
+            total[1 : 1 + states] += moved
+            for found, n in emitted:
+                total[1 + states + present[found]] += n
+
+    total = _added(chunks, add, 1 + states + size, states)
     return estimated(total[0], total[1 : 1 + states], total[1 + states :])
 
 
@@ -355,7 +452,7 @@ def rare_sums(chunks: DataFrame, counts: DataFrame, classes) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 words, tokens, sizes = _words(row["words"]), _numbers(row["tokens"]), _numbers(row["sizes"])
-                rare = np.fromiter((w not in classes.value.number for w in words), bool, len(words))
+                rare = ~np.fromiter(map(classes.value.number.__contains__, words), bool, len(words))
                 doc = np.repeat(np.arange(len(sizes)), sizes)[rare[tokens]] if len(tokens) else tokens
                 pairs, n = np.unique(doc * max(1, len(words)) + tokens[rare[tokens]] if len(tokens) else tokens, return_counts=True)
                 doc, word = np.divmod(pairs, max(1, len(words)))
@@ -366,16 +463,6 @@ def rare_sums(chunks: DataFrame, counts: DataFrame, classes) -> DataFrame:
     return found.join(counts, "word").groupBy("u").agg(F.sum(F.col("m") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("m").alias("known"))
 
 
-def start_chunk(rows: DataFrame, n_train: int, classes: Classes) -> Chunk | None:
-    """Training documents picked by a hash of id and text, in its order, up to ``FIRST_TOKENS`` tokens."""
-    spread, h = 1 << 30, F.xxhash64("doc_id", "text")
-    share = min(1.0, 2 * FIRST_TOKENS / max(1, n_train))
-    some = rows.filter(~F.col("held") & (F.coalesce(F.length("text"), F.lit(0)) <= FIRST_CHARS) & (F.pmod(h, F.lit(spread)) < int(share * spread)))
-    drawn = some.orderBy(F.pmod(h, F.lit(spread)), "doc_id", "text").limit(FIRST_DOCS).toArrow().combine_chunks()
-    made = next(chunk_rows(iter(drawn.to_batches()), FIRST_TOKENS), None)
-    return None if made is None else Chunk(next(_rows(made)), classes)
-
-
 def document_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, parts: int = 7, rest: int = 2, own_words: int = OWN_WORDS) -> DataFrame:
     """The contract's columns for each row of ``docs``; those whose id leaves ``rest`` are held out."""
     ready(docs.sparkSession)
@@ -395,11 +482,11 @@ def _scored(rows: DataFrame, states: int, rounds: int, own_words: int) -> DataFr
     own_counts = frequent.column("n").to_numpy().astype(np.int64)
     classes = spark.sparkContext.broadcast(own_classes)
     room = _room(counts, classes)
-    chunk = start_chunk(rows, n_train, own_classes)
-    model = first_model(chunk, own_classes, states, FIRST_ROUNDS)
+    groups = own_classes.coarse()
+    model = first_model(pair_counts(chunks, classes, groups), groups, np.r_[own_counts, room, n_docs], states, FIRST_ROUNDS)
     if n_docs:
         for _ in range(rounds):
-            model = one_round(chunks.select("doc_ids", "held", "sizes", "tokens", "words"), classes, model, own_classes.size)
+            model = one_round(chunks, classes, model, own_classes.size)
     sent = spark.sparkContext.broadcast((model, np.log10(room), np.log10(own_counts + 1.0)))
     end_count, ten, whole = n_docs, np.log(10.0), np.log10(n_train + 1.0 * (distinct + 1))
 
@@ -409,15 +496,17 @@ def _scored(rows: DataFrame, states: int, rounds: int, own_words: int) -> DataFr
             for row in _rows(batch):
                 chunk = Chunk(row, classes.value)
                 group, docs = chunk.word_class - classes.value.n, len(chunk.sizes)
+                present = chunk.narrowed()
+                narrow = Model(model.start, model.move, model.emit[present])
                 doc = np.repeat(np.arange(docs), chunk.sizes)
                 add = lambda x, doc=doc, chunk=chunk, docs=docs: np.bincount(doc, weights=x[chunk.tokens], minlength=docs)
                 frequent = group < 0
                 counted = np.zeros(len(group))
-                counted[frequent] = own[chunk.word_class[frequent]]
+                counted[frequent] = own[group[frequent] + classes.value.n]
                 score = np.zeros(docs)
                 for some in chunk.groups(np.arange(docs)):
                     order, going, observed = chunk.sequences(some)
-                    score[order] = model.scores(going, observed) / ten
+                    score[order] = narrow.scores(going, observed) / ten
                 score -= add(np.where(frequent, 0.0, room[np.maximum(group, 0)]))
                 # the end is a token of every document
                 base = add(counted) + np.log10(end_count + 1.0) - (chunk.sizes + 1) * whole

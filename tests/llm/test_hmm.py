@@ -133,6 +133,56 @@ def test_the_layout_of_the_input_is_of_no_account(spark, monkeypatch):
     assert one == pytest.approx(five, abs=1e-6)
 
 
+@pytest.mark.parametrize("tokens", [3, 400_000])
+def test_the_start_counts_pairs_of_all_training_documents(spark, monkeypatch, tokens):
+    """Of every training document, long ones too, whatever is added at once; none is left to a sample."""
+    monkeypatch.setattr(hmm, "COARSE", 16)
+    monkeypatch.setattr(hmm, "FIRST_TOKENS", tokens)
+    texts = ["a b a", None, "", "b c " * 25_000, *(f"a w{i} b" for i in range(40))]
+    held = [i % 5 == 4 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, i, h, t) for i, (h, t) in enumerate(zip(held, texts, strict=True))], "u long, doc_id long, held boolean, text string").repartition(3)
+    chunks = df.mapInArrow(lambda b: hmm.chunk_rows(b, 100), hmm.CHUNKS)
+    classes = hmm.Classes([b"b", b"a", b"c"])
+    groups = classes.coarse()
+    got = hmm.pair_counts(chunks, spark.sparkContext.broadcast(classes), groups)
+    want = np.zeros((16, 16))
+    for h, text in zip(held, texts, strict=True):
+        seen = [15, *groups[classes.of(hmm.tokens_of(text))].tolist(), 15]
+        for pair in zip(seen, seen[1:], strict=False) if not h else ():
+            want[pair] += 1
+    assert (got == want).all() and want.sum() > 40_000
+
+
+def test_the_start_fits_its_pairs():
+    """More rounds fit counts of pairs better, and its parts are probabilities."""
+    rng = np.random.default_rng(0)
+    classes = hmm.Classes([b"w%d" % i for i in range(20)])
+    groups = classes.coarse()
+    pairs = rng.poisson(5, (hmm.COARSE, hmm.COARSE)) * (np.add.outer(np.arange(hmm.COARSE), np.arange(hmm.COARSE)) % 2)
+    fits = []
+    for rounds in (1, 5, 50):
+        m = hmm.first_model(pairs, groups, np.ones(classes.size), 3, rounds)
+        for x in (m.start[None], m.move, m.emit.T):
+            assert (x > 0).all() and x.sum(axis=1) == pytest.approx(1)
+        coarse = np.stack([np.bincount(groups, weights=m.emit[:, s], minlength=hmm.COARSE) for s in range(3)], axis=1)
+        share = np.linalg.matrix_power(m.move, 200)[0]
+        fits.append((pairs * np.log(np.maximum(coarse @ (share[:, None] * m.move) @ coarse.T, 1e-300))).sum())
+    assert fits == sorted(fits)
+
+
+def test_scaling_now_and_then_loses_nothing(small, monkeypatch):
+    """Long sequences of rare classes: the scores and counts of scaling at each position."""
+    classes, model, _, _ = small
+    model = hmm.Model(model.start, model.move, model.emit * 1e-25)
+    chunk = chunk_of(["a b zzz c " * 50, "b a", "c " * 7, ""], classes)
+    _, going, observed = chunk.sequences(np.arange(4))
+    got = model.scores(going, observed), model.expected(going, observed)
+    monkeypatch.setattr(hmm, "SCALED", 1)
+    assert got[0] == pytest.approx(model.scores(going, observed), rel=1e-12)
+    for x, y in zip(got[1], model.expected(going, observed), strict=True):
+        assert x == pytest.approx(y) and np.isfinite(x).all()
+
+
 def test_more_words_have_a_class_of_their_own_the_larger_the_input():
     assert hmm.frequent_from(10) == hmm.frequent_from(hmm.SEEN_AT) == hmm.SEEN
     assert [n / hmm.frequent_from(n) for n in (10**7, 10**9, 10**12)] == sorted(n / hmm.frequent_from(n) for n in (10**7, 10**9, 10**12))
