@@ -26,14 +26,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def write_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+#: Options of Parquet for tables with rows of some MB: row groups of 4 MB or one row; by default at least a hundred rows are in a page.
+LARGE_ROWS = {"parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
+
+
+def write_table(df: DataFrame, name: str, by: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder, perhaps in a folder for each value of ``by``, and read it back.
 
-    This cuts the lineage; the files outlive lost executors.
+    This cuts the lineage; the files outlive lost executors.  ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.partitionBy(by) if by else df.write
+    writer = (df.write.partitionBy(by) if by else df.write).options(**(options or {}))
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import ready, result, sliced, write_table
+from ._store import LARGE_ROWS, ready, result, sliced, write_table
 from .toxicity import held_out
 
 #: The most words with a class of their own, the count that makes one, and training tokens from which that count grows.
@@ -84,12 +84,16 @@ def pieces_of(data: bytes) -> Iterator[list[bytes]]:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers as four runs of bytes, which compress better."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Unsigned 32-bit numbers as runs of bytes, which compress better, after the number of runs: as many as the largest takes."""
+    runs = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([runs]) + x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:runs].tobytes()
 
 
 def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    runs = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    whole = np.zeros((runs.shape[1], 4), np.uint8)
+    whole[:, : data[0]] = runs.T
+    return whole.view("<u4").ravel().astype(np.int64)
 
 
 class _Local(dict):
@@ -110,7 +114,7 @@ def chunk_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         counts = np.bincount(tokens[train], minlength=len(local))
         endings = np.fromiter(map(ending_class, local), "<u2", len(local))
         n_train = int(train.sum()) + held.count(False)
-        columns = [[first], [ids], [held], [_planes(sizes)], [_planes(tokens)], [b" ".join(local)], [endings.tobytes()], [counts.astype("<i8").tobytes()], [len(local)], [n_train]]
+        columns = [[first], [ids], [held], [_planes(sizes)], [_planes(tokens)], [b" ".join(local)], [endings.tobytes()], [_planes(counts)], [len(local)], [n_train]]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 5, pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -132,6 +136,15 @@ def chunk_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Reco
         yield out()
 
 
+def stored_chunks(rows: DataFrame) -> DataFrame:
+    """The chunks of rows (u, doc_id, held, text) as a table.
+
+    A chunk is a few MB in one row.  Parquet's and so Spark's buffers hold the
+    rows of a row group at once; by default that is all chunks of a task.
+    """
+    return write_table(rows.mapInArrow(lambda b: chunk_rows(sliced(b), CHUNK), CHUNKS), "chunks", options=LARGE_ROWS)
+
+
 def _words(blob: bytes) -> list[bytes]:
     return blob.split(b" ") if blob else []
 
@@ -437,7 +450,7 @@ def word_counts(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in _rows(batch):
-                counts = np.frombuffer(row["counts"], "<i8")
+                counts = _numbers(row["counts"])
                 words = pa.array(_words(row["words"]), pa.binary())
                 yield pa.RecordBatch.from_arrays([words, pa.array(counts)], ["word", "n"]).filter(pa.array(counts > 0))
 
@@ -472,7 +485,7 @@ def document_scores(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS,
 
 def _scored(rows: DataFrame, states: int, rounds: int, own_words: int) -> DataFrame:
     spark = rows.sparkSession
-    chunks = write_table(rows.mapInArrow(lambda b: chunk_rows(sliced(b), CHUNK), CHUNKS), "chunks")
+    chunks = stored_chunks(rows)
     size = chunks.agg(F.sum("n_train").alias("n"), F.count("*").alias("chunks"), F.sum(F.size(F.filter("held", lambda h: ~h))).alias("docs")).first()
     n_train, n_docs = size.n or 0, size.docs or 0
     counts = write_table(word_counts(chunks), "counts")

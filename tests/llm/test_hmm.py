@@ -5,7 +5,9 @@ from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from mediaquarry.llm import hmm
 
@@ -109,6 +111,26 @@ def test_numbers_survive():
     assert hmm._numbers(hmm._planes(x)).tolist() == x.tolist() and len(hmm._numbers(hmm._planes(x[:0]))) == 0
 
 
+def test_chunks_are_stored_in_small_row_groups(spark, monkeypatch):
+    """A reader holds a row group's rows at once: some MB, not all chunks of a task."""
+    monkeypatch.setattr(hmm, "CHUNK", 1)
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(120_000)), lambda i: F.concat(F.lit("w"), i * 8 + F.col("u"))))
+    rows = spark.range(8, numPartitions=1).withColumnRenamed("id", "u").select("u", F.col("u").alias("doc_id"), F.lit(False).alias("held"), text.alias("text"))
+    chunks = hmm.stored_chunks(rows)
+    (file,) = chunks.inputFiles()
+    stored = pq.ParquetFile(file.removeprefix("file:").replace("///", "/")).metadata
+    sizes = [stored.row_group(i).total_byte_size for i in range(stored.num_row_groups)]
+    assert sum(sizes) > 9_000_000 and max(sizes) < 5_000_000
+    found = {r.chunk: (r.n_words, r.n_train, hmm._numbers(r.counts).tolist()) for r in chunks.collect()}
+    assert found == dict.fromkeys(range(8), (120_001, 120_002, [1] * 120_001))
+
+
+def test_numbers_take_the_bytes_that_they_need():
+    for most, runs in ((0, 1), (255, 1), (256, 2), (94_000, 3), ((1 << 32) - 1, 4)):
+        x = np.array([0, 7 % (most + 1), most] * 100)
+        assert hmm._numbers(hmm._planes(x)).tolist() == x.tolist() and len(hmm._planes(x)) == 1 + runs * len(x)
+
+
 def check_base(docs, rows):
     counts, tokens = collections.Counter(), {}
     for i, text in docs:
