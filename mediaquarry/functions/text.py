@@ -126,7 +126,8 @@ _MARKED, _BASE = _single_marks()
 
 def folded(x: Column) -> Column:
     """Lower case, without the mark of letters that have one."""
-    return F.regexp_replace(F.translate(F.lower(x), _MARKED, _BASE), "[̀-ͯ]", "")
+    plain = F.octet_length(x) == F.char_length(x)
+    return F.when(plain, F.lower(x)).otherwise(F.regexp_replace(F.translate(F.lower(x), _MARKED, _BASE), "[̀-ͯ]", ""))
 
 
 def search_tokens(x: Column) -> Column:
@@ -134,6 +135,12 @@ def search_tokens(x: Column) -> Column:
     return F.regexp_extract_all(folded(x), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), F.lit(1))
 
 
+def may_fold_to(x: Column, token: str) -> Column:
+    """Whether the folded text has the letters of ``token`` anywhere, by a pattern over the text as it is."""
+    marked = {c: "".join(a for a, b in zip(_MARKED, _BASE, strict=True) if b == c) for c in token}
+    return F.lower(x).rlike("[̀-ͯ]*".join(f"[{c}{marked[c]}]" for c in token))
+
+
 def fold_text(x: str) -> list[str]:
     """:func:`search_tokens` of one text."""
     plain = x.lower().translate(dict(zip(map(ord, _MARKED), _BASE, strict=True)))

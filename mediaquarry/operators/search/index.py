@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.text import search_tokens
@@ -20,7 +20,8 @@ class Index:
     """postings (token, video_id, col, pos), lengths (video_id, n_tokens) of every doc, and totals, the one row of their statistics.
 
     A stored index has a dictionary too: terms (token, col, df, cf), of each
-    token of a column the docs that hold it and its places.
+    token of a column the docs that hold it and its places.  One that was built
+    has docs, the texts that it comes from.
     """
 
     postings: DataFrame
@@ -28,6 +29,7 @@ class Index:
     totals: DataFrame
     columns: tuple[str, ...] = COLUMNS
     terms: DataFrame | None = None
+    docs: DataFrame | None = None
 
     def write(self, path: str, rows: int = FILE_ROWS) -> None:
         """Store the index with postings in the order of tokens and docs, about ``rows`` of them to a file.
@@ -48,11 +50,16 @@ class Index:
 
 def build(docs: DataFrame, columns: tuple[str, ...] = COLUMNS) -> Index:
     """The index of docs (video_id and ``columns``)."""
-    tokens = {c: search_tokens(F.coalesce(F.col(c), F.lit(""))) for c in columns}
+    tokens = {c: tokens_of(c) for c in columns}
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("col"), t.alias("tokens")) for c, t in tokens.items())))
     postings = docs.select("video_id", each.alias("x")).select("video_id", "x.col", F.posexplode("x.tokens").alias("pos", "token"))
     lengths = docs.select("video_id", reduce(lambda a, b: a + b, (F.size(t) for t in tokens.values())).alias("n_tokens"))
-    return Index(postings.select("token", "video_id", "col", "pos"), lengths, _totals(lengths), columns)
+    return Index(postings.select("token", "video_id", "col", "pos"), lengths, _totals(lengths), columns, docs=docs)
+
+
+def tokens_of(column: str) -> Column:
+    """The tokens of a doc's column."""
+    return search_tokens(F.coalesce(F.col(column), F.lit("")))
 
 
 def dictionary(postings: DataFrame) -> DataFrame:

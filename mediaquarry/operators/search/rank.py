@@ -11,10 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.text import may_fold_to
 from ...plans import ranks
 from ...sources.tables import Catalog
 from .. import browse
-from .index import Index, statistics
+from .index import Index, statistics, tokens_of
 from .parse import Node, Phrase, parse
 
 # Fixed values of the ranking function.
@@ -76,6 +77,29 @@ def _instances(index: Index, phrase: Phrase) -> DataFrame:
     return (_close if phrase.near else _places)(index, phrase).groupBy("video_id").agg(F.count("*").alias("tf"))
 
 
+def plain(phrase: Phrase) -> bool:
+    """Whether it is one token or prefix, wherever it stands."""
+    return len(phrase.tokens) == 1 and not phrase.initial and phrase.near is None
+
+
+def in_texts(index: Index, phrases: list[Phrase], given: list[Phrase] | None = None) -> DataFrame:
+    """(video_id, length, tf0, tf1...): docs that hold one of the plain ``phrases``, how many tokens they have and how often they hold each of ``given``.
+
+    Reads the texts and no postings; those that hold none of the letters aren't
+    parted into tokens.
+    """
+    may = reduce(lambda a, b: a | b, (may_fold_to(F.col(c), p.tokens[0]) for p in phrases for c in p.columns))
+    docs = index.docs.filter(may).select("video_id", *(tokens_of(c).alias(f"_{i}") for i, c in enumerate(index.columns)))
+
+    def tf(p: Phrase) -> Column:
+        mine = (lambda t: t.startswith(p.tokens[0])) if p.prefix else (lambda t: t == p.tokens[0])
+        return reduce(lambda a, b: a + b, (F.size(F.filter(f"_{index.columns.index(c)}", mine)) for c in p.columns))
+
+    length = reduce(lambda a, b: a + b, (F.size(f"_{i}") for i in range(len(index.columns))))
+    rows = docs.select("video_id", length.alias("length"), *(tf(p).alias(f"tf{i}") for i, p in enumerate(given or phrases)))
+    return rows.filter(reduce(lambda a, b: a | b, (F.col(f"tf{(given or phrases).index(p)}") > 0 for p in phrases)))
+
+
 def _holds(node: Node, number: dict[Phrase, int]) -> Column:
     if node.phrase is not None:
         return F.col(f"tf{number[node.phrase]}") > 0 if node.phrase.tokens and node.phrase.columns else F.lit(False)
@@ -112,10 +136,13 @@ def hits_of(index: Index, tree: Node, counts: dict[Phrase, int] | None = None) -
     usable = [(p, i) for p, i in number.items() if p.tokens and p.columns]
     if not usable:
         return index.lengths.select("video_id", F.lit(0.0).alias("rank")).limit(0)  # nothing to look for
-    found = reduce(DataFrame.union, (_instances(index, p).select(F.lit(i).alias("phrase"), "video_id", "tf") for p, i in usable))
-    by_doc = found.groupBy("video_id").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for _, i in usable))
-    # both sides of the cross joins below have one row
-    rows = by_doc.filter(_holds(tree, number)).join(index.lengths.withColumnRenamed("n_tokens", "length"), "video_id")
+    if counts is not None and index.docs is not None and len(usable) == len(number) and all(plain(p) for p in number):
+        rows = in_texts(index, list(counts), list(number)).filter(_holds(tree, number))  # an answer holds a phrase that is scored
+    else:
+        found = reduce(DataFrame.union, (_instances(index, p).select(F.lit(i).alias("phrase"), "video_id", "tf") for p, i in usable))
+        by_doc = found.groupBy("video_id").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == i, F.col("tf"))), F.lit(0)).alias(f"tf{i}") for _, i in usable))
+        rows = by_doc.filter(_holds(tree, number)).join(index.lengths.withColumnRenamed("n_tokens", "length"), "video_id")
+    # what the cross joins below add has one row
     rows = rows.crossJoin(statistics(index).select("n_docs", F.col("n_tokens").alias("n_tokens_all")))
     if counts is None:
         rows = rows.crossJoin(by_doc.agg(*(F.count(F.when(F.col(f"tf{i}") > 0, 1)).alias(f"df{i}") for _, i in usable)))
@@ -161,5 +188,7 @@ def page_order() -> list[Column]:
 
 
 def _records(catalog: Catalog, top: DataFrame) -> DataFrame:
-    rows = top.join(catalog.posts.filter(browse.playable()).select("video_id", "likes", "local_video_path"), "video_id").join(catalog.docs, "video_id")
+    """A page is sent to all tasks, so that posts and docs are read and not shuffled."""
+    posts = catalog.posts.filter(browse.playable()).select("video_id", "likes", "local_video_path")
+    rows = catalog.docs.join(F.broadcast(posts.join(F.broadcast(top), "video_id")), "video_id")
     return rows.orderBy(*page_order()).select(*browse.explore_record(), "rank")

@@ -165,3 +165,82 @@ def test_pages_from_bounds_of_blocks(spark, tmp_path):
 def test_bounds_of_no_docs(spark):
     empty = search.build(spark.createDataFrame([], "video_id long, caption string, creator string, category string"))
     assert search.block_bounds(empty).count() == 0
+
+
+MARKED = ["the", "th\u00e9", "e\u0301t", "the\u0301me", "\u00c9t\u00c9", "a1", "\U0001f600", "x", "thence", "-", "th-e", "\u4e2d\u6587", "them"]
+
+
+def test_bounds_and_pages_from_texts(spark, tmp_path):
+    """Bounds from texts and from stored postings are what each doc gives, and pages from texts are those of the stored index."""
+    import random
+
+    from mediaquarry.functions.text import fold_text
+    from mediaquarry.operators.search import bounds
+
+    rng = random.Random(3)
+    docs = [(i, None if i % 50 == 3 else " ".join(rng.choices(MARKED, k=rng.randint(0, 12))), rng.choice(["ann", "the", ""]), "art") for i in rng.sample(range(1, 400), 300)]
+    frame = spark.createDataFrame(docs, "video_id long, caption string, creator string, category string")
+    built = search.build(frame)
+    built.write(str(tmp_path / "index"))
+    stored = search.Index.read(spark, str(tmp_path / "index"))
+    want = {}
+    for i, *texts in docs:
+        found = [(col, t) for col, text in zip(search.parse("a").phrases()[0].columns, texts, strict=True) for t in fold_text(text or "")]
+        tf = {}
+        for col, t in found:
+            for key in (t, *(t[:n] + "*" for n in range(4) if len(t) >= n)):
+                for c in (col, "*"):
+                    tf[key, c] = tf.get((key, c), 0) + 1
+        for (key, c), n in tf.items():
+            want.setdefault((key, c, i >> 4), []).append((n, len(found)))
+    want = {k: (len(x), sum(n for n, _ in x), sorted({p for p in x if not any(q != p and q[0] >= p[0] and q[1] <= p[1] for q in x)})) for k, x in want.items()}
+    for index in (built, stored):
+        rows = search.block_bounds(index, 4).collect()
+        assert {(r.key, r["col"], r.block): (r.df, r.cf, [tuple(p) for p in r.pairs]) for r in rows} == want and len(rows) == len(want)
+    search.write_bounds(built, str(tmp_path / "bounds"), 4)
+    blocks = spark.read.parquet(str(tmp_path / "bounds")).cache()
+    counted = search.counted(built, blocks)
+    assert counted.totals.collect() == stored.totals.collect()
+    posts = spark.createDataFrame([(i, 1, 1, 5, "y", f"/p/{i}" if i % 7 else None, "Harvested") for i, *_ in docs], "video_id long, category_id long, creator_id long, likes long, caption string, local_video_path string, status string")
+    catalog = Catalog(spark.createDataFrame([(1, "now")], CATEGORIES), spark.createDataFrame([(1, "me")], CREATORS), posts, frame)
+    for query in ("th", "theme OR a1 AND them", "et the NOT creator:ann", '"a1 the" OR the', 'et NOT "x the" the', "{caption creator}:the"):
+        found, _ = bounds.candidates(catalog, counted, blocks, query, 10, 4, first=2)
+        got, best = ([(r.video_id, round(r["rank"], 12)) for r in rows.orderBy("rank", "video_id").limit(10).collect()] for rows in (found, search.ranked(catalog, stored, query)))
+        assert got == best, query
+
+
+def test_blocks_are_counted_whole():
+    """However the batches are cut, each block is in one part."""
+    import pyarrow as pa
+
+    from mediaquarry.operators.search import bounds
+
+    block, tokens = [1, 1, 1, 2, 5, 5, 6, 6, 6], [["a", "b"], [], ["c"], ["a"] * 5, ["d"], ["d"], ["e"], [], ["f"]]
+    for cuts in ([0, 9], [0, 2, 9], [0, 3, 4, 9], [0, 0, 1, 5, 7, 9], list(range(10))):
+        for most in (1, 3, 4, 100):
+            batches = [pa.RecordBatch.from_arrays([pa.array(block[a:b], pa.int64()), pa.array(tokens[a:b], pa.list_(pa.string()))], ["block", "_0"]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            parts = [p.block.tolist() for p in bounds._whole_blocks(iter(batches), most)]
+            assert sum(parts, []) == block and all(a[-1] != b[0] for a, b in zip(parts, parts[1:], strict=False))
+            assert len(parts) == {1: 4, 3: 3, 4: 2, 100: 1}[most]
+
+
+def test_letters_are_found_through_marks(spark):
+    from pyspark.sql import functions as F
+
+    from mediaquarry.functions import text as X
+
+    words = spark.createDataFrame([(w,) for w in [*MARKED, "I\u0307x", "e\u0300\u0301t", "\u00d6l", "ol", "t h e", "", "TH\u00c9ME"]], "w string")
+    for token in ("the", "et", "ol", "ix", "\u4e2d", "a1"):
+        assert words.filter(X.may_fold_to(F.col("w"), token) != X.folded(F.col("w")).contains(token)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["search_top"])
+def test_a_query_by_blocks_stores_bounds_and_no_texts(spark, tmp_path, name):
+    import shutil
+
+    from mediaquarry.plans import queries
+
+    for table in ("documents", "labels"):
+        shutil.copy(f"/root/testdata/sf0.001/{table}.parquet", tmp_path)
+    assert queries.QUERIES[name](spark, str(tmp_path)).limit(1).collect()
+    assert {kind for _, d, kind in queries._STORED if d == str(tmp_path)} <= {"bounds", "posts"}
