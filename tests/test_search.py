@@ -234,7 +234,7 @@ def test_letters_are_found_through_marks(spark):
         assert words.filter(X.may_fold_to(F.col("w"), token) != X.folded(F.col("w")).contains(token)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["search_top"])
+@pytest.mark.parametrize("name", ["search_top", "term_blocks"])
 def test_a_query_by_blocks_stores_bounds_and_no_texts(spark, tmp_path, name):
     import shutil
 
