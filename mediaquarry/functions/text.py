@@ -136,9 +136,10 @@ def search_tokens(x: Column) -> Column:
 
 
 def may_fold_to(x: Column, token: str) -> Column:
-    """Whether the folded text has the letters of ``token`` anywhere, by a pattern over the text as it is."""
+    """Whether the folded text has the letters of ``token`` anywhere, by a pattern over the text as it is; plain ASCII has them as they are."""
     marked = {c: "".join(a for a, b in zip(_MARKED, _BASE, strict=True) if b == c) for c in token}
-    return F.lower(x).rlike("[̀-ͯ]*".join(f"[{c}{marked[c]}]" for c in token))
+    pattern = "[̀-ͯ]*".join(f"[{c}{marked[c]}]" for c in token)
+    return F.when(F.octet_length(x) == F.char_length(x), F.lower(x).contains(token)).otherwise(F.lower(x).rlike(pattern))
 
 
 def fold_text(x: str) -> list[str]:

@@ -86,7 +86,7 @@ def in_texts(index: Index, phrases: list[Phrase], given: list[Phrase] | None = N
     """(video_id, length, tf0, tf1...): docs that hold one of the plain ``phrases``, how many tokens they have and how often they hold each of ``given``.
 
     Reads the texts and no postings; those that hold none of the letters aren't
-    parted into tokens.
+    parted into tokens, the others once: a filter doesn't pass the generator.
     """
     may = reduce(lambda a, b: a | b, (may_fold_to(F.col(c), p.tokens[0]) for p in phrases for c in p.columns))
     docs = index.docs.filter(may).select("video_id", *(tokens_of(c).alias(f"_{i}") for i, c in enumerate(index.columns)))
@@ -96,7 +96,7 @@ def in_texts(index: Index, phrases: list[Phrase], given: list[Phrase] | None = N
         return reduce(lambda a, b: a + b, (F.size(F.filter(f"_{index.columns.index(c)}", mine)) for c in p.columns))
 
     length = reduce(lambda a, b: a + b, (F.size(f"_{i}") for i in range(len(index.columns))))
-    rows = docs.select("video_id", length.alias("length"), *(tf(p).alias(f"tf{i}") for i, p in enumerate(given or phrases)))
+    rows = docs.select("video_id", F.inline(F.array(F.struct(length.alias("length"), *(tf(p).alias(f"tf{i}") for i, p in enumerate(given or phrases))))))
     return rows.filter(reduce(lambda a, b: a | b, (F.col(f"tf{(given or phrases).index(p)}") > 0 for p in phrases)))
 
 

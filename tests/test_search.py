@@ -234,7 +234,16 @@ def test_letters_are_found_through_marks(spark):
         assert words.filter(X.may_fold_to(F.col("w"), token) != X.folded(F.col("w")).contains(token)).collect() == []
 
 
-@pytest.mark.parametrize("name", ["search_top", "term_blocks"])
+def test_texts_are_parted_once(spark, capsys):
+    from mediaquarry.operators.search import rank
+
+    built = search.build(spark.createDataFrame([(1, "x")], "video_id long, caption string").selectExpr("video_id", "caption", "caption AS creator", "caption AS category"))
+    rank.in_texts(built, search.parse("worthless OR mente").phrases()).explain()
+    plan = capsys.readouterr().out
+    assert "rlike" in plan.lower() and plan.count("regexp_extract_all(") == 3  # once for each column
+
+
+@pytest.mark.parametrize("name", ["search_top", "term_blocks", "search_top_or"])
 def test_a_query_by_blocks_stores_bounds_and_no_texts(spark, tmp_path, name):
     import shutil
 
