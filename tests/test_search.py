@@ -243,7 +243,7 @@ def test_texts_are_parted_once(spark, capsys):
     assert "rlike" in plan.lower() and plan.count("regexp_extract_all(") == 3  # once for each column
 
 
-@pytest.mark.parametrize("name", ["search_top", "term_blocks", "search_top_or"])
+@pytest.mark.parametrize("name", ["search_top", "term_blocks", "search_top_or", "search_top_multi"])
 def test_a_query_by_blocks_stores_bounds_and_no_texts(spark, tmp_path, name):
     import shutil
 
